@@ -169,17 +169,17 @@ def shingle_hashes(word: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndar
 
 
 def _short(word: np.ndarray) -> int:
-    acc = (word * _GRAM[: len(word)]).sum(dtype=U64) + U64(len(word) * 2 + 1) * U64(_MULT)
-    return int(mix(np.array([acc], U64))[0])
+    acc = np.array([(word * _GRAM[: len(word)]).sum(dtype=U64)]) + U64((len(word) * 2 + 1) * _MULT % 2**64)
+    return int(mix(acc)[0])
 
 
-def range_shards(df: DataFrame, key: str, rows_per_shard: int) -> tuple[list, int]:
-    """Ascending bounds that cut ``key`` into shards of about ``rows_per_shard`` rows (from a quantile sketch), and their count.
+def range_shards(df: DataFrame, key: str, rows_per_shard: int, least: int = 1) -> tuple[list, int]:
+    """Ascending bounds that cut ``key`` into shards of about ``rows_per_shard`` rows, ``least`` of them at least (from a quantile sketch), and their count.
 
     The driver holds one number for each shard, none for rows.
     """
     got = df.agg(F.count(F.lit(1)).alias("n")).first()
-    n = max(1, -(-got["n"] // rows_per_shard))
+    n = min(max(1, got["n"]), max(least, -(-got["n"] // rows_per_shard)))
     if n == 1:
         return [], 1
     cuts = df.agg(F.percentile_approx(key, F.array([F.lit(i / n) for i in range(1, n)]), 10 * n).alias("q")).first()["q"] or []

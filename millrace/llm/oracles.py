@@ -4,6 +4,39 @@ from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
 
+ORACLES["op5_mixing"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         md5('17:' || coalesce(doc_id::VARCHAR, 'null')) AS key
+  FROM documents),
+src AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+w AS (
+  SELECT source, source_size, source_size * 3 AS cap,
+         [5, 2, 1][(row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1] AS weight
+  FROM src),
+lv AS (
+  SELECT *, ((sum(source_size) OVER ())::DOUBLE
+             - coalesce(sum(cap) OVER (ORDER BY cap / weight, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+            / ((sum(weight) OVER ())::DOUBLE
+             - coalesce(sum(weight) OVER (ORDER BY cap / weight, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE) AS level
+  FROM w),
+water AS (SELECT min(level) FILTER (level <= cap / weight) AS any_level, arg_min(level, cap / weight) FILTER (level <= cap / weight) AS level FROM lv),
+t AS (
+  SELECT source, source_size, CASE WHEN water.level IS NULL THEN cap::DOUBLE ELSE least(cap::DOUBLE, water.level * weight) END AS target
+  FROM w, water),
+t2 AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
+keys AS (SELECT source, key, sum(size) AS ksize FROM sized GROUP BY source, key),
+run AS (
+  SELECT k.source, k.key, k.ksize, coalesce(sum(k.ksize) OVER (PARTITION BY k.source ORDER BY k.key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+  FROM keys k)
+SELECT s.doc_id, s.size, t2.source_size, t2.target,
+       (s.size * (t2.whole + CASE WHEN t2.whole < 3 AND run.at + run.ksize / 2 <= t2.target - t2.whole * t2.source_size AND run.ksize > 0 THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM sized s
+JOIN t2 ON s.source IS NOT DISTINCT FROM t2.source
+JOIN run ON s.source IS NOT DISTINCT FROM run.source AND s.key = run.key
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
