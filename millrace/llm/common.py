@@ -64,9 +64,9 @@ def seeded(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=U64) * U64(_MULT) + U64(seed * 2 + 1))
 
 
-_BYTE = seeded(256, 11) | U64(1)
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
+BYTE = seeded(256, 11) | U64(1)
+_BYTE_LOWER = BYTE.copy()
+_BYTE_LOWER[65:91] = BYTE[97:123]
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
@@ -87,7 +87,7 @@ def prefix_hash(data: np.ndarray, lower: bool = False) -> np.ndarray:
     """H with H[j] - H[i] = the polynomial of data[i:j], still to be divided by the power i."""
     pw, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, U64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[data] * pw[: len(data)], out=out[1:])
+    np.cumsum((_BYTE_LOWER if lower else BYTE)[data] * pw[: len(data)], out=out[1:])
     return out
 
 

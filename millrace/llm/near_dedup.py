@@ -222,3 +222,16 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, trees:
     node = F.coalesce("doc_id", "rep") if twice else F.coalesce("rep", "doc_id")
     out = member.select("doc_id", "n_shingles", node.alias("of")).join(root, F.col("of") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "of").alias("component_id")).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, n_words: int = 5, percent: int = 80, **options) -> DataFrame:
+    """``docs`` with one document of each component: the smallest ``doc_id``; of rows that repeat it, the one whose text hashes lowest."""
+    out = near_duplicates(docs, n_words, percent, **options)
+    gone = staged(out.where("not kept").select("doc_id").distinct(), "gone")
+    left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = staged(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "twice")
+    if not twice.limit(1).count():
+        return left
+    again = left.join(twice, "doc_id", "left_semi")
+    first = again.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64(F.coalesce("text", F.lit(""))), F.xxhash64(*docs.columns))).alias("row")).select("row.*")
+    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(first)

@@ -37,6 +37,34 @@ JOIN t2 ON s.source IS NOT DISTINCT FROM t2.source
 JOIN run ON s.source IS NOT DISTINCT FROM run.source AND s.key = run.key
 """
 
+ORACLES["op1_url_filters"] = r"""
+WITH cap AS (
+  SELECT page_id, DATE '2024-01-01' + (page_id % 366)::INTEGER AS fetched,
+         nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '') AS host
+  FROM pages),
+hosts AS (SELECT DISTINCT host FROM cap WHERE host IS NOT NULL),
+pat AS (
+  SELECT host AS pattern FROM hosts
+  UNION SELECT regexp_extract(host, '^[^.]+\.(.+\..+)$', 1) FROM hosts WHERE regexp_extract(host, '^[^.]+\.(.+\..+)$', 1) <> ''),
+ph AS (SELECT pattern, ('0x' || substr(md5(pattern), 1, 4))::INTEGER AS h FROM pat),
+log AS (
+  SELECT pattern, 'add' AS action, DATE '2024-01-01' + (h % 200) AS day FROM ph WHERE h % 3 <> 0
+  UNION ALL SELECT pattern, CASE WHEN h % 2 = 0 THEN 'remove' ELSE 'add' END, DATE '2024-01-01' + (h % 200 + 60) FROM ph WHERE h % 3 <> 0
+  UNION ALL SELECT pattern, CASE WHEN h % 5 = 0 THEN 'add' ELSE 'remove' END, DATE '2024-01-01' + (h % 200 + 110) FROM ph WHERE h % 3 <> 0),
+state AS (
+  SELECT c.page_id, l.pattern, arg_max(l.action, l.day) AS action
+  FROM cap c JOIN log l ON l.day <= c.fetched AND (c.host = l.pattern OR ends_with(c.host, '.' || l.pattern))
+  GROUP BY c.page_id, l.pattern),
+best AS (SELECT page_id, arg_max(pattern, length(pattern)) AS entry FROM state WHERE action = 'add' GROUP BY page_id),
+since AS (
+  SELECT b.page_id, b.entry, min(l.day) AS active_from
+  FROM best b JOIN cap c USING (page_id) JOIN log l ON l.pattern = b.entry AND l.day <= c.fetched AND l.action = 'add'
+  WHERE NOT EXISTS (SELECT 1 FROM log r WHERE r.pattern = b.entry AND r.action = 'remove' AND r.day > l.day AND r.day <= c.fetched)
+  GROUP BY b.page_id, b.entry)
+SELECT c.page_id, c.host, c.fetched, s.entry, s.active_from, s.entry IS NOT NULL AS blocked
+FROM cap c LEFT JOIN since s USING (page_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
