@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -23,3 +24,20 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(path))
     _shipped.add(app)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``); one of our own only where it is unset."""
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("millrace.shared.dir", None)
+    if not path:
+        path = tempfile.mkdtemp(prefix="millrace-")
+        spark.conf.set("millrace.shared.dir", path)
+    return path.rstrip("/")
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Writes ``df`` as Parquet in the shared folder and reads it back: cuts lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
