@@ -1,0 +1,43 @@
+"""Resampling: one source of multiplicities for every bootstrap, by hashes instead of draws."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from millrace.operators.verification import auc
+
+
+def multiplicity(rep: Column, unit: Column, seed: int) -> Column:
+    """A Poisson(1) count from a hash of (seed, replicate, unit): every machine finds the same one and nothing is shuffled."""
+    u = F.pmod(F.xxhash64(F.lit(seed), rep, unit), F.lit(1 << 20)) / float(1 << 20)
+    out, cdf, p = F.lit(0), 0.0, 0.36787944117144233
+    for k in range(1, 8):
+        cdf += p
+        p /= k
+        out = out + (u >= cdf).cast("int")
+    return out
+
+
+def bootstrap_auc(df: DataFrame, unit: str, other: str | None, n_boot: int, seed: int) -> DataFrame:
+    """Mean, 2.5 % and 97.5 % points of the weighted AUC over replicates, and how many replicates were valid.
+
+    ``df`` has score and y; with ``other``, a row's weight is the product of both units' multiplicities (once, if they are equal).
+    """
+    r = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
+    w = multiplicity(F.col("rep"), F.col(unit), seed)
+    if other:
+        w = w * F.when(F.col(unit) == F.col(other), F.lit(1)).otherwise(multiplicity(F.col("rep"), F.col(other), seed))
+    a = auc(r.withColumn("w", w).where("w > 0"), "score", "y", ["rep"], F.col("w"))
+    return a.agg(F.count("auc").alias("valid"), F.avg("auc").alias("mean"), F.percentile("auc", 0.025).alias("lo"), F.percentile("auc", 0.975).alias("hi"))
+
+
+def paired_permutation(df: DataFrame, first: str, second: str, label: str, key: list[str], n: int, seed: int) -> DataFrame:
+    """(c + 1) / (n + 1), c the replicates whose difference of areas is at least the observed one."""
+    r = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n))))
+    coin = (F.pmod(F.xxhash64(F.lit(seed), "rep", *key), F.lit(2)) == 1) & (F.col("rep") > 0)
+    r = r.select("rep", label, F.when(coin, F.col(second)).otherwise(F.col(first)).alias("s1"), F.when(coin, F.col(first)).otherwise(F.col(second)).alias("s2"))
+    d = auc(r, "s1", label, ["rep"], name="a1").join(auc(r, "s2", label, ["rep"], name="a2"), "rep").select("rep", F.abs(F.col("a1") - F.col("a2")).alias("d"))
+    seen = d.where("rep = 0").select(F.col("d").alias("d0"))
+    out = d.where("rep > 0").crossJoin(F.broadcast(seen))  # one row
+    return out.agg(((F.count_if(F.col("d") >= F.col("d0")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"), F.first("d0").alias("difference"))

@@ -61,10 +61,10 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """Six pairs for each item; an equi-join on the partner's id."""
-    cols = ["item", "grp", "entity", "age", "label", "vec", "split"]
-    a = items(spark, sf_dir).select(*[F.col(c).alias(f"{c}_a") for c in [*cols, *extra]])
+    cols = list(dict.fromkeys(["item", "grp", "entity", "age", "label", "vec", "split", *extra]))
+    a = items(spark, sf_dir).select(*[F.col(c).alias(f"{c}_a") for c in cols])
     a = a.withColumn("item_b", F.explode(F.array(*[F.col("item_a") + k for k in OFFSETS])))
-    b = items(spark, sf_dir).select(*[F.col(c).alias(f"{c}_b") for c in [*cols, *extra]])
+    b = items(spark, sf_dir).select(*[F.col(c).alias(f"{c}_b") for c in cols])
     y = (F.col("label_a") == F.col("label_b")).cast("int")
     score = F.round(dot(F.col("vec_a"), F.col("vec_b")), 9)
     return a.join(b, "item_b").select(
