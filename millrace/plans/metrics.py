@@ -346,7 +346,10 @@ SELECT k AS label, round(auc, 6) AS auc FROM {auc_sql('score', by='k2', source='
 def b04(spark, d):
     """AUC without one subject at a time; here the ten labels are the subjects."""
     p = pairs(spark, d, extra=("label",)).select("score", "y", "label_a", "label_b")
-    subjects = F.broadcast(items(spark, d).select("label").distinct().limit(1000))  # the documented bound of leave-one-out is a thousand subjects
+    subjects = items(spark, d).select("label").distinct()
+    if subjects.count() > 1000:  # every row is copied once for each subject
+        raise ValueError("leave-one-out takes at most 1,000 subjects")
+    subjects = F.broadcast(subjects)
     out = p.join(subjects, (F.col("label_a") != F.col("label")) & (F.col("label_b") != F.col("label")))
     return v.auc(out, "score", "y", ["label"]).select("label", rnd(F.col("auc")).alias("auc"))
 
