@@ -8,8 +8,8 @@ one.  A hit counts if some run of ``window`` aligned words (all of an item that
 has at least ``share`` of them equal.
 
 The documents' side is never shuffled while the benchmark's seeds are few (``BROADCAST_SEEDS``,
-counted); beyond that the seeds are joined by a shuffle.  Verification uses the words that
-the hit's row carries, so texts are read once.
+counted): verification then uses the words that the hit's row carries, so texts are read once.
+Beyond that, seeds are joined by a shuffle and the words of documents with alignments come by a second join.
 
 Defined results: null or empty texts and items have no seeds; an item of fewer words than the
 shorter mask is too short to be evidence and is never found; items with equal words are one
@@ -52,20 +52,23 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hash_array(F.col("text")).alias("item"))
     items = items.where(F.size("item") >= min(map(len, masks))).groupBy("item").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n_items"))
     keys = items.select("item_id", F.inline(seeds("item", masks)).alias("seed", "at"))
-    few = keys.count() <= BROADCAST_SEEDS
-    small = F.broadcast if few else (lambda df: df)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hash_array(F.col("text")).alias("words"))
-    d = d.select("doc_id", "words", F.inline(seeds("words", masks)).alias("seed", "pos"))
-    hits = d.join(small(keys), "seed").join(small(items), "item_id")
-    begin = F.col("pos") - F.col("at")
+    if keys.count() <= BROADCAST_SEEDS:
+        hits = d.select("doc_id", "words", F.inline(seeds("words", masks)).alias("seed", "pos")).join(F.broadcast(keys), "seed").join(F.broadcast(items), "item_id")
+        hits = hits.withColumn("begin", F.col("pos") - F.col("at")).withColumn("seeds", F.lit(1))
+    else:  # alignments without words go through the shuffle; the words of documents that have any are joined to them afterwards
+        at = d.select("doc_id", F.inline(seeds("words", masks)).alias("seed", "pos")).join(keys, "seed")
+        at = at.groupBy(F.col("doc_id").alias("of"), "item_id", (F.col("pos") - F.col("at")).alias("begin")).agg(F.count(F.lit(1)).alias("seeds"))
+        hits = at.join(d, F.col("of").eqNullSafe(F.col("doc_id"))).drop("of").join(items, "item_id")
+    begin = F.col("begin")
     lo = F.greatest(F.lit(0), -begin)
     n = F.least(F.size("item"), F.size("words") - begin) - lo
-    hits = hits.select("doc_id", "item_id", "n_items", F.slice("words", begin + lo + 1, n).alias("x"), F.slice("item", lo + 1, n).alias("y"), F.least(F.lit(window), F.size("item")).alias("w"))
+    hits = hits.where(n > 0).select("doc_id", "item_id", "n_items", "seeds", F.slice("words", begin + lo + 1, n).alias("x"), F.slice("item", lo + 1, n).alias("y"), F.least(F.lit(window), F.size("item")).alias("w"))
     equal = F.zip_with("x", "y", lambda a, b: (a == b).cast("int"))
     hits = hits.withColumn("equal", equal).where(F.size("equal") >= F.col("w"))
     best = F.array_max(F.transform(F.sequence(F.lit(0), F.size("equal") - F.col("w")), lambda i: F.aggregate(F.slice("equal", i + 1, F.col("w")), F.lit(0), lambda s, v: s + v)))
-    hits = hits.select("doc_id", "item_id", "n_items", "w", best.alias("matched")).where(F.col("matched") >= F.col("w") * share)
-    return hits.groupBy("doc_id", "item_id").agg(F.first("n_items").alias("n_items"), F.max("matched").cast("long").alias("matched"), F.first("w").cast("long").alias("compared"), F.count(F.lit(1)).alias("n_seeds"))
+    hits = hits.select("doc_id", "item_id", "n_items", "w", "seeds", best.alias("matched")).where(F.col("matched") >= F.col("w") * share)
+    return hits.groupBy("doc_id", "item_id").agg(F.first("n_items").alias("n_items"), F.max("matched").cast("long").alias("matched"), F.first("w").cast("long").alias("compared"), F.sum("seeds").alias("n_seeds"))
 
 
 #: Ids of found documents up to this number are broadcast to leave them out, 8 bytes each.

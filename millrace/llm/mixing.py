@@ -87,15 +87,13 @@ def plan(sized: DataFrame, weights: tuple[int, ...], share: float, max_epochs: i
 def with_repetitions(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, max_epochs: int = 3, seed: int = 17, digits: int = 3, size_column: str | None = None) -> DataFrame:
     """``docs`` with mix_size, mix_source_size, mix_target and mix_reps, how often the mix takes each row."""
     size = F.col(size_column) if size_column else text_size(F.col("text"))
-    p = plan(docs.select("source", hash_key(seed).alias("key"), size.alias("size")), weights, share, max_epochs, digits) if size_column else None
-    if p is None:
-        sized = staged(docs.select("source", hash_key(seed).alias("key"), size.alias("size")), "sized")
-        p = plan(sized, weights, share, max_epochs, digits)
-    right = p.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "whole", "upper")
+    sized = docs.select("source", hash_key(seed).alias("key"), size.alias("size"))
+    p = plan(sized if size_column else staged(sized, "sized"), weights, share, max_epochs, digits)
+    right = p.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("whole").alias("mix_whole"), F.col("upper").alias("mix_upper"))
     right = F.broadcast(right) if p.count() <= BROADCAST_SOURCES else right
     out = docs.withColumn("mix_size", size).join(right, F.col("source").eqNullSafe(F.col("mix_source")))
-    reps = F.col("whole") + F.when((F.col("whole") < max_epochs) & (hash_key(seed) <= F.col("upper")), 1).otherwise(0)
-    return out.withColumn("mix_reps", reps).drop("mix_source", "whole", "upper")
+    reps = F.col("mix_whole") + F.when((F.col("mix_whole") < max_epochs) & (hash_key(seed) <= F.col("mix_upper")), 1).otherwise(0)
+    return out.withColumn("mix_reps", reps).drop("mix_source", "mix_whole", "mix_upper")
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:

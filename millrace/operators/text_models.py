@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def ngram_ridge(df: DataFrame, n: int = 3, features: int = 1 << 10, ridge: float = 0.1) -> DataFrame:
+def ngram_ridge(df: DataFrame, n: int = 3, features: int = 1 << 8, ridge: float = 1.0) -> DataFrame:
     """Root mean squared error on the tenth of the rows whose hashed ids say so, of the model and of the training mean.
 
     Character n-grams are hashed, not looked up in a vocabulary, so no pass over the corpus collects one.
@@ -20,7 +20,7 @@ def ngram_ridge(df: DataFrame, n: int = 3, features: int = 1 << 10, ridge: float
     x = Normalizer(inputCol="tf", outputCol="features").transform(HashingTF(inputCol="grams", outputCol="tf", numFeatures=features).transform(x)).drop("chars", "grams", "tf")
     held = F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0
     train = x.where(~held)
-    model = LinearRegression(labelCol="target", regParam=ridge, maxIter=10, solver="l-bfgs").fit(train)
+    model = LinearRegression(labelCol="target", regParam=ridge, maxIter=50, solver="l-bfgs").fit(train)
     mean = train.agg(F.avg("target")).first()[0] or 0.0
     out = model.transform(x.where(held))
     e, m = F.col("prediction") - F.col("target"), F.col("target") - mean
