@@ -1,3 +1,3 @@
 """Registered queries over the reference's operators."""
 
-from millrace.plans import aggregates, joins, metrics, projections, texts  # noqa: F401
+from millrace.plans import aggregates, intervals, joins, metrics, projections, texts  # noqa: F401
