@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,3 +83,46 @@ def sanitise(text: Column) -> Column:
     for pattern, mark in ((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "<mail>"), (r"(?:/[A-Za-z0-9._-]+){3,}", "<path>"), (r"\b[0-9a-f]{16,}\b", "<key>"), (r"\d{4,}", "<number>")):
         text = F.regexp_replace(text, pattern, mark)
     return text
+
+
+def bracketed_numbers(text: Column) -> Column:
+    """Distinct numbers from 1 to 99 after four-digit years and durations are struck out, if a connector or a bracket is there; else empty."""
+    rest = F.regexp_replace(F.regexp_replace(text, r"\b\d{1,3} years? ago\b", " "), r"\b(19|20)\d{2}\b", " ")
+    found = F.filter(F.transform(F.regexp_extract_all(rest, F.lit(r"\b(\d{1,2})\b"), 1), lambda x: x.cast("int")), lambda a: a >= 1)
+    return F.when(rest.rlike(r"(?i)\b(and|to|vs)\b|[&(]"), F.array_distinct(found)).otherwise(F.array().cast("array<int>"))
+
+
+def first_object(text: str | None) -> str | None:
+    """The first balanced JSON object: braces inside strings don't count, an opening brace that no object follows is passed over."""
+    start = (text or "").find("{")
+    while start >= 0:
+        depth, quoted, skip = 0, False, False
+        for i in range(start, len(text)):
+            c = text[i]
+            if skip:
+                skip = False
+            elif quoted:
+                quoted, skip = c != '"', c == "\\"
+            elif c == '"':
+                quoted = True
+            elif c in "{}":
+                depth += 1 if c == "{" else -1
+                if not depth:
+                    part = text[start : i + 1]
+                    try:
+                        json.loads(part)
+                        return part
+                    except ValueError:
+                        break
+        start = text.find("{", start + 1)
+    return None
+
+
+def balanced_object(text: Column) -> Column:
+    """``first_object`` as a column; matching braces is not regular, so this is Python over Arrow batches."""
+
+    @F.pandas_udf("string")
+    def find(s: pd.Series) -> pd.Series:
+        return s.map(first_object, na_action="ignore")
+
+    return find(text)

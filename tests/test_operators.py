@@ -5,14 +5,17 @@ import hmac
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import buckets, text
 from millrace.functions.vectors import cosine, normalise
+from millrace.operators import probes, replicates
 from millrace.operators import verification as v
 from millrace.operators.governance import hmac_sha256
 from millrace.operators.graph import component_labels
+from millrace.operators.matching import greedy_matching
 from millrace.operators.resampling import multiplicity
 from millrace.operators.running import running_sums, score_bucket
 from millrace.operators.sampling import group_folds, hash_priority, hash_sample
@@ -141,3 +144,40 @@ def test_files(spark, tmp_path):
     files.guarded_append(spark, df.where("x = 1"), "y", store)
     with pytest.raises(ValueError):
         files.guarded_append(spark, spark.createDataFrame([(3, "b")], "x int, y string"), "y", store)
+
+
+def test_greedy_matching(spark):
+    rnd = random.Random(6)
+    edges = sorted({(rnd.randint(0, 3), a, b) for a, b in ((rnd.randint(0, 25), rnd.randint(0, 25)) for _ in range(90)) if a != b})
+    for bipartite in (False, True):
+        used, want = set(), set()
+        for w, a, b in edges:
+            ends = {(0, a), (int(bipartite), b)}
+            if not used & ends:
+                used |= ends
+                want.add((a, b))
+        df = spark.createDataFrame([*edges, (0, None, 1)], "w int, a long, b long")
+        assert {(r["a"], r["b"]) for r in greedy_matching(df, "a", "b", ["w"], bipartite).collect()} == want
+        assert greedy_matching(df.limit(0), "a", "b", ["w"], bipartite).count() == 0
+
+
+def test_kernel_discrepancy(spark):
+    rng = np.random.default_rng(4)
+    x, y = rng.standard_normal((60, 3)), rng.standard_normal((50, 3)) + 0.7
+    df = spark.createDataFrame([("x", r.tolist()) for r in x] + [("y", r.tolist()) for r in y] + [(None, [0.0] * 3)], "g string, vec array<double>")
+
+    def k(a, b):
+        d = ((a[:, None] - b[None]) ** 2).sum(axis=2)
+        return sum(np.exp(-d / (2 * s * s)).mean() for s in (0.5, 1.0, 2.0))
+
+    got = probes.kernel_discrepancy(df, "g", "vec", 3, features=4096).first()["mmd2"]
+    assert abs(got - (k(x, x) + k(y, y) - 2 * k(x, y))) < 0.05
+
+
+def test_replicate_multiplicity(spark):
+    df = replicates.replicate(spark.range(3000), 2, replicates.multiplicity(F.col("id"), 3))
+    assert all(abs(r["sum(w)"] / 3000 - 1) < 0.08 for r in df.groupBy("rep").agg(F.sum("w")).collect())
+
+
+def test_first_object():
+    assert text.first_object('x {a {"k": "} {"} } y') == '{"k": "} {"}' and text.first_object("{ {") is None and text.first_object(None) is None
