@@ -12,8 +12,13 @@ large a region is, and the sort is dealt by ranges of the full order, so a regio
 size spreads over tasks; what meets at the borders of tasks is paired afterwards.
 
 Links.  Documents with equal sets are one class from the start.  Pivot pairs are confirmed
-on the full sets first, then neighbour pairs whose components still differ.  Components
-come from joins (``components``).
+on the full sets first, then neighbour pairs whose components still differ.  Regions that
+then still hold several components are finished exactly (``finish``): their rows are dealt
+in blocks, and every pair of rows from different components is compared on the full sets
+by one product of the blocks' shingle matrices, whatever its tails say.  So two documents
+that share a key in any tree and are a link always end in one component (a region of two
+rows has only its neighbour pair, which the tails pre-check).  Components come from joins
+(``components``).
 
 Defined results: null or empty text has an empty set and is linked with nothing; rows that
 repeat a ``doc_id`` count as one document that has all their sets; a null ``doc_id`` is
@@ -37,6 +42,10 @@ TAIL = 32
 TAIL_AGREE = 18
 #: Ids up to this number are broadcast to pick the documents of candidate pairs (8 bytes each); beyond it the join is shuffled.
 BROADCAST_IDS = 500_000
+#: Rows and shingles of a block of an open region, about; two blocks are compared at a time, which bounds a task's memory.
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 500_000
+#: Shingles in one step of a block product.
+STEP = 4096
 
 
 def set_hashes(data: np.ndarray, offsets: np.ndarray, n_words: int):
@@ -179,16 +188,9 @@ def candidates(reps: DataFrame, trees: int, prefix: int, ratio: float) -> DataFr
 
 def confirm(pairs: DataFrame, docs: DataFrame, n_words: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets have 100 * intersection >= percent * union."""
-
-    def run(batches):
-        for b in batches:
-            data, offsets = text_buffer(b.column("text"))
-            sets = [h.view(np.int64) for h in set_hashes(data, offsets, n_words)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "hashes"])
-
     ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "involved")
     pick = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = staged(docs.join(pick, "doc_id", "left_semi").distinct().mapInArrow(run, "doc_id long, hashes array<long>"), "sets")
+    sets = staged(shingle_sets(docs.join(pick, "doc_id", "left_semi").distinct(), n_words), "sets")
     left, right = (sets.select(F.col("doc_id").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
     inter = F.size(F.array_intersect("ha", "hb"))
@@ -196,6 +198,123 @@ def confirm(pairs: DataFrame, docs: DataFrame, n_words: int, percent: int) -> Da
     return staged(checked.select("a", "b").distinct(), "confirmed")
 
 
+def shingle_sets(docs: DataFrame, n_words: int) -> DataFrame:
+    """doc_id and the sorted distinct shingle hashes of each row."""
+
+    def run(batches):
+        for b in batches:
+            data, offsets = text_buffer(b.column("text"))
+            sets = [h.view(np.int64) for h in set_hashes(data, offsets, n_words)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "hashes"])
+
+    return docs.mapInArrow(run, "doc_id long, hashes array<long>")
+
+
+def region_rows(reps: DataFrame, trees: int, prefix: int) -> DataFrame:
+    """key, rep, comp, n for each document and tree; the keys are those of ``forest_rows``."""
+    gram = seeded(prefix, 19) | U64(1)
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sig = np.frombuffer(text_buffer(b.column("sig"))[0], "<u4").reshape(-1, trees, prefix).astype(U64)
+            key = mix((sig * gram).sum(axis=2, dtype=U64) + np.arange(1, trees + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)).view(np.int64)
+            rep, comp, n = (np.repeat(b.column(c).to_numpy(), trees) for c in ("rep", "comp", "n_shingles"))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(rep), pa.array(comp), pa.array(n)], ["key", "rep", "comp", "n"])
+
+    return reps.mapInArrow(run, "key long, rep long, comp long, n long")
+
+
+def block_links(rep: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the same rows as all pairs of different components with 100 * intersection >= percent * union."""
+    m = len(rep)
+    n = np.array([len(x) for x in sets])
+    flat, row = np.concatenate(sets), np.repeat(np.arange(m), n)
+    _, col, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count[col] > 1  # what only one row has meets nothing
+    place = np.cumsum(count > 1) - 1
+    col, row = place[col[shared]], row[shared]
+    order = np.argsort(col, kind="stable")
+    col, row = col[order], row[order]
+    inter = np.zeros((m, m), np.float32)  # whole numbers, exact up to 2**24
+    for c in range(0, int(col[-1]) + 1 if len(col) else 0, STEP):
+        i, j = np.searchsorted(col, [c, c + STEP])
+        x = np.zeros((m, int(col[j - 1]) - c + 1), np.float32)
+        x[row[i:j], col[i:j] - c] = 1
+        inter += x @ x.T
+    both = inter.astype(np.int64)
+    link = (comp[:, None] != comp[None, :]) & (both > 0) & (100 * both >= percent * (n[:, None] + n[None, :] - both))
+    low = np.arange(m)
+    while True:  # every row takes the first row that it reaches
+        new = np.minimum(low, np.where(link, low[None, :], m).min(axis=1, initial=m))
+        if (new == low).all():
+            break
+        low = new
+    at = np.flatnonzero(low != np.arange(m))
+    return rep[low[at]], rep[at]
+
+
+def _units(percent: int):
+    """Links of a partition sorted by (key, u, v): the rows of one such unit are compared with each other."""
+
+    def solve(rows):
+        rep, comp, sets = (sum((r[k] for r in rows), []) for k in range(3))
+        a, b = block_links(np.array(rep), np.array(comp), sets, percent)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def run(batches):
+        now, rows = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = np.stack([batch.column(c).to_numpy() for c in ("key", "u", "v")])
+            data, offs = batch.column("hashes").flatten().to_numpy(), np.r_[0, np.cumsum(batch.column("hashes").value_lengths().to_numpy())]
+            rep, comp = (batch.column(c).to_pylist() for c in ("rep", "comp"))
+            begin = np.flatnonzero(np.r_[True, (ids[:, 1:] != ids[:, :-1]).any(axis=0)])
+            for s, e in zip(begin, np.r_[begin[1:], batch.num_rows], strict=True):
+                unit = tuple(ids[:, s])
+                if unit != now and rows:
+                    yield solve(rows)
+                    rows = []
+                now = unit
+                rows.append((rep[s:e], comp[s:e], [data[offs[k] : offs[k + 1]] for k in range(s, e)]))
+        if rows:
+            yield solve(rows)
+
+    return run
+
+
+def finish(reps: DataFrame, root: DataFrame, docs: DataFrame, n_words: int, percent: int, trees: int, prefix: int) -> DataFrame:
+    """a, b: the links that regions of several components still hold, so that no pair of a region is left untried."""
+    spark = reps.sparkSession
+    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+    known = reps.join(root, F.col("rep") == F.col("node"), "left").select("rep", "n_shingles", "sig", F.coalesce("root", "rep").alias("comp"))
+    rows = region_rows(staged(known, "rooted"), trees, prefix)
+    regions = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("y"))
+    # two rows have been tried as neighbours; regions of the same rows are done once
+    regions = staged(regions.where("rows > 2 and lo < hi").groupBy("rows", "x", "y").agg(F.min("key").alias("key")).select("key"), "regions")
+    rows = staged(rows.join(few(regions), "key"), "open-rows")
+    # the largest component of a region needs no comparison within itself
+    per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("size"))
+    plan = per.groupBy("key").agg(F.max(F.struct("rows", "size", "comp")).alias("top"), F.sum("rows").alias("rows"), F.sum("size").alias("size"))
+    blocks_of = lambda r, s: F.ceil(F.greatest(r / BLOCK_ROWS, s / BLOCK_SHINGLES)).cast("int")
+    whole = blocks_of(F.col("rows"), F.col("size")) == 1
+    plan = plan.select("key", F.when(~whole, F.col("top.comp")).alias("main"), F.when(whole, 1).otherwise(blocks_of(F.col("rows") - F.col("top.rows"), F.col("size") - F.col("top.size"))).alias("others"), F.when(whole, 0).otherwise(blocks_of(F.col("top.rows"), F.col("top.size"))).alias("mains"))
+    plan = staged(plan, "blocks")
+    dealt = rows.join(few(plan), "key").withColumn("in_main", F.coalesce(F.col("comp") == F.col("main"), F.lit(False)))
+    number = F.when(F.col("in_main"), F.col("others") + F.expr("pmod(xxhash64(rep), greatest(mains, 1))")).otherwise(F.expr("pmod(xxhash64(rep), others)")).cast("int")
+    dealt = dealt.withColumn("block", number)
+    alone = F.col("others") + F.col("mains") == 1
+    partner = F.when(alone, F.array(F.lit(0))).when(F.col("in_main"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.filter(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1), lambda k: k != F.col("block")))
+    dealt = dealt.select("key", "rep", "comp", "block", F.explode(partner).alias("other")).select("key", "rep", "comp", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"))
+    ids = staged(rows.select(F.col("rep").alias("doc_id")).distinct(), "open-ids")
+    sets = staged(shingle_sets(docs.join(few(ids), "doc_id", "left_semi").distinct(), n_words), "open-sets")
+    full = dealt.join(sets, F.col("rep") == F.col("doc_id")).select("key", "u", "v", "rep", "comp", "hashes")
+    full = full.repartition(partitions(spark), "key", "u", "v").sortWithinPartitions("key", "u", "v")
+    return staged(full.mapInArrow(_units(percent), "a long, b long").distinct(), "finished")
+
+
 def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, trees: int = 24, prefix: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -216,9 +335,13 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, trees:
     # rows that repeat a doc_id with another text tie their classes together
     twice = reps.groupBy("rep").count().where("count > 1").limit(1).count() or sig.groupBy("doc_id").agg(F.count_distinct("set_id").alias("n")).where("n > 1 and doc_id is not null").limit(1).count()
     links = links.unionByName(more)
+    root = connected_components(links)
+    last = finish(reps, root, known, n_words, percent, trees, prefix)
+    links = root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(last)
     if twice:
         links = links.unionByName(member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
-    root = connected_components(links)
+    if twice or last.limit(1).count():
+        root = connected_components(links)
     node = F.coalesce("doc_id", "rep") if twice else F.coalesce("rep", "doc_id")
     out = member.select("doc_id", "n_shingles", node.alias("of")).join(root, F.col("of") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "of").alias("component_id")).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -357,6 +357,26 @@ def test_near_duplicates(docs, rows, empty, n, percent):
     assert near_dedup.near_duplicates(empty, n, percent).count() == 0
 
 
+def test_near_duplicates_around_a_hub(spark, monkeypatch):
+    """Variants that are links of one original only, which has any id; in blocks of few rows too."""
+    rnd, rows = random.Random(12), []
+    ids = rnd.sample(range(10_000), 330)
+    for g in range(2):
+        hub = prose(rnd, 100).split(" ")
+        rows.append((ids[165 * g + 80], " ".join(hub)))
+        for k in range(164):
+            w = list(hub)
+            for at in rnd.sample(range(3, 97, 4), 2):
+                w[at] = f"edit{g}x{k}x{at}"
+            rows.append((ids[165 * g + k + (k >= 80)], " ".join(w)))
+    df, want = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), near_brute(rows, 3, 85)
+    assert len(set(want.values())) == 2
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, 3, 85).collect()} == want
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(near_dedup, "STEP", 32)
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, 3, 85).collect()} == want
+
+
 def test_keep_one(docs, rows, empty):
     left = near_dedup.keep_one(docs)
     want = near_brute(rows, 5, 80)
