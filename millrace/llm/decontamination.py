@@ -11,21 +11,28 @@ The documents' side is never shuffled while the benchmark's seeds are few (``BRO
 counted): verification then uses the words that the hit's row carries, so texts are read once.
 Beyond that, seeds are joined by a shuffle and the words of documents with alignments come by a second join.
 
-Defined results: null or empty texts and items have no seeds; an item of fewer words than the
-shorter mask is too short to be evidence and is never found; items with equal words are one
+No qualifying run is missed: of any ``window`` aligned words with as many substitutions as
+``share`` allows, one mask still meets only equal words (``covered``; where the given masks do
+not, a run of equal words that must remain is one more mask).  An item shorter than ``window``
+is cut into one piece more than it may have substitutions, so one piece is left whole; such
+runs are seeds of the documents only if the benchmark has items of that length.
+
+Defined results: null or empty texts and items have no seeds; items with equal words are one
 class under their smallest item_id, with ``n_items`` their number; rows that repeat a
 ``doc_id`` count as one document; a null ``doc_id`` is a document of its own; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import staged
 
 #: Ones are compared, zeros are not.
-MASKS = ("1101100101", "11100100011")
+MASKS = ("1101100101", "11100100011", "10111101")
 #: Seeds of the benchmark up to this number are broadcast, about 40 bytes each.
 BROADCAST_SEEDS = 1_000_000
 
@@ -35,8 +42,8 @@ def word_hash_array(text: Column) -> Column:
     return F.transform(F.coalesce(words, F.array().cast("array<string>")), lambda w: F.xxhash64(w))
 
 
-def seeds(words: str, masks: tuple[str, ...]) -> Column:
-    """array<struct<seed, pos>> of all masks at all positions."""
+def seeds(words: str, masks: tuple[str, ...], only=None) -> Column:
+    """array<struct<seed, pos>> of all masks, or of those in ``only``, at all positions."""
     w = F.col(words)
 
     def one(k: int, mask: str) -> Column:
@@ -44,14 +51,33 @@ def seeds(words: str, masks: tuple[str, ...]) -> Column:
         at = lambda i: F.struct(F.xxhash64(F.lit(k), *[F.get(w, i + p) for p in picks]).alias("seed"), i.alias("pos"))
         return F.when(F.size(w) >= len(mask), F.transform(F.sequence(F.lit(0), F.size(w) - len(mask)), at)).otherwise(F.array().cast("array<struct<seed:bigint,pos:int>>"))
 
-    return F.concat(*[one(k, m) for k, m in enumerate(masks)])
+    return F.concat(*[one(k, m) for k, m in enumerate(masks) if only is None or m in only])
+
+
+def covered(masks: tuple[str, ...], size: int, changed: int) -> bool:
+    """Whether every placement of ``changed`` substitutions in ``size`` words leaves some mask without one."""
+    spots = [{at + i for i, c in enumerate(m) if c == "1"} for m in masks for at in range(size - len(m) + 1)]
+    return all(any(s.isdisjoint(p) for s in spots) for p in combinations(range(size), changed))
+
+
+def allowed(size: int, share: float) -> int:
+    """Substitutions that ``size`` compared words may have."""
+    return size - next(m for m in range(size + 1) if m >= size * share)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = 12, share: float = 0.8) -> DataFrame:
     """doc_id, item_id, n_items, matched, compared, n_seeds for every document and item class with a verified overlap."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hash_array(F.col("text")).alias("item"))
-    items = items.where(F.size("item") >= min(map(len, masks))).groupBy("item").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n_items"))
-    keys = items.select("item_id", F.inline(seeds("item", masks)).alias("seed", "at"))
+    items = items.where(F.size("item") > 0).groupBy("item").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n_items"))
+    short = sorted(r[0] for r in items.where(F.size("item") < window).select(F.size("item")).distinct().collect())  # under ``window`` numbers
+    if not covered(masks, window, allowed(window, share)):
+        masks = (*masks, "1" * (window // (allowed(window, share) + 1)))
+    runs = {n: {"1" * (n // k), "1" * -(-n // k)} for n in short for k in (allowed(n, share) + 1,)}
+    long_masks, masks = masks, (*masks, *sorted(set().union(*runs.values()) - set(masks)))
+    own = F.when(F.size("item") >= window, seeds("item", masks, long_masks))
+    for n, of in runs.items():
+        own = own.when(F.size("item") == n, seeds("item", masks, of))
+    keys = items.select("item_id", F.inline(own).alias("seed", "at"))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hash_array(F.col("text")).alias("words"))
     if keys.count() <= BROADCAST_SEEDS:
         hits = d.select("doc_id", "words", F.inline(seeds("words", masks)).alias("seed", "pos")).join(F.broadcast(keys), "seed").join(F.broadcast(items), "item_id")

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -213,6 +214,23 @@ def test_decontamination_without_broadcast(spark, docs, monkeypatch):
     assert want and sorted(map(tuple, decontamination.overlaps(docs, bench).collect())) == want
 
 
+def test_decontamination_finds_every_placement(spark):
+    """All placements of the substitutions that count, in items of 1 to 15 words."""
+    rows, want = [], set()
+    sizes = {1: 0, 4: 0, 5: 1, 9: 1, 10: 2, 11: 2, 12: 2, 15: 3}
+    for n, changed in sizes.items():
+        item = [f"i{n}w{k}" for k in range(n)]
+        for at in combinations(range(n), changed):
+            d = len(rows)
+            rows.append((d, " ".join(["before", *[f"x{k}" if k in at else w for k, w in enumerate(item)], "after"])))
+            w = min(n, 12)
+            if max(sum(k not in at for k in range(b, b + w)) for b in range(n - w + 1)) >= 0.8 * w:
+                want.add((d, n))
+    bench = spark.createDataFrame([(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in sizes], "item_id long, text string")
+    got = decontamination.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+
+
 # 7
 def brute_cut(rows, length=50):
     first = {}
