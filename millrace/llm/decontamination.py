@@ -8,8 +8,9 @@ one.  A hit counts if some run of ``window`` aligned words (all of an item that
 has at least ``share`` of them equal.
 
 The documents' side is never shuffled while the benchmark's seeds are few (``BROADCAST_SEEDS``,
-counted): verification then uses the words that the hit's row carries, so texts are read once.
-Beyond that, seeds are joined by a shuffle and the words of documents with alignments come by a second join.
+counted): each position's words are hashed from columns beside each other and looked up at once.
+Beyond that, seeds are joined by a shuffle.  Alignments alone are grouped; the words of the
+documents that have any come by a second read of those documents.
 
 No qualifying run is missed: of any ``window`` aligned words with as many substitutions as
 ``share`` allows, one mask still meets only equal words (``covered``; where the given masks do
@@ -19,7 +20,7 @@ runs are seeds of the documents only if the benchmark has items of that length.
 
 Defined results: null or empty texts and items have no seeds; items with equal words are one
 class under their smallest item_id, with ``n_items`` their number; rows that repeat a
-``doc_id`` count as one document; a null ``doc_id`` is a document of its own; other columns are ignored.
+``doc_id`` count as one document; rows with a null ``doc_id`` are documents by their text; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,10 +36,14 @@ from millrace.llm.common import staged
 MASKS = ("1101100101", "11100100011", "10111101")
 #: Seeds of the benchmark up to this number are broadcast, about 40 bytes each.
 BROADCAST_SEEDS = 1_000_000
+#: Ids of found documents up to this number are broadcast, 16 bytes each.
+BROADCAST_IDS = 1_000_000
+#: Positions of a document that are laid side by side at a time.
+CHUNK = 8192
 
 
 def word_hash_array(text: Column) -> Column:
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
     return F.transform(F.coalesce(words, F.array().cast("array<string>")), lambda w: F.xxhash64(w))
 
 
@@ -65,8 +70,35 @@ def allowed(size: int, share: float) -> int:
     return size - next(m for m in range(size + 1) if m >= size * share)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = 12, share: float = 0.8) -> DataFrame:
-    """doc_id, item_id, n_items, matched, compared, n_seeds for every document and item class with a verified overlap."""
+def anonymous(doc_id: Column, text_id: Column) -> Column:
+    """What tells rows with a null ``doc_id`` apart: their text."""
+    return F.when(doc_id.isNull(), text_id)
+
+
+def documents(docs: DataFrame) -> DataFrame:
+    """doc_id, text_id (a hash of the text) and the hashed words of every row."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), word_hash_array(F.col("text")).alias("words"))
+
+
+def positions(d: DataFrame, masks: tuple[str, ...]) -> DataFrame:
+    """doc_id, text_id, seed, pos of all masks at all positions.
+
+    The words of a position stand side by side in columns, cut from chunks of the document, so that no
+    exploded row carries an array and the work grows with the length alone.
+    """
+    picks = [[i for i, c in enumerate(m) if c == "1"] for m in masks]
+    offsets = sorted(set().union(*picks))
+    bases = d.select("doc_id", "text_id", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(CHUNK))).alias("base"))
+    side = F.arrays_zip(*[F.slice("words", F.col("base") + k + 1, F.lit(CHUNK)).alias(f"w{k}") for k in offsets])
+    rows = bases.select("doc_id", "text_id", "base", F.posexplode(side).alias("i", "w"))
+    word = lambda k: F.col("w").getField(f"w{k}")
+    # a mask that leaves the document meets a null
+    found = [F.when(word(p[-1]).isNotNull(), F.xxhash64(F.lit(k), *[word(x) for x in p])) for k, p in enumerate(picks)]
+    return rows.select("doc_id", "text_id", (F.col("base") + F.col("i")).alias("pos"), F.explode(F.array(*found)).alias("seed")).where("seed is not null")
+
+
+def verified(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = 12, share: float = 0.8) -> DataFrame:
+    """``overlaps`` with a column that tells documents of a null ``doc_id`` apart."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hash_array(F.col("text")).alias("item"))
     items = items.where(F.size("item") > 0).groupBy("item").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n_items"))
     short = sorted(r[0] for r in items.where(F.size("item") < window).select(F.size("item")).distinct().collect())  # under ``window`` numbers
@@ -78,30 +110,39 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     for n, of in runs.items():
         own = own.when(F.size("item") == n, seeds("item", masks, of))
     keys = items.select("item_id", F.inline(own).alias("seed", "at"))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hash_array(F.col("text")).alias("words"))
-    if keys.count() <= BROADCAST_SEEDS:
-        hits = d.select("doc_id", "words", F.inline(seeds("words", masks)).alias("seed", "pos")).join(F.broadcast(keys), "seed").join(F.broadcast(items), "item_id")
-        hits = hits.withColumn("begin", F.col("pos") - F.col("at")).withColumn("seeds", F.lit(1))
-    else:  # alignments without words go through the shuffle; the words of documents that have any are joined to them afterwards
-        at = d.select("doc_id", F.inline(seeds("words", masks)).alias("seed", "pos")).join(keys, "seed")
-        at = at.groupBy(F.col("doc_id").alias("of"), "item_id", (F.col("pos") - F.col("at")).alias("begin")).agg(F.count(F.lit(1)).alias("seeds"))
-        hits = at.join(d, F.col("of").eqNullSafe(F.col("doc_id"))).drop("of").join(items, "item_id")
+    d = documents(docs)
+    few = keys.count() <= BROADCAST_SEEDS
+    hits = positions(d, masks).join(F.broadcast(keys) if few else keys, "seed")
+    at = hits.groupBy("doc_id", "text_id", "item_id", (F.col("pos") - F.col("at")).alias("begin")).agg(F.count(F.lit(1)).alias("seeds"))
+    at = staged(at, "alignments")
+    # texts are read again for the documents with alignments only
+    ids = staged(at.select("doc_id", "text_id").distinct(), "hit-documents")
+    ids = ids.select(F.col("doc_id").alias("of"), F.col("text_id").alias("text_of"))
+    same = F.col("of").eqNullSafe(F.col("doc_id")) & F.col("text_of").eqNullSafe(F.col("text_id"))
+    hit = d.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, same, "left_semi").dropDuplicates(["doc_id", "text_id"])
+    at = at.withColumnsRenamed({"doc_id": "of", "text_id": "text_of"}).join(F.broadcast(items) if few else items, "item_id")
+    hits = at.join(hit, same).drop("of", "text_of")
     begin = F.col("begin")
     lo = F.greatest(F.lit(0), -begin)
     n = F.least(F.size("item"), F.size("words") - begin) - lo
-    hits = hits.where(n > 0).select("doc_id", "item_id", "n_items", "seeds", F.slice("words", begin + lo + 1, n).alias("x"), F.slice("item", lo + 1, n).alias("y"), F.least(F.lit(window), F.size("item")).alias("w"))
+    hits = hits.where(n > 0).select("doc_id", "text_id", "item_id", "n_items", "seeds", F.slice("words", begin + lo + 1, n).alias("x"), F.slice("item", lo + 1, n).alias("y"), F.least(F.lit(window), F.size("item")).alias("w"))
     equal = F.zip_with("x", "y", lambda a, b: (a == b).cast("int"))
     hits = hits.withColumn("equal", equal).where(F.size("equal") >= F.col("w"))
     best = F.array_max(F.transform(F.sequence(F.lit(0), F.size("equal") - F.col("w")), lambda i: F.aggregate(F.slice("equal", i + 1, F.col("w")), F.lit(0), lambda s, v: s + v)))
-    hits = hits.select("doc_id", "item_id", "n_items", "w", "seeds", best.alias("matched")).where(F.col("matched") >= F.col("w") * share)
-    return hits.groupBy("doc_id", "item_id").agg(F.first("n_items").alias("n_items"), F.max("matched").cast("long").alias("matched"), F.first("w").cast("long").alias("compared"), F.sum("seeds").alias("n_seeds"))
+    hits = hits.select("doc_id", "text_id", "item_id", "n_items", "w", "seeds", best.alias("matched")).where(F.col("matched") >= F.col("w") * share)
+    return hits.groupBy("doc_id", anonymous(F.col("doc_id"), F.col("text_id")).alias("anon"), "item_id").agg(F.first("n_items").alias("n_items"), F.max("matched").cast("long").alias("matched"), F.first("w").cast("long").alias("compared"), F.sum("seeds").alias("n_seeds"))
 
 
-#: Ids of found documents up to this number are broadcast to leave them out, 8 bytes each.
-BROADCAST_IDS = 1_000_000
+def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = 12, share: float = 0.8) -> DataFrame:
+    """doc_id, item_id, n_items, matched, compared, n_seeds for every document and item class with a verified overlap."""
+    return verified(docs, benchmark, masks, window, share).drop("anon")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without any verified overlap; rows with a null ``doc_id`` stay."""
-    found = staged(overlaps(docs, benchmark, **options).select("doc_id").where("doc_id is not null").distinct(), "contaminated")
-    return docs.join(F.broadcast(found) if found.count() <= BROADCAST_IDS else found, "doc_id", "left_anti").select(*docs.columns)
+    """The documents without any verified overlap; rows with a null ``doc_id`` are judged by their own text."""
+    found = staged(verified(docs, benchmark, **options).select("doc_id", "anon").distinct(), "contaminated")
+    found = F.broadcast(found) if found.count() <= BROADCAST_IDS else found
+    of, row = F.col("doc_id").cast("long"), "millrace_row"
+    known = docs.select(F.struct(*docs.columns).alias(row), of.alias("doc_id"), anonymous(of, F.xxhash64("text")).alias("anon"))
+    found = found.withColumnsRenamed({"doc_id": "of", "anon": "anon_of"})
+    return known.join(found, F.col("of").eqNullSafe(F.col("doc_id")) & F.col("anon_of").eqNullSafe(F.col("anon")), "left_anti").select(f"{row}.*")
