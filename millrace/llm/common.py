@@ -40,9 +40,10 @@ def staged(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows: a batch of very long documents must fit a Python worker."""
+def small_batches(spark: SparkSession, rows: int = 512, size: str = "16m") -> None:
+    """Arrow batches of few rows and few bytes: a batch of very long documents must fit a Python worker.  Settings of the session, read when a plan runs."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def partitions(spark: SparkSession) -> int:

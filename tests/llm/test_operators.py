@@ -300,7 +300,7 @@ def test_token_files(spark, docs, rows, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(BPE)
-    files = token_output.write_tokens(docs, BPE, 2, rows_per_shard=20, docs_per_block=7, sample_docs=20)
+    files = token_output.write_tokens(docs, BPE, 2, shard_bytes=20_000, docs_per_block=7, sample_docs=20)
     got = token_output.read_tokens(spark, files).collect()
     assert len(got) == len(rows)
     want, start = [], 0
@@ -329,13 +329,40 @@ def test_dictionary_hash_is_checked(spark, docs):
         token_output.read_tokens(spark, token_output.TokenFiles(path)).count()
 
 
-def test_word_cache_equals_tokenizer():
+TRICKY = "The thnt, É'été ÉTÉ l'eau don't DON'T ßÄÖ 12,5 a.b.c ... x y   <|endoftext|> <|ENDOFTEXT|> été ﬁ ŉ Σας İx ,, ,a a, 漢字 naïve K h\u0331 H\u0331. NAÏVE, (end). a-b. nul\x00 nul sixteen-letter-w seventeenletterss averyveryverylongword. …."
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_equals_tokenizer(name, rows, monkeypatch):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(BPE)
-    text = "The thnt, É'été ÉTÉ l'eau don't DON'T ßÄÖ 12,5 a.b.c ... x y   <|endoftext|> <|ENDOFTEXT|> été ﬁ ŉ Σας İx ,, ,a a, 漢字 naïve K"
-    got = b"".join(token_output.token_bytes([text.encode()], BPE, 2, 2))
-    assert np.frombuffer(got, "<u2").tolist() == t.encode(text, add_special_tokens=False).ids + [2]
+    path = public_tokenizers.path(name)
+    t, e = Tokenizer.from_file(path), token_output.Encoder(path)
+    assert e.by_word == (name == "word_bpe_49k.json")
+    texts = [r[1] or "" for r in rows] + [TRICKY, TRICKY.replace("<|", "< |"), *TRICKY.split(" "), "", "long " * 2000 + TRICKY]
+    want = [t.encode(x, add_special_tokens=False).ids + [2] for x in texts]
+    for size in (token_output.ENCODE_BYTES, 1000):  # by blocks of many texts, and texts cut into blocks
+        monkeypatch.setattr(token_output, "ENCODE_BYTES", size)
+        assert [x.tolist() for x in e.texts([x.encode() for x in texts], 2)] == want
+    assert token_output.id_width(path, 2) == 2 and token_output.id_width(path, 70_000) == 4
+
+
+def test_encoder_with_a_full_table(rows, monkeypatch):
+    monkeypatch.setattr(token_output, "TABLE_WORDS", 10)
+    monkeypatch.setattr(token_output, "_SLOT_BITS", 4)
+    monkeypatch.setattr(token_output, "ENCODE_BYTES", 3000)
+    e = token_output.Encoder(BPE)
+    texts = [r[1] or "" for r in rows]
+    assert [x.tolist() for x in e.texts([x.encode() for x in texts], 2)] == [e.whole(x) + [2] for x in texts]
+
+
+def test_token_files_of_another_tokenizer(spark, docs, rows):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    got = token_output.read_tokens(spark, token_output.write_tokens(docs.where("doc_id < 110"), path, 50256)).collect()
+    assert got and {r["doc_id"]: r["ids"] for r in got} == {r[0]: t.encode(r[1], add_special_tokens=False).ids + [50256] for r in rows if r[0] is not None and r[0] < 110}
 
 
 # 9
