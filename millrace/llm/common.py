@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir") or spark.conf.get("millrace.shared.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("millrace.shared.dir", path)
     return path.rstrip("/")
@@ -44,6 +46,16 @@ def small_batches(spark: SparkSession, rows: int = 512, size: str = "16m") -> No
     """Arrow batches of few rows and few bytes: a batch of very long documents must fit a Python worker.  Settings of the session, read when a plan runs."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    # rows that the Parquet reader decodes at once: a batch of very long texts must fit an executor
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(rows))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or the first of name_, name__, ... that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def partitions(spark: SparkSession) -> int:

@@ -7,7 +7,8 @@ probabilities are fitted by expectation maximisation with forward-backward count
 a uniform start, as Spark jobs over (language, word, count) rows.
 
 Words are runs of letters of the lower-cased text, begun with the vocabulary's word mark; a
-word of over ``MAX_LEN`` letters is cut every ``MAX_LEN`` letters.  A character that the
+word of over ``MAX_LEN`` letters is cut every ``MAX_LEN`` letters, each part begun with the mark; pieces of
+over ``MAX_PIECE`` characters, the mark included, are left out.  A character that the
 vocabulary lacks has one small probability, the same for all languages.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter, and for every
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import U64, mix, powers, seeded, small_batches
@@ -136,6 +137,12 @@ class Lattice:
         return counts
 
 
+def letters_only(text: str) -> str:
+    """The text with a space for every character beyond ASCII that is no letter."""
+    other = "" if text.isascii() else [c for c in set(text) if c > "\x7f" and not c.isalpha()]
+    return text.translate({ord(c): " " for c in other}) if other else text
+
+
 def cut(word: str) -> list[str]:
     return [word[i : i + MAX_LEN] for i in range(0, len(word), MAX_LEN)]
 
@@ -172,7 +179,7 @@ class Scorer:
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = [], []
-        split = [(t or "").lower().encode().translate(_NOT_LETTERS).split() for t in texts]
+        split = [letters_only((t or "").lower()).encode().translate(_NOT_LETTERS).split() for t in texts]
         for group in range(0, len(texts), 64):
             part = split[group : group + 64]
             new = list(set().union(*part) - self.known.keys())
@@ -182,8 +189,8 @@ class Scorer:
                 if len(new) > len(self.rows):
                     self.rows = np.zeros((len(new), self.rows.shape[1]), np.float32)
             self.learn(new)
-            for t, ws in zip(texts[group : group + 64], part, strict=True):
-                if not ws or not self.model.languages or not (t.isascii() or any(c.isalpha() for c in t)):
+            for ws in part:
+                if not ws or not self.model.languages:
                     langs.append("und")
                     scores.append(0.0)
                     continue
@@ -208,10 +215,10 @@ def fit(docs: DataFrame, vocabulary: str, max_docs: int = 1000, rounds: int = 3)
     small_batches(spark)
     pieces = vocabulary_pieces(vocabulary)
     usable = docs.where("text is not null and lang is not null and doc_id is not null").where(~held_out("doc_id"))
-    languages = sorted(r[0] for r in usable.select("lang").distinct().collect())
-    ids: set[int] = set()
-    for lang in languages:
-        ids |= {r[0] for r in usable.where(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).collect()}
+    # the rank's limit also holds before the shuffle, so that no language's rows come together
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    lowest = usable.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("rank", rank).where(F.col("rank") <= max_docs).select("lang", "doc_id").collect()
+    languages, ids = sorted({r["lang"] for r in lowest}), {r["doc_id"] for r in lowest}
     if not ids:
         return LanguageModel([], pieces, np.zeros((len(pieces) + 1, 0)))
     chosen = spark.createDataFrame([(i,) for i in ids], "doc_id long")

@@ -26,6 +26,7 @@ from millrace.llm.common import staged
 #: Sources up to this number are broadcast (about 100 bytes each); more are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
+MIX = ("mix_size", "mix_source_size", "mix_target", "mix_reps")
 
 
 def text_size(text: Column) -> Column:
@@ -85,15 +86,22 @@ def plan(sized: DataFrame, weights: tuple[int, ...], share: float, max_epochs: i
 
 
 def with_repetitions(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, max_epochs: int = 3, seed: int = 17, digits: int = 3, size_column: str | None = None) -> DataFrame:
-    """``docs`` with mix_size, mix_source_size, mix_target and mix_reps, how often the mix takes each row."""
+    """``docs`` with mix_size, mix_source_size, mix_target and mix_reps, how often the mix takes each row; they replace input columns of these names."""
+    out = _repetitions(docs, weights, share, max_epochs, seed, digits, size_column)
+    return out.select(*[F.col("mix_row")[c].alias(c) for c in docs.columns if c.lower() not in MIX], *MIX)
+
+
+def _repetitions(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, max_epochs: int = 3, seed: int = 17, digits: int = 3, size_column: str | None = None) -> DataFrame:
+    """mix_row, the row as a struct, and the columns of ``MIX``."""
     size = F.col(size_column) if size_column else text_size(F.col("text"))
     sized = docs.select("source", hash_key(seed).alias("key"), size.alias("size"))
     p = plan(sized if size_column else staged(sized, "sized"), weights, share, max_epochs, digits)
     right = p.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("whole").alias("mix_whole"), F.col("upper").alias("mix_upper"))
     right = F.broadcast(right) if p.count() <= BROADCAST_SOURCES else right
-    out = docs.withColumn("mix_size", size).join(right, F.col("source").eqNullSafe(F.col("mix_source")))
-    reps = F.col("mix_whole") + F.when((F.col("mix_whole") < max_epochs) & (hash_key(seed) <= F.col("mix_upper")), 1).otherwise(0)
-    return out.withColumn("mix_reps", reps).drop("mix_source", "mix_whole", "mix_upper")
+    out = docs.select(F.struct(*docs.columns).alias("mix_row"), F.col("source").alias("mix_of"), hash_key(seed).alias("mix_key"), size.alias("mix_size"))
+    out = out.join(right, F.col("mix_of").eqNullSafe(F.col("mix_source")))
+    reps = F.col("mix_whole") + F.when((F.col("mix_whole") < max_epochs) & (F.col("mix_key") <= F.col("mix_upper")), 1).otherwise(0)
+    return out.withColumn("mix_reps", reps).select("mix_row", *MIX)
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
@@ -105,5 +113,5 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
 
 def repeat_rows(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as the mix takes it, with the columns of ``docs``."""
-    cols = docs.columns
-    return with_repetitions(docs, **options).withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("mix_reps").cast("int")))).select(*cols)
+    out = _repetitions(docs, **options)
+    return out.select("mix_row", F.explode(F.array_repeat(F.lit(1), F.col("mix_reps").cast("int")))).select("mix_row.*")

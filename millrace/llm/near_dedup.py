@@ -38,8 +38,6 @@ from millrace.llm.components import connected_components
 
 #: Signature values behind the key that order a region and pre-check a pair, one byte each.
 TAIL = 32
-#: A pair goes to confirmation if so many of them agree: over three standard deviations below the mean at a similarity of 0.8.
-TAIL_AGREE = 18
 #: Ids up to this number are broadcast to pick the documents of candidate pairs (8 bytes each); beyond it the join is shuffled.
 BROADCAST_IDS = 500_000
 #: Rows and shingles of a block of an open region, about; two blocks are compared at a time, which bounds a task's memory.
@@ -108,7 +106,7 @@ PAIRS = "a long, b long, kind int, part int, key long, tail binary, n long"
 
 
 def _agree(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, ratio: float) -> np.ndarray:
-    return ((x == y).sum(axis=1) >= TAIL_AGREE) & (np.minimum(nx, ny) >= ratio * np.maximum(nx, ny))
+    return ((x == y).sum(axis=1) >= tail_agree(100 * ratio)) & (np.minimum(nx, ny) >= ratio * np.maximum(nx, ny))
 
 
 def _neighbours(ratio: float):
@@ -192,7 +190,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, n_words: int, percent: int) -> Da
     pick = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     sets = staged(shingle_sets(docs.join(pick, "doc_id", "left_semi").distinct(), n_words), "sets")
     left, right = (sets.select(F.col("doc_id").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    # the smaller id, which may be in very many pairs, comes last: its set is met where the pairs are and not shuffled with them
+    both = pairs.select("a", "b").join(right, "b").join(left, "a")
     inter = F.size(F.array_intersect("ha", "hb"))
     checked = both.select("a", "b", inter.alias("i"), (F.size("ha") + F.size("hb")).alias("s")).where(f"i > 0 and 100 * i >= {percent} * (s - i)")
     return staged(checked.select("a", "b").distinct(), "confirmed")
@@ -315,8 +314,23 @@ def finish(reps: DataFrame, root: DataFrame, docs: DataFrame, n_words: int, perc
     return staged(full.mapInArrow(_units(percent), "a long, b long").distinct(), "finished")
 
 
-def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, trees: int = 24, prefix: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
+def key_length(percent: int, trees: int, most: int = 5) -> int:
+    """The longest key, ``most`` values or fewer, of which two documents at the threshold share one in any tree but once in 10,000 times."""
+    fit = [k for k in range(1, most + 1) if (1 - (percent / 100) ** k) ** trees <= 1e-4]
+    if not fit:
+        raise ValueError(f"{trees} trees do not find links at {percent} %; take more")
+    return fit[-1]
+
+
+def tail_agree(percent: float) -> int:
+    """Tail values that agree at the threshold, three and a third standard deviations below the mean: 18 of 32 at 80 %."""
+    s = percent / 100
+    return int(TAIL * s - 3.34 * (TAIL * s * (1 - s)) ** 0.5)
+
+
+def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, trees: int = 24, prefix: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text); the key's length follows from the threshold."""
+    prefix = prefix or key_length(percent, trees)
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -333,7 +347,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 80, trees:
     more = confirm(staged(open_pairs, "open"), known, n_words, percent)
     member = sig.join(reps.select("set_id", "rep"), "set_id", "left")
     # rows that repeat a doc_id with another text tie their classes together
-    twice = reps.groupBy("rep").count().where("count > 1").limit(1).count() or sig.groupBy("doc_id").agg(F.count_distinct("set_id").alias("n")).where("n > 1 and doc_id is not null").limit(1).count()
+    twice = sig.where("doc_id is not null").groupBy("doc_id").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo < hi").limit(1).count()
     links = links.unionByName(more)
     root = connected_components(links)
     last = finish(reps, root, known, n_words, percent, trees, prefix)

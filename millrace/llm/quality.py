@@ -11,7 +11,8 @@ of its ``k`` nearest ones, weighted by cosine similarity.
 
 Defined results: null text counts as empty; a text without words scores the labels' mean;
 without any usable label every score is 0.5; several labels of one document count as the
-smallest; rows may repeat and a null ``doc_id`` is allowed; other columns are ignored.
+smallest; of rows that repeat a labelled ``doc_id`` one is learned from, the text that hashes
+lowest; a null ``doc_id`` is allowed; other columns are kept, but for one named as the score is.
 """
 
 from __future__ import annotations
@@ -131,8 +132,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 2000, dims: int = 4
 
     ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id", "left_semi")  # max_train ids at most
-    rows = sorted(picked.mapInArrow(run, "doc_id long, f array<int>, v array<float>").collect(), key=lambda r: (r["doc_id"], r["f"], r["v"]))
-    rows = [r for r in rows if r["f"]][: 2 * max_train]
+    # one text for each id, however many rows repeat it
+    picked = picked.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = sorted(picked.mapInArrow(run, "doc_id long, f array<int>, v array<float>").collect(), key=lambda r: r["doc_id"])
+    rows = [r for r in rows if r["f"]]
     if not rows:
         return QualityModel(np.zeros((FEATURES, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), k)
     x = np.zeros((len(rows), FEATURES), np.float32)
@@ -150,18 +153,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 2000, dims: int = 4
     return QualityModel(projection, vectors, y, k)
 
 
-def score(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """``docs`` with a column quality_score; no shuffle."""
+def score(docs: DataFrame, model: QualityModel, column: str = "quality_score") -> DataFrame:
+    """``docs`` with the score in ``column``, which replaces an input column of that name; no shuffle."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # FEATURES * dims * 4 bytes and max_train * dims * 4 bytes
-    schema = StructType([*docs.schema.fields, StructField("quality_score", DoubleType())])
+    docs = docs.drop(column)
+    schema = StructType([*docs.schema.fields, StructField(column, DoubleType())])
 
     def run(batches):
         m = shared.value
         for b in batches:
             data, offsets = text_buffer(b.column("text"))
             got = [m.score(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in blocks(offsets)]
-            yield b.append_column("quality_score", pa.array(np.concatenate(got) if got else np.zeros(0)))
+            yield b.append_column(column, pa.array(np.concatenate(got) if got else np.zeros(0)))
 
     return docs.mapInArrow(run, schema)

@@ -6,14 +6,14 @@ validity intervals, and each capture is judged by the entries that were active o
 the longest active pattern that its host ends with, at a label's border, is the one that counts.
 
 Captures are first reduced to distinct (host, day), so a host that holds a third of all
-captures is judged once for each day; the verdicts go back by a join on host and day, which no
-single host dominates.  The intervals are broadcast while they are few (``BROADCAST_INTERVALS``,
+captures is judged once for each day; the verdicts, one row for each host and day, go back by
+a join, broadcast if they are small and else split where a host and day are hot (AQE).  The intervals are broadcast while they are few (``BROADCAST_INTERVALS``,
 counted) and joined by a shuffle beyond.
 
 Defined results: a capture without a URL, host or day matches nothing and is not blocked; entries
 without pattern, action or day are ignored; of several actions of one pattern on one day a
-removal wins; repeated rows are judged alike; extra columns of captures are kept, so none of
-them may be called host, entry, active_from or blocked.
+removal wins; repeated rows are judged alike; extra columns of captures are kept, but that host,
+entry, active_from and blocked replace columns of these names.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.common import staged
+
 #: Intervals up to this number are broadcast, under 100 bytes each.
 BROADCAST_INTERVALS = 200_000
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
@@ -48,16 +50,17 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "fetched") -> DataFrame:
     """``captures`` with host, entry (the pattern that counts), active_from and blocked."""
-    spans = intervals(entries).persist()
+    spans = staged(intervals(entries), "intervals")
     small = F.broadcast(spans) if spans.count() <= BROADCAST_INTERVALS else spans
-    c = captures.withColumn("host", host_of(F.col(url)))
-    asked = c.where(F.col("host").isNotNull() & F.col(day).isNotNull()).select("host", F.col(day).alias("_on")).distinct()
+    c = captures.select(F.struct(*captures.columns).alias("capture"), host_of(F.col(url)).alias("host"), F.col(day).alias("_day"))
+    asked = c.where("host is not null and _day is not null").select("host", F.col("_day").alias("_on")).distinct()
     asked = asked.select("host", "_on", F.explode(suffixes(F.col("host"))).alias("pattern"))
     hit = asked.join(small, "pattern").where("active_from <= _on and (active_to is null or _on < active_to)")
     best = hit.groupBy("host", "_on").agg(F.max_by(F.struct("pattern", "active_from"), F.length("pattern")).alias("best"))
     best = best.select(F.col("host").alias("_host"), "_on", F.col("best.pattern").alias("entry"), F.col("best.active_from").alias("active_from"))
-    out = c.join(best, (F.col("host") == F.col("_host")) & (F.col(day) == F.col("_on")), "left").drop("_host", "_on")
-    return out.withColumn("blocked", F.col("entry").isNotNull())
+    out = c.join(best, (F.col("host") == F.col("_host")) & (F.col("_day") == F.col("_on")), "left")
+    kept = [F.col("capture")[x].alias(x) for x in captures.columns if x.lower() not in ("host", "entry", "active_from", "blocked")]
+    return out.select(*kept, "host", "entry", "active_from", F.col("entry").isNotNull().alias("blocked"))
 
 
 def fixture_log(pages: DataFrame) -> DataFrame:

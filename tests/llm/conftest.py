@@ -28,7 +28,7 @@ def corpus():
 
 
 #: Columns that clash with names that the operators use inside.
-CLASH = ("shard", "key", "size", "score", "kept", "part", "word", "row", "whole", "seed", "frame")
+CLASH = ("shard", "key", "size", "score", "kept", "part", "word", "row", "whole", "seed", "frame", "host", "entry", "blocked", "quality_score", "mix_source", "mix_size", "mix_row", "rep", "node", "base", "words", "anon", "text_id", "place", "h", "rank")
 
 
 def frame(spark, rows):

@@ -30,7 +30,7 @@ def test_url_filters(spark):
     log = [("bad.org", "add", "2024-01-10"), ("bad.org", "remove", "2024-02-01"), ("bad.org", "add", "2024-03-01"), ("x.bad.org", "add", "2024-01-20"), ("tie.com", "add", "2024-01-01"), ("tie.com", "remove", "2024-01-01"), (None, "add", "2024-01-01"), ("late.net", "add", None)]
     caps = [(1, "http://a.bad.org/x", "2024-01-09"), (2, "http://a.bad.org/x", "2024-01-10"), (3, "https://X.BAD.org:80/", "2024-01-25"), (4, "http://bad.org", "2024-02-01"), (5, "http://bad.org?q", "2024-03-05"), (6, "http://notbad.org/", "2024-01-15"), (7, "http://tie.com", "2024-01-02"), (8, None, "2024-01-15"), (9, "http://bad.org", None), (10, "nonsense", "2024-01-15"), (11, "http://u@bad.org/", "2024-01-15")]
     entries = spark.createDataFrame(log, "pattern string, action string, day string").withColumn("day", F.to_date("day"))
-    captures = spark.createDataFrame(caps, "page_id long, url string, fetched string").withColumn("fetched", F.to_date("fetched")).withColumn("pattern", F.lit("clash"))
+    captures = spark.createDataFrame(caps, "page_id long, url string, fetched string").withColumn("fetched", F.to_date("fetched")).withColumns({c: F.lit("clash") for c in ("pattern", "entry", "host", "action", "capture")})
     got = {r["page_id"]: r["entry"] for r in url_filters.judge(captures, entries).collect()}
     assert got == {1: None, 2: "bad.org", 3: "x.bad.org", 4: None, 5: "bad.org", 6: None, 7: None, 8: None, 9: None, 10: None, 11: "bad.org"}
     assert url_filters.judge(captures, entries.limit(0)).where("blocked").count() == 0
