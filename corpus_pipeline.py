@@ -7,15 +7,17 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.llm import decontamination, mixing, near_dedup, quality, token_output
-from millrace.llm.common import staged
+from millrace.llm.common import fresh, staged
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores below 0.3 go."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).where("quality_score >= 0.3").select(*docs.columns)
+    column = fresh(docs, "quality_score")
+    return quality.score(docs, model, column).where(F.col(column) >= 0.3).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
