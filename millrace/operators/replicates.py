@@ -1,33 +1,178 @@
-"""Bootstraps over any unit: multiplicities from MD5 digests, so that other engines find the same ones."""
+"""Bootstraps over any unit: multiplicities from MD5 digests, so that other engines find the same ones.
+
+A digest of (seed, block, unit) holds the draws of ``DRAWS`` replicates, twenty bits each.
+Areas under the curve take one pass over rows that are dealt and sorted by score: a task
+holds running sums for each replicate and gives three numbers for each, so what is
+shuffled are the rows, once, and not rows times replicates.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import hashlib
+from collections.abc import Callable
 
-from millrace.operators.verification import auc
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 #: Distribution function of Poisson(1) at 0, 1, ...
 CDF = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
+DRAWS = 6
+#: Numbers of one step of a task: rows times replicates.
+STEP = 2_000_000
+#: Units whose draws a task keeps.
+KNOWN = 5_000
 
 
 def multiplicity(unit: Column, seed: int | str) -> Column:
-    """A Poisson(1) count from the digest of (seed, replicate, unit); nothing is shuffled."""
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), unit.cast("string")))
-    u = F.conv(F.substring(digest, 1, 5), 16, 10).cast("int") / F.lit(1048576.0)
+    """A Poisson(1) count for column rep from the digest of (seed, block of replicates, unit); nothing is shuffled."""
+    at = F.col("rep") - 1
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.floor(at / DRAWS).cast("string"), unit.cast("string")))
+    u = F.conv(F.substring(digest, at % DRAWS * 5 + 1, F.lit(5)), 16, 10).cast("int") / F.lit(1048576.0)
     return sum(((u >= c).cast("int") for c in CDF[1:]), (u >= CDF[0]).cast("int"))
 
 
 def replicate(df: DataFrame, n: int, weight: Column) -> DataFrame:
-    """Each row in each of ``n`` replicates that draws it, with rep and w; ``weight`` may use rep."""
+    """Each row in each of ``n`` replicates that draws it, with rep and w; ``weight`` may use rep.  For rows that are units already."""
     return df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("w", weight).where("w > 0")
 
 
-def auc_by_replicate(r: DataFrame, score: str, by: tuple[str, ...] = ()) -> DataFrame:
-    return auc(r, score, "y", ["rep", *by], F.col("w"), name="v")
+def _digests(unit: str, blocks: int) -> np.ndarray:
+    """Nibbles of the digests of a unit (with its seed before the first bar), one row for each block."""
+    seed, name = unit.split("|", 1)
+    raw = np.frombuffer(b"".join(hashlib.md5(f"{seed}|{b}|{name}".encode()).digest() for b in range(blocks)), np.uint8).reshape(blocks, 16)
+    return np.stack([raw >> 4, raw & 15], 2).reshape(blocks, 32)
+
+
+def poisson(unit: str, n: int) -> np.ndarray:
+    """The counts of ``multiplicity`` for replicates 1 to n."""
+    v = _digests(unit, -(-n // DRAWS))[:, : 5 * DRAWS].reshape(-1, 5).astype(np.int64) @ (16 ** np.arange(4, -1, -1))
+    return np.searchsorted(np.array(CDF), v[:n] / 1048576.0, side="right").astype(np.uint8)
+
+
+def coin(unit: str, n: int) -> np.ndarray:
+    """n fair bits, the first of them 0: the observed order.  A unit that begins with ! gets the opposite bits."""
+    other = unit.startswith("!")
+    x = np.unpackbits(_digests(unit.lstrip("!"), -(-n // 128)).astype(np.uint8), axis=1).reshape(-1, 8)[:, 4:].ravel()[:n]
+    x[0] = 0
+    return (1 - x if other else x).astype(np.uint8)
+
+
+AREA = "part int, groups array<string>, p array<double>, n array<double>, u array<double>"
+
+
+def _weights(n: int, draw: Callable[[str, int], np.ndarray]):
+    """Units of rows -> rows x replicates; a row weighs the product of its different units' draws."""
+    known: dict[str, np.ndarray] = {}
+
+    def weights(units: list[list[str]]) -> np.ndarray:
+        out = np.ones((len(units), n))
+        for i, us in enumerate(units):
+            for x in dict.fromkeys(us):
+                if x not in known:
+                    if len(known) >= KNOWN:
+                        known.clear()
+                    known[x] = draw(x, n)
+                out[i] *= known[x]
+        return out
+
+    return weights
+
+
+def sums_by_replicate(df: DataFrame, values: list[Column], n: int, units: list[Column]) -> DataFrame:
+    """rep and s0, s1, ...: the weighted sum of each of ``values`` (null: 0) in each replicate; nothing but sums is shuffled."""
+    names = [f"s{k}" for k in range(len(values))]
+
+    def run(batches):
+        weights, total = _weights(n, poisson), np.zeros((n, len(names)))
+        step = max(1, STEP // n)
+        for b in batches:
+            units, x = b.column(0).to_pylist(), np.array(b.column(1).to_pylist(), float).reshape(-1, len(names))
+            for i in range(0, len(x), step):
+                total += weights(units[i : i + step]).T @ x[i : i + step]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, n + 1), pa.int32()), *(pa.array(c) for c in total.T)], ["rep", *names])
+
+    rows = df.select(F.array(*units).alias("units"), F.array(*[F.coalesce(v.cast("double"), F.lit(0.0)) for v in values]).alias("values"))
+    out = rows.mapInArrow(run, "rep int, " + ", ".join(f"{c} double" for c in names))
+    return out.groupBy("rep").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def _areas(n: int, draw: Callable[[str, int], np.ndarray]):
+    """For each group of a partition sorted by (groups, score): sums of both classes and of the pairs in order, by replicate."""
+
+    def run(batches):
+        weights = _weights(n, draw)
+        part, group, state = TaskContext.get().partitionId(), None, None
+
+        def finish():
+            p, q, u, score, bp, bn = state
+            u = u + bp * (q + bn / 2)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([list(group)], pa.list_(pa.string())), *(pa.array([x], pa.list_(pa.float64())) for x in (p + bp, q + bn, u))], [c.split()[0] for c in AREA.split(", ")])
+
+        step = max(1, STEP // n)
+        for b in batches:
+            groups, score, y, units = (b.column(c).to_pylist() for c in ("groups", "score", "y", "units"))
+            i = 0
+            while i < len(y):
+                j = i
+                while j < len(y) and j - i < step and groups[j] == groups[i]:
+                    j += 1
+                if tuple(groups[i]) != group:
+                    if group is not None:
+                        yield finish()
+                    group, state = tuple(groups[i]), [np.zeros(n), np.zeros(n), np.zeros(n), None, np.zeros(n), np.zeros(n)]
+                w, s, one = weights(units[i:j]), np.array(score[i:j]), np.array(y[i:j]) == 1
+                at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+                bp, bn = (np.add.reduceat(w * m[:, None], at, axis=0) for m in (one, ~one))
+                if s[0] == state[3]:  # a block of equal scores that began before
+                    bp[0] += state[4]
+                    bn[0] += state[5]
+                else:
+                    bp, bn = np.vstack([state[4], bp]), np.vstack([state[5], bn])
+                below = state[1] + np.cumsum(bn, axis=0) - bn
+                state = [state[0] + bp[:-1].sum(axis=0), state[1] + bn[:-1].sum(axis=0), state[2] + (bp[:-1] * (below[:-1] + bn[:-1] / 2)).sum(axis=0), s[-1], bp[-1], bn[-1]]
+                i = j
+        if group is not None:
+            yield finish()
+
+    return run
+
+
+def auc_by_replicate(df: DataFrame, score: str, n: int, units: list[Column], by: tuple[str, ...] = (), draw: Callable = poisson) -> DataFrame:
+    """rep, ``by`` and v, the weighted area (ties one half) of each of ``n`` replicates; none where a class has no weight.
+
+    ``units``: strings 'seed|unit'; a row weighs the product of the draws of its different units.
+    ``df`` has y (1 or 0).  A null score leaves the row out.
+    """
+    rows = df.where(F.col(score).isNotNull() & F.col("y").isNotNull()).select(F.array(*[F.col(c).cast("string") for c in by]).cast("array<string>").alias("groups"), F.col(score).cast("double").alias("score"), "y", F.array(*units).alias("units"))
+    dealt = rows.repartitionByRange("groups", "score").sortWithinPartitions("groups", "score")
+    a = dealt.mapInArrow(_areas(n, draw), AREA)
+    a = a.select("part", "groups", F.posexplode(F.arrays_zip("p", "n", "u")).alias("rep", "x")).select("part", "groups", (F.col("rep") + 1).alias("rep"), "x.*")
+    # one row for each task, group and replicate
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("groups", "rep").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    a = a.withColumn("u", F.col("u") + F.col("p") * before).groupBy("groups", "rep").agg(F.sum("u").alias("u"), (F.sum("p") * F.sum("n")).alias("d")).where("d > 0")
+    kinds = dict(df.dtypes)
+    return a.select("rep", *[F.col("groups")[i].cast(kinds[c]).alias(c) for i, c in enumerate(by)], (F.col("u") / F.col("d")).alias("v"))
 
 
 def interval(per_rep: DataFrame, *by: str) -> DataFrame:
     """valid, mean, lo and hi (2.5 % and 97.5 % points) of v over replicates; replicates without a value don't count."""
     r = lambda c: F.round(c, 6)
     return per_rep.groupBy(*by).agg(F.count("v").alias("valid"), r(F.avg("v")).alias("mean"), r(F.percentile("v", 0.025)).alias("lo"), r(F.percentile("v", 0.975)).alias("hi"))
+
+
+def paired_permutation(df: DataFrame, first: str, second: str, key: Column, n: int, seed: int) -> DataFrame:
+    """p = (c + 1) / (n + 1), c the permutations whose difference of areas is at least the observed one, and the difference.
+
+    A coin for each row and permutation swaps the two scores.  Both are one pool of points: in a permutation
+    a point counts for the first area or for the second, so each area is one of weighted points.
+    """
+    name = F.concat(F.lit(f"{seed}|"), key)
+    pool = lambda a, b: df.select("y", F.col(first).alias("s"), F.concat(F.lit(a), name).alias("unit")).unionByName(df.select("y", F.col(second).alias("s"), F.concat(F.lit(b), name).alias("unit")))
+    one, two = (auc_by_replicate(pool(*signs), "s", n + 1, [F.col("unit")], draw=coin).withColumnRenamed("v", v) for signs, v in ((("!", ""), "v1"), (("", "!"), "v2")))
+    d = one.join(two, "rep").select("rep", F.round(F.abs(F.col("v1") - F.col("v2")), 12).alias("d"))
+    seen = d.where("rep = 1").select(F.col("d").alias("d0"))
+    out = d.where("rep > 1").crossJoin(F.broadcast(seen))  # one row
+    return out.agg(((F.count_if(F.col("d") >= F.col("d0")) + 1) / (F.count(F.lit(1)) + 1)).alias("p"), F.first("d0").alias("difference"))

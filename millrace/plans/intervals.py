@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators.replicates import CDF, auc_by_replicate, interval, multiplicity, replicate
+from millrace.operators.replicates import CDF, DRAWS, auc_by_replicate, interval, multiplicity, paired_permutation, replicate, sums_by_replicate
 from millrace.plans.metrics import RANK_SQL, _first_ranks, auc_sql
 from millrace.plans.registry import query
 from millrace.plans.tables import items, pairs
 
-REPS = 20
+REPS = 1000
 POINTS = "[" + ", ".join(f"{c!r}::DOUBLE" for c in CDF) + "]"
 SUMMARY = "count(v) AS valid, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi"
 PAIR_SQL = "item_a::VARCHAR || '_' || item_b::VARCHAR"
@@ -17,7 +17,7 @@ PAIR = "concat_ws('_', item_a, item_b)"
 
 
 def m_sql(unit: str, seed: str) -> str:
-    return f"len(list_filter({POINTS}, lambda c: c <= ('0x' || substr(md5({seed} || '|' || rep::VARCHAR || '|' || ({unit})::VARCHAR), 1, 5))::INTEGER / 1048576.0::DOUBLE))"
+    return f"len(list_filter({POINTS}, lambda c: c <= ('0x' || substr(md5({seed} || '|' || ((rep - 1) // {DRAWS})::VARCHAR || '|' || ({unit})::VARCHAR), ((rep - 1) % {DRAWS} * 5 + 1)::INTEGER, 5))::INTEGER / 1048576.0::DOUBLE))"
 
 
 def drawn_sql(weight: str, source: str = "pairs") -> str:
@@ -27,15 +27,20 @@ def drawn_sql(weight: str, source: str = "pairs") -> str:
 BOTH_SQL = m_sql("entity_a", "'6'") + " * CASE WHEN entity_a = entity_b THEN 1 ELSE " + m_sql("entity_b", "'6'") + " END"
 
 
-def both_ends(seed: int):
-    """The product of the multiplicities of both entities; once, if they are one."""
-    return multiplicity(F.col("entity_a"), seed) * F.when(F.col("entity_a") == F.col("entity_b"), F.lit(1)).otherwise(multiplicity(F.col("entity_b"), seed))
+def named(unit, seed):
+    """What ``auc_by_replicate`` draws by: seed and unit."""
+    return F.concat(F.lit(f"{seed}|"), unit.cast("string"))
+
+
+def ends(seed: int):
+    """Both entities of a pair; their product counts once, if they are one."""
+    return [named(F.col("entity_a"), seed), named(F.col("entity_b"), seed)]
 
 
 @query("b03_dyad_bootstrap", f"SELECT {SUMMARY} FROM (SELECT auc AS v FROM {auc_sql('score', by='rep', weight='w', source=drawn_sql(BOTH_SQL))})")
 def b03(spark, d):
     """Owner and partner are drawn; a row weighs the product."""
-    return interval(auc_by_replicate(replicate(pairs(spark, d), REPS, both_ends(6)), "score"))
+    return interval(auc_by_replicate(pairs(spark, d), "score", REPS, ends(6)))
 
 
 CLASS_SQL = m_sql(PAIR_SQL, "'5' || y::VARCHAR")
@@ -44,8 +49,8 @@ CLASS_SQL = m_sql(PAIR_SQL, "'5' || y::VARCHAR")
 @query("b05_class_bootstrap", f"SELECT {SUMMARY} FROM (SELECT auc AS v FROM {auc_sql('score', by='rep', weight='w', source=drawn_sql(CLASS_SQL))})")
 def b05(spark, d):
     """Positives and negatives are drawn independently."""
-    m = F.when(F.col("y") == 1, multiplicity(F.expr(PAIR), "51")).otherwise(multiplicity(F.expr(PAIR), "50"))
-    return interval(auc_by_replicate(replicate(pairs(spark, d), REPS, m), "score"))
+    unit = F.when(F.col("y") == 1, named(F.expr(PAIR), "51")).otherwise(named(F.expr(PAIR), "50"))
+    return interval(auc_by_replicate(pairs(spark, d), "score", REPS, [unit]))
 
 
 ANCHOR_SQL = drawn_sql(m_sql("item_a", "'7'"))
@@ -54,8 +59,8 @@ ANCHOR_SQL = drawn_sql(m_sql("item_a", "'7'"))
 @query("b06_anchor_paired_gain", f"SELECT {SUMMARY}, round(avg((v > 0)::INTEGER), 6) AS share_above FROM (SELECT b.auc - a.auc AS v FROM {auc_sql('score', by='rep', weight='w', source=ANCHOR_SQL)} a JOIN {auc_sql('tuned', by='rep', weight='w', source=ANCHOR_SQL)} b USING (k))")
 def b06(spark, d):
     """Gain of the second score on the same draws of anchors, and the share of replicates in which it is positive."""
-    r = replicate(pairs(spark, d), REPS, multiplicity(F.col("item_a"), 7))
-    both = auc_by_replicate(r, "score").withColumnRenamed("v", "a").join(auc_by_replicate(r, "tuned").withColumnRenamed("v", "b"), "rep").select("rep", (F.col("b") - F.col("a")).alias("v"))
+    a, b = (auc_by_replicate(pairs(spark, d), s, REPS, [named(F.col("item_a"), 7)]) for s in ("score", "tuned"))
+    both = a.withColumnRenamed("v", "a").join(b.withColumnRenamed("v", "b"), "rep").select("rep", (F.col("b") - F.col("a")).alias("v"))
     above = both.agg(F.round(F.avg((F.col("v") > 0).cast("int")), 6).alias("share_above"))
     return interval(both).crossJoin(F.broadcast(above))  # one row each
 
@@ -81,7 +86,7 @@ UNION ALL SELECT 'tuned', {SUMMARY} FROM (SELECT auc AS v FROM {auc_sql('s', by=
 def b08(spark, d):
     """Several models on the same draws of subjects, in one pass."""
     long = pairs(spark, d).select("entity_a", "entity_b", "y", "score", "tuned").unpivot(["entity_a", "entity_b", "y"], ["score", "tuned"], "model", "s")
-    return interval(auc_by_replicate(replicate(long, REPS, both_ends(6)), "s", ("model",)), "model")
+    return interval(auc_by_replicate(long, "s", REPS, ends(6), ("model",)), "model")
 
 
 @query("b09_query_bootstrap", f"""
@@ -99,17 +104,18 @@ WITH r AS (SELECT rep, sum(w) FILTER (y = 0 AND score >= 0.2)::DOUBLE / nullif(s
 SELECT 'fmr' AS rate, {SUMMARY} FROM (SELECT fmr AS v FROM r) UNION ALL SELECT 'fnmr', {SUMMARY} FROM (SELECT fnmr AS v FROM r)""")
 def b10(spark, d):
     """False match and non-match rates at a fixed threshold, both endpoints drawn."""
-    r = replicate(pairs(spark, d), REPS, both_ends(6))
-    s = lambda cond: F.coalesce(F.sum(F.when(F.expr(cond), F.col("w"))), F.lit(0))
-    rates = r.groupBy("rep").agg((s("y = 0 and score >= 0.2") / F.nullif(s("y = 0"), F.lit(0))).alias("fmr"), (s("y = 1 and score < 0.2") / F.nullif(s("y = 1"), F.lit(0))).alias("fnmr"))
+    one = lambda cond: F.when(F.expr(cond), 1)
+    r = sums_by_replicate(pairs(spark, d), [one("y = 0 and score >= 0.2"), one("y = 0"), one("y = 1 and score < 0.2"), one("y = 1")], REPS, ends(6))
+    rates = r.select("rep", (F.col("s0") / F.nullif("s1", F.lit(0.0))).alias("fmr"), (F.col("s2") / F.nullif("s3", F.lit(0.0))).alias("fnmr"))
     return interval(rates.unpivot(["rep"], ["fmr", "fnmr"], "rate", "v"), "rate")
 
 
 @query("b11_cluster_mean", f"SELECT {SUMMARY} FROM (SELECT rep, sum(w * quality) / sum(w) AS v FROM {drawn_sql(m_sql('entity', chr(39) + '11' + chr(39)), 'items')} GROUP BY rep HAVING sum(w) > 0)")
 def b11(spark, d):
     """Mean of a column with whole clusters drawn."""
-    r = replicate(items(spark, d).select("entity", "quality"), REPS, multiplicity(F.col("entity"), 11))
-    return interval(r.groupBy("rep").agg((F.sum(F.col("w") * F.col("quality")) / F.sum("w")).alias("v")))
+    units = items(spark, d).groupBy("entity").agg(F.sum("quality").alias("q"), F.count(F.lit(1)).alias("rows"))
+    r = replicate(units, REPS, multiplicity(F.col("entity"), 11))
+    return interval(r.groupBy("rep").agg((F.sum(F.col("w") * F.col("q")) / F.sum(F.col("w") * F.col("rows"))).alias("v")))
 
 
 @query("b12_equal_person_error", f"""
@@ -126,7 +132,7 @@ def b12(spark, d):
 @query("b14_anchor_entity_bootstrap", f"SELECT {SUMMARY} FROM (SELECT auc AS v FROM {auc_sql('score', by='rep', weight='w', source=drawn_sql(m_sql('entity_a', chr(39) + '14' + chr(39))))})")
 def b14(spark, d):
     """Entities of the anchors are drawn, whole blocks of pairs with them."""
-    return interval(auc_by_replicate(replicate(pairs(spark, d), REPS, multiplicity(F.col("entity_a"), 14)), "score"))
+    return interval(auc_by_replicate(pairs(spark, d), "score", REPS, [named(F.col("entity_a"), 14)]))
 
 
 GAIN_SQL = drawn_sql(m_sql(PAIR_SQL, "'15'"))
@@ -139,7 +145,24 @@ def b15(spark, d):
     """Gain of the second score by split; no value below 40 rows or two of a class."""
     p = pairs(spark, d).withColumnRenamed("split_a", "split")
     n = p.groupBy("split").agg(((F.count(F.lit(1)) >= 40) & (F.count_if(F.col("y") == 1) >= 2) & (F.count_if(F.col("y") == 0) >= 2)).alias("enough"))
-    r = replicate(p, REPS, multiplicity(F.expr(PAIR), 15))
-    a, b = (auc_by_replicate(r, s, ("split",)).withColumnRenamed("v", s) for s in ("score", "tuned"))
+    a, b = (auc_by_replicate(p, s, REPS, [named(F.expr(PAIR), 15)], ("split",)).withColumnRenamed("v", s) for s in ("score", "tuned"))
     v = a.join(b, ["rep", "split"]).join(n, "split").select("split", F.when(F.col("enough"), F.col("tuned") - F.col("score")).alias("v"))
     return interval(v, "split")
+
+
+@query("b01_pair_bootstrap", f"SELECT {SUMMARY} FROM (SELECT auc AS v FROM {auc_sql('score', by='rep', weight='w', source=drawn_sql(m_sql(PAIR_SQL, chr(39) + '1' + chr(39))))})")
+def b01(spark, d):
+    """Percentile interval of the AUC over resampled pairs."""
+    return interval(auc_by_replicate(pairs(spark, d), "score", REPS, [named(F.expr(PAIR), 1)]))
+
+
+@query("b02_subject_bootstrap", f"SELECT {SUMMARY} FROM (SELECT auc AS v FROM {auc_sql('tuned', by='rep', weight='w', source=drawn_sql(BOTH_SQL))})")
+def b02(spark, d):
+    """Entities are resampled; a pair weighs the product of its two entities' multiplicities."""
+    return interval(auc_by_replicate(pairs(spark, d), "tuned", REPS, ends(6)))
+
+
+@query("v19_permutation_test")
+def v19(spark, d):
+    """Paired permutation p value of 10,000 permutations: a coin swaps the two scores of each row."""
+    return paired_permutation(pairs(spark, d), "score", "tuned", F.expr(PAIR), 10_000, 11)

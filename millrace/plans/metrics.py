@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import buckets
-from millrace.operators import models, resampling
+from millrace.operators import models
 from millrace.operators import verification as v
 from millrace.operators.sampling import group_folds
 from millrace.plans.projections import GAP_SQL
@@ -204,12 +204,6 @@ def v18(spark, d):
     return v.delong(p, "score", "tuned", "y", "key").select(rnd(F.col("auc1")).alias("auc1"), rnd(F.col("auc2")).alias("auc2"), rnd(F.col("z"), 4).alias("z"))
 
 
-@query("v19_permutation_test")
-def v19(spark, d):
-    """Paired permutation p value: a hash coin swaps the two scores of each row in each replicate."""
-    return resampling.paired_permutation(pairs(spark, d), "score", "tuned", "y", ["item_a", "item_b"], 20, 11)
-
-
 @query("v20_cue_auc", f"SELECT 'age_a' AS cue, round(greatest(auc, 1 - auc), 6) AS auc FROM {auc_sql('age_a::DOUBLE', where='age_a IS NOT NULL')} UNION ALL SELECT 'gap', round(greatest(auc, 1 - auc), 6) FROM {auc_sql('gap::DOUBLE', where='gap IS NOT NULL')}")
 def v20(spark, d):
     """How well an attribute alone tells the classes apart."""
@@ -329,18 +323,6 @@ def v37(spark, d):
     return v.auc(pairs(spark, d).withColumnRenamed("split_a", "split"), "score", "y", ["split"]).select("split", rnd(F.col("auc")).alias("auc"))
 
 
-@query("b01_pair_bootstrap")
-def b01(spark, d):
-    """Percentile interval of the AUC over resampled pairs."""
-    return resampling.bootstrap_auc(pairs(spark, d).select("score", "y", F.struct("item_a", "item_b").alias("unit")), "unit", None, 20, 5)
-
-
-@query("b02_subject_bootstrap")
-def b02(spark, d):
-    """Entities are resampled; a pair weighs the product of its two entities' multiplicities."""
-    return resampling.bootstrap_auc(pairs(spark, d).select("score", "y", F.col("entity_a").alias("u"), F.col("entity_b").alias("w")), "u", "w", 20, 6)
-
-
 @query("b04_leave_one_subject_out", f"""
 SELECT k AS label, round(auc, 6) AS auc FROM {auc_sql('score', by='k2', source='(SELECT p.*, g.k2 FROM pairs p JOIN items i ON p.item_a = i.item JOIN items j ON p.item_b = j.item, (SELECT DISTINCT label AS k2 FROM items) g WHERE i.label <> g.k2 AND j.label <> g.k2)')}""")
 def b04(spark, d):

@@ -16,7 +16,6 @@ from millrace.operators import verification as v
 from millrace.operators.governance import hmac_sha256
 from millrace.operators.graph import component_labels
 from millrace.operators.matching import greedy_matching
-from millrace.operators.resampling import multiplicity
 from millrace.operators.running import running_sums, score_bucket
 from millrace.operators.sampling import group_folds, hash_priority, hash_sample
 from millrace.operators.similarity import band_join, search
@@ -103,11 +102,6 @@ def test_hash_order_and_samples(spark):
     assert group_folds(df, "k", 5, 7).groupBy("fold").count().where("count <> 20").count() == 0
 
 
-def test_multiplicity_mean(spark):
-    df = spark.range(4000).select(multiplicity(F.lit(1), F.col("id"), 3).alias("m"))
-    assert abs(df.agg(F.avg("m")).first()[0] - 1) < 0.06
-
-
 def test_buckets(spark):
     df = spark.createDataFrame([(None,), (0,), (5,), (6,), (24,), (25,), (200,), (201,)], "a int")
     assert [r[0] for r in df.select(buckets.gap_bucket(F.col("a"))).collect()] == ["unknown", "0-5", "5-10", "5-10", "15-25", "25-200", "25+", "25+"]
@@ -179,5 +173,41 @@ def test_replicate_multiplicity(spark):
     assert all(abs(r["sum(w)"] / 3000 - 1) < 0.08 for r in df.groupBy("rep").agg(F.sum("w")).collect())
 
 
+def test_numpy_draws_equal_columns(spark):
+    want = {(r["id"], r["rep"]): r["w"] for r in replicates.replicate(spark.range(20), 31, replicates.multiplicity(F.col("id"), 3)).collect()}
+    assert all(want.get((u, k + 1), 0) == w for u in range(20) for k, w in enumerate(replicates.poisson(f"3|{u}", 31)))
+    flips = np.array([replicates.coin(f"3|{u}", 200) for u in range(200)])
+    assert abs(flips[:, 1:].mean() - 0.5) < 0.01 and (replicates.coin("!3|7", 200) == 1 - replicates.coin("3|7", 200)).all()
+
+
+@pytest.mark.parametrize("step", [2_000_000, 60])
+def test_areas_by_replicate(spark, monkeypatch, step):
+    """Ties over borders of tasks and steps, a group without one class, null scores."""
+    rnd = random.Random(4)
+    rows = [(rnd.choice("ab"), round(rnd.uniform(0, 1), 1), rnd.randint(0, 1), f"u{i % 40}") for i in range(300)] + [("c", 0.5, 1, "u1"), ("a", None, 1, "u2")]
+    df = spark.createDataFrame(rows, "g string, s double, y int, u string")
+    monkeypatch.setattr(replicates, "STEP", step)
+    got = {(r["g"], r["rep"]): r["v"] for r in replicates.auc_by_replicate(df, "s", 20, [F.concat(F.lit("1|"), "u")], ("g",)).collect()}
+    w = {u: replicates.poisson(f"1|{u}", 20) for u in {r[3] for r in rows}}
+    for g in "abc":
+        for k in range(20):
+            own = [(s, y, int(w[u][k])) for h, s, y, u in rows if h == g and s is not None]
+            pairs = [(a, b, x * z) for a, y, x in own if y for b, q, z in own if not q]
+            total = sum(m for *_, m in pairs)
+            want = sum(m * ((a > b) + 0.5 * (a == b)) for a, b, m in pairs) / total if total else None
+            assert got.get((g, k + 1)) == (pytest.approx(want) if total else None)
+
+
+def test_paired_permutation(spark):
+    rnd = random.Random(5)
+    rows = [(str(i), i % 2, rnd.gauss(i % 2, 1), rnd.gauss(0, 1)) for i in range(80)]
+    df = spark.createDataFrame(rows, "k string, y int, a double, b double")
+    r = replicates.paired_permutation(df, "a", "b", F.col("k"), 300, 2).first()
+    area = lambda pts: brute_auc(pts)
+    c = np.array([replicates.coin(f"2|{k}", 301) for k, *_ in rows])
+    d = [abs(area([((b if c[i, j] else a), y) for i, (_, y, a, b) in enumerate(rows)]) - area([((a if c[i, j] else b), y) for i, (_, y, a, b) in enumerate(rows)])) for j in range(301)]
+    assert r["difference"] == pytest.approx(d[0]) and r["p"] == pytest.approx((sum(x >= d[0] - 1e-12 for x in d[1:]) + 1) / 301)
+
+
 def test_first_object():
     assert text.first_object('x {a {"k": "} {"} } y') == '{"k": "} {"}' and text.first_object("{ {") is None and text.first_object(None) is None
