@@ -10,7 +10,7 @@ compared with all labelled vectors in exact blocked products.  Its score is the
 of its ``k`` nearest ones, weighted by cosine similarity.
 
 Defined results: null text counts as empty; a text without words scores the labels' mean;
-without any usable label every score is 0.5; several labels of one document count as the
+without any usable label every score is 0.5; with few rows of a label k falls to their number; several labels of one document count as the
 smallest; of rows that repeat a labelled ``doc_id`` one is learned from, the text that hashes
 lowest; a null ``doc_id`` is allowed; other columns are kept, but for one named as the score is.
 """
@@ -142,6 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 2000, dims: int = 4
     for i, r in enumerate(rows):
         x[i, r["f"]] = r["v"]
     y = np.array([chosen[r["doc_id"]] for r in rows], float)
+    k = max(1, min(k, int(y.sum()), int((1 - y).sum())))  # a label with fewer rows than k could not win among k neighbours
     dims = min(dims, len(rows))
     rng = np.random.default_rng(7)
     q = x @ (x.T @ (x @ rng.standard_normal((FEATURES, dims + 8), np.float32)))

@@ -18,7 +18,10 @@ Three passes, all of them Spark shuffles of packed arrays:
    documents, in ascending order, gets a suffix array (sorted by the 50 bytes from the anchor
    on), is merge-scanned against the family's levels for runs that agree in the anchor, in which the
    matching 50-byte strings are found, and joins the family; levels of equal size
-   merge, so the family has logarithmically many.
+   merge, so the family has logarithmically many.  The contexts of an anchor that has over
+   ``HOT_CONTEXTS`` of them (a line under 50 bytes that very many documents hold in different
+   surroundings) do not go to one task: their 50-byte strings are dealt by 128 bits of hash, and
+   of equal ones a map task sends the smallest document's alone.
 3. What is covered goes back to the texts, which are cut.
 
 Defined results: null text is empty; texts under 50 bytes lose nothing; documents with a null
@@ -37,12 +40,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BYTE, U64, mix, partitions, powers, prefix_hash, small_batches, staged
+from millrace.llm.common import BYTE, U64, mix, partitions, powers, prefix_hash, seeded, small_batches, staged
 
 LENGTH, GRAM = 50, 20
 SIDE = LENGTH - GRAM  # bytes of context on either side of an anchor
 WINDOWS = SIDE + 1
 ALL = (1 << WINDOWS) - 1
+_BYTE2 = seeded(256, 23) | U64(1)
 #: Bytes of text packed at once by a map task, and of text for each task of a shuffle.
 FLUSH_BYTES, TASK_BYTES = 8_000_000, 16_000_000
 SEGMENT = 2_000_000
@@ -50,7 +54,9 @@ SEGMENT = 2_000_000
 BATCH = 1 << 14
 
 ROWS = "part int, kind int, blob binary"
-COVERED, WANTED, ANCHORS, TEXTS = 0, 1, 2, 3
+COVERED, WANTED, HOT, ANCHORS, STRING, TEXTS = range(6)
+#: An anchor with more different contexts than this, about 30 MB of a family, is matched string by string (``_strings``), not by one task.
+HOT_CONTEXTS = 1 << 14
 
 
 # Packing: columns of numbers as differences, compressed.
@@ -213,7 +219,7 @@ def _sample(n: int):
     return run
 
 
-def _settle(n: int):
+def _settle(n: int, hot: int):
     """Pass 1, reduce side: covered anchors, and those whose contexts are wanted."""
 
     def run(batches):
@@ -235,8 +241,11 @@ def _settle(n: int):
         if len(left):
             hs, cs, ds = h[left][order], c[left][order], a["doc"][left][order]
             _, hfirst, hgroup = _groups(hs)
+            contexts = np.cumsum(np.r_[True, (hs[1:] != hs[:-1]) | (cs[1:] != cs[:-1])])
+            many = (np.maximum.reduceat(contexts, hfirst) - np.minimum.reduceat(contexts, hfirst) >= hot)[hgroup]
             several = (np.minimum.reduceat(ds, hfirst) != np.maximum.reduceat(ds, hfirst)) & (np.minimum.reduceat(cs, hfirst) != np.maximum.reduceat(cs, hfirst))
-            rows += _covered(a, left[order[several[hgroup]]], 0, n, WANTED)
+            wanted = several[hgroup]
+            rows += _covered(a, left[order[wanted & ~many]], 0, n, WANTED) + _covered(a, left[order[wanted & many]], 0, n, HOT)
         yield _batch(rows)
 
     return run
@@ -341,10 +350,78 @@ def _contexts(n: int):
     return run
 
 
+STRING_TYPES = {"doc": "<i8", "tag": "<u4", "pos": "<i4", "j": "u1", "w1": ("u1", 8), "w2": ("u1", 8)}
+
+
+def _strings(n: int):
+    """Pass 2, for hot anchors: the 50-byte strings through each, by two hashes; those settled here as covered."""
+
+    def flush(cols):
+        a = {k: np.concatenate(v) for k, v in zip(("doc", "tag", "pos", "j", "w1", "w2"), zip(*cols, strict=True), strict=True)}
+        done = _repeated(a["w1"], a["w2"], a["doc"])
+        rows = _string_cover(a, np.flatnonzero(done), n)
+        left = np.flatnonzero(~done)
+        for p, i in _split((a["w1"][left] % U64(n)).astype(np.int64), n):
+            i = left[i]
+            rows.append((p, STRING, pack(doc=a["doc"][i], tag=a["tag"][i], pos=a["pos"][i], j=a["j"][i], w1=_raw(a["w1"][i], 8), w2=_raw(a["w2"][i], 8))))
+        return _batch(rows)
+
+    def run(batches):
+        cols, size = [], 0
+        for told, blob in _told_first(batches):
+            for doc, text in _open_texts(blob):
+                if doc is None or len(text) < LENGTH:
+                    continue
+                tag = zlib.crc32(text)
+                pos = np.unique(told.of(doc, tag)[0]).astype(np.int64)
+                start = pos[:, None] - SIDE + np.arange(WINDOWS)
+                k, j = np.nonzero((start >= 0) & (start + LENGTH <= len(text)))
+                if not len(k):
+                    continue
+                windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), LENGTH)
+                pw, _ = powers(LENGTH)
+                for i in range(0, len(k), 1 << 16):
+                    x = windows[start[k[i : i + (1 << 16)], j[i : i + (1 << 16)]]]
+                    w1, w2 = (mix((table[x] * pw[:LENGTH]).sum(axis=1, dtype=U64)) for table in (BYTE, _BYTE2))
+                    cols.append([np.full(len(x), doc, "<i8"), np.full(len(x), tag, "<u4"), pos[k[i : i + (1 << 16)]].astype("<i4"), j[i : i + (1 << 16)].astype("u1"), w1, w2])
+                    size += len(x)
+                    if size >= 1 << 19:
+                        yield flush(cols)
+                        cols, size = [], 0
+        if cols:
+            yield flush(cols)
+
+    return run
+
+
+def _string_cover(a: dict, at: np.ndarray, n: int) -> list[tuple[int, int, bytes]]:
+    return _covered(a, at, np.left_shift(1, a["j"][at].astype(np.int64)), n)
+
+
+def _match_strings(n: int):
+    """Pass 2, for hot anchors, reduce side: strings that a smaller document holds."""
+
+    def run(batches):
+        blobs = []
+        for b in batches:
+            for part, kind, blob in zip(*(b.column(c).to_pylist() for c in ("part", "kind", "blob")), strict=True):
+                if kind == COVERED:
+                    yield _batch([(part, COVERED, blob)])
+                else:
+                    blobs.append(unpack(blob, **STRING_TYPES))
+        if blobs:
+            a = {k: np.concatenate([x[k] for x in blobs]) for k in STRING_TYPES}
+            done = _repeated(_number(a["w1"]), _number(a["w2"]), a["doc"])
+            yield _batch(_string_cover(a, np.flatnonzero(done), n))
+
+    return run
+
+
 class Family:
     """Suffix arrays over one task's contexts: one for each level, level sizes growing geometrically.
 
     A level is an array of context numbers in the order of the ``LENGTH`` bytes from the anchor on.
+    Two of them, both in order, are merged; hits are compared byte by byte.
     """
 
     def __init__(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray, doc: np.ndarray):
@@ -352,7 +429,8 @@ class Family:
         right = np.zeros((n, 56), np.uint8)
         right[:, :LENGTH] = x[:, SIDE:]
         self.words = right.view(">u8").astype(U64)
-        self.doc = doc
+        self.doc, self.x = doc, x
+        self.text = np.ascontiguousarray(right).view("S56").ravel()
         prefix = np.zeros((n, CONTEXT + 1), U64)
         pw, ipw = powers(CONTEXT + 1)
         np.cumsum(BYTE[x] * pw[:CONTEXT], axis=1, out=prefix[:, 1:])
@@ -366,9 +444,13 @@ class Family:
     def suffix_array(self, members: np.ndarray) -> np.ndarray:
         return members[np.lexsort(self.words[members].T[::-1])]
 
+    def merge(self, level: np.ndarray, batch: np.ndarray) -> np.ndarray:
+        """Two suffix arrays as one."""
+        return np.insert(level, np.searchsorted(self.text[level], self.text[batch]), batch)
+
     def scan(self, level: np.ndarray, batch: np.ndarray) -> None:
         """Marks the strings of ``batch`` that a smaller document of ``level`` or ``batch`` holds."""
-        merged = level if level is batch else self.suffix_array(np.concatenate([level, batch]))
+        merged = level if level is batch else self.merge(level, batch)
         w = self.words[merged]
         same = (w[1:, 0] == w[:-1, 0]) & (w[1:, 1] == w[:-1, 1]) & ((w[1:, 2] >> U64(32)) == (w[:-1, 2] >> U64(32)))
         run = np.cumsum(np.r_[True, ~same]) - 1
@@ -385,7 +467,18 @@ class Family:
         key, row = key[order], row[order]
         new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         d = self.doc[merged][row]
-        hit = d > np.repeat(np.minimum.reduceat(d, new), np.diff(np.r_[new, len(key)]))
+        sizes = np.diff(np.r_[new, len(key)])
+        least = np.minimum.reduceat(d, new)
+        hit = d > np.repeat(least, sizes)
+        # the bytes decide: every hit is compared with the string of the smallest document
+        col = np.broadcast_to(np.arange(WINDOWS), ok.shape)[ok][order]
+        whose = np.flatnonzero(~hit)
+        first = whose[np.searchsorted(whose, new)]
+        at, of = np.flatnonzero(hit), np.repeat(first, sizes)[hit]
+        strings = np.lib.stride_tricks.sliding_window_view(self.x, LENGTH, axis=1)
+        for i in range(0, len(at), 1 << 16):
+            p, q = at[i : i + (1 << 16)], of[i : i + (1 << 16)]
+            hit[p] = (strings[merged[row[p]], col[p]] == strings[merged[row[q]], col[q]]).all(axis=1)
         got = np.zeros(len(order), bool)
         got[order] = hit
         out = np.zeros(ok.shape, bool)
@@ -400,7 +493,7 @@ class Family:
         self.levels.append(batch)
         while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
             last = self.levels.pop()
-            self.levels[-1] = self.suffix_array(np.concatenate([self.levels[-1], last]))
+            self.levels[-1] = self.merge(self.levels[-1], last)
 
 
 def _match(n: int):
@@ -458,7 +551,7 @@ def _result(with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_text: bool = False, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, the kept text (split characters replaced)."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -466,11 +559,16 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(partitions(spark), -(-total // TASK_BYTES))
     sampled = docs.mapInArrow(_sample(n), ROWS).repartitionById(n, F.col("part"))
-    settled = staged(sampled.mapInArrow(_settle(n), ROWS), "settled")
+    settled = staged(sampled.mapInArrow(_settle(n, hot_contexts), ROWS), "settled")
 
     def with_texts(told: DataFrame) -> DataFrame:
         return docs.mapInArrow(_texts(n), ROWS).unionByName(told).repartitionById(n, F.col("part")).sortWithinPartitions("kind")
 
     contexts = with_texts(settled.where(F.col("kind") == WANTED)).mapInArrow(_contexts(n), ROWS).repartitionById(n, F.col("part"))
     matched = staged(contexts.mapInArrow(_match(n), ROWS), "matched")
-    return with_texts(settled.where(F.col("kind") == COVERED).unionByName(matched)).mapInArrow(_result(with_text), RESULT + ", kept string" * with_text)
+    told = settled.where(F.col("kind") == COVERED).unionByName(matched)
+    hot = settled.where(F.col("kind") == HOT)
+    if hot.limit(1).count():
+        strings = with_texts(hot).mapInArrow(_strings(n), ROWS).repartitionById(n, F.col("part"))
+        told = told.unionByName(staged(strings.mapInArrow(_match_strings(n), ROWS), "hot"))
+    return with_texts(told).mapInArrow(_result(with_text), RESULT + ", kept string" * with_text)

@@ -262,6 +262,17 @@ def test_suffix_dedup_on_periodic_and_shared_passages(spark):
     assert got == sorted(brute_cut([(d, t.encode()) for d, t in rows]), key=str)
 
 
+def test_suffix_dedup_around_hot_lines(spark):
+    """A line too short to match, between differing and between repeated text, in every document."""
+    rnd = random.Random(13)
+    line, sides = "= this line is in every document =", [prose(rnd, 4) for _ in range(12)]
+    rows = [(i, f"{rnd.choice(sides)}{line}{rnd.choice(sides)}\n{prose(rnd, 3)}{line}{prose(rnd, 3)}") for i in range(60)]
+    want = sorted(brute_cut([(d, t.encode()) for d, t in rows]), key=str)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sum(r[2] for r in want) > 500
+    assert sorted(map(tuple, suffix_dedup.remove_repeats(df, hot_contexts=5).collect()), key=str) == want
+
+
 def test_family_with_many_levels(monkeypatch, spark):
     monkeypatch.setattr(suffix_dedup, "BATCH", 8)
     rnd = random.Random(6)
