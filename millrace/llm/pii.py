@@ -271,7 +271,12 @@ def labelled_rows(n: int = 600, seed: int = 5) -> list[tuple[str, list[tuple[str
         return pick(".".join(p), ".".join(p), " . ".join(p), "[.]".join(p))
 
     def clean():
-        return pick(f"{num(1)}.{num(1)}", f"20{num(2)}-0{num(1)}-1{num(1)}", f"${num(1)},{num(3)}.{num(2)}", f"{num(2)}:{num(2)}", num(int(rng.integers(1, 7))), f"v{num(1)}.{num(1)}.{num(1)}", f"{num(2)}%", f"({num(4)})", f"{word()}/{word()}", f"{word()} at {word()}", f"[{num(1)}]", f"#{num(3)}", f"{num(2)}-{num(2)}", f"{word()}_{num(6)}", word() + "***", "|", f"{num(24)}", f"{num(4)}c{num(3)}d{num(12)}f{num(5)}")
+        return pick(f"{num(1)}.{num(1)}", f"20{num(2)}-0{num(1)}-1{num(1)}", f"${num(1)},{num(3)}.{num(2)}", f"{num(2)}:{num(2)}", num(int(rng.integers(1, 7))), f"v{num(1)}.{num(1)}.{num(1)}", f"{num(2)}%", f"({num(4)})", f"{word()}/{word()}", f"{word()} at {word()}", f"[{num(1)}]", f"#{num(3)}", f"{num(2)}-{num(2)}", f"{word()}_{num(6)}", word() + "***", "|", f"{num(24)}", f"{num(4)}c{num(3)}d{num(12)}f{num(5)}", *hard())
+
+    def hard():
+        """What looks like personal data and is none: hex keys, versions, times, ranges, amounts, prose with 'at' and 'dot'."""
+        key = lambda k: "".join("0123456789abcdef"[int(v)] for v in rng.integers(0, 16, k))
+        return key(32), key(40), f"{key(8)}-{key(4)}-{key(4)}-{key(12)}", f"{num(1)}.{num(2)}.{num(1)}-{num(4)}", f"{num(2)}:{num(2)}:{num(2)}.{num(3)}", f"{num(3)} - {num(3)}", f"{word()} at {word()}. {word().capitalize()}", f"{word()} dot {word()}", f"{word()} at the {word()} dot", f"{num(4)}/{num(2)}", f"{num(1)},{num(3)},{num(3)}", f"ISBN {num(3)}-{num(1)}-{num(2)}"
 
     makers = {"email": email, "ip": ip, "card": cards, "phone": phone}
     out = []

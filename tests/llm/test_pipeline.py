@@ -77,3 +77,15 @@ def test_registered_queries_cover_whole_tables(spark):
     n = spark.read.parquet(f"{SMALL}/documents.parquet").agg(F.count_distinct("doc_id")).first()[0]
     for name in ("op2_fingerprints", "op4_quality", "op5_mixing", "op7_suffix_dedup", "op9_near_dedup"):
         assert queries.queries()[name](spark, SMALL).count() == n
+
+
+def test_stages_on_edge_cases(docs, empty, spark, tmp_path):
+    """Null texts and ids, repeated ids, a very long text, clashing columns and no rows, through all stages."""
+    for of, rows in (("docs", docs), ("empty", empty)):
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = str(tmp_path / f"{of}{k}")
+            stage(spark, rows, SMALL).write.parquet(out)
+            after = spark.read.parquet(out)
+            assert name == "token_output" or after.columns == rows.columns
+            rows = after
+        assert (rows.count() > 0) == (of == "docs")
