@@ -9,47 +9,38 @@ from pyspark.sql import functions as F
 
 #: Queries that one pass compares with a partition of the gallery; more queries make more passes.
 QUERY_BLOCK = 4096
+#: Queries in one product with a batch of the gallery.
+STEP = 256
 
 
-def search(queries: DataFrame, gallery: DataFrame, k: int, key: str = "item", vec: str = "vec", least: float | None = None) -> DataFrame:
-    """query, item, sim: the k most similar other rows of each query (ties: smaller key), at least ``least`` similar.
+def search(queries: DataFrame, gallery: DataFrame, k: int, key: str = "item", vec: str = "vec", least: float | None = None, below: float | None = None, differ: tuple[str, ...] = ()) -> DataFrame:
+    """query, item, sim, rank: the k most similar other rows of each query (ties: smaller key), at least ``least`` and under ``below`` similar, in whose ``differ`` columns (of no nulls) both differ.
 
     Queries are cut into blocks of at most ``QUERY_BLOCK`` rows.  Each gallery partition
     keeps the k best of its rows for each query of a block, so what is shuffled is k rows for
     each query and partition, and no block is larger than its bound.
     """
     out = None
-    total = queries.count()
-    n = max(1, -(-total // QUERY_BLOCK))
-    for b in range(n):
-        block = queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == b) if n > 1 else queries
-        rows = block.select(key, vec).collect()  # at most about QUERY_BLOCK rows
-        if not rows:
-            continue
-        ids = np.array([r[key] for r in rows])
-        matrix = np.array([r[vec] for r in rows], float)
-        shared = gallery.sparkSession.sparkContext.broadcast((ids, matrix))
+    for block in _query_blocks(queries, key, [key, vec, *differ]):
+        shared = gallery.sparkSession.sparkContext.broadcast(block)
 
         def near(batches, shared=shared):
-            ids, matrix = shared.value
-            for x in batches:
-                if not x.num_rows:
-                    continue
-                item = x.column(0).to_numpy()
-                v = np.stack(x.column(1).to_numpy(zero_copy_only=False)).astype(float)
-                for i in range(0, len(ids), 256):
-                    # rounded as the comparison with other engines needs it
-                    sim = np.round(matrix[i : i + 256] @ v.T, 9)
-                    sim[ids[i : i + 256, None] == item] = -np.inf
+            ids, matrix, *marks = shared.value
+            for (item, *own), sims in _products(batches, ids, matrix):
+                for i, sim in sims:
+                    for a, b in zip(marks, own, strict=True):
+                        sim[a[i : i + STEP, None] == b] = -np.inf
+                    if below is not None:
+                        sim[sim >= below] = -np.inf
                     if least is not None:
                         sim[sim < least] = -np.inf
                     order = np.lexsort((np.broadcast_to(item, sim.shape), -sim), axis=1)[:, :k]
                     s = np.take_along_axis(sim, order, 1)
                     ok = s > -np.inf
-                    q = np.broadcast_to(ids[i : i + 256, None], s.shape)[ok]
+                    q = np.broadcast_to(ids[i : i + STEP, None], s.shape)[ok]
                     yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(item[order][ok]), pa.array(s[ok])], ["query", "item", "sim"])
 
-        found = gallery.select(key, vec).mapInArrow(near, "query long, item long, sim double")
+        found = gallery.select(key, vec, *differ).mapInArrow(near, "query long, item long, sim double")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return gallery.sparkSession.createDataFrame([], "query long, item long, sim double, rank int")
@@ -57,6 +48,71 @@ def search(queries: DataFrame, gallery: DataFrame, k: int, key: str = "item", ve
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _query_blocks(queries: DataFrame, key: str, cols: list[str]):
+    """The columns of the queries as arrays (the second a matrix), at most about ``QUERY_BLOCK`` rows at a time."""
+    n = max(1, -(-queries.count() // QUERY_BLOCK))
+    for b in range(n):
+        rows = queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == b).select(*cols).collect()
+        if rows:
+            yield np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float), *(np.array([r[i] for r in rows]) for i in range(2, len(cols)))
+
+
+def _products(batches, ids: np.ndarray, matrix: np.ndarray):
+    """((keys, further columns), [(first query, similarities)]) of a gallery with key and vector first; a row is not compared with itself."""
+    for x in batches:
+        if x.num_rows:
+            item = x.column(0).to_numpy()
+            v = np.stack(x.column(1).to_numpy(zero_copy_only=False)).astype(float)
+
+            def sims(item=item, v=v):
+                for i in range(0, len(ids), STEP):
+                    # rounded as the comparison with other engines needs it
+                    sim = np.round(matrix[i : i + STEP] @ v.T, 9)
+                    sim[ids[i : i + STEP, None] == item] = -np.inf
+                    yield i, sim
+
+            yield (item, *(x.column(c).to_numpy(zero_copy_only=False) for c in range(2, x.num_columns))), sims()
+
+
+def first_ranks(queries: DataFrame, gallery: DataFrame, label: str, key: str = "item", vec: str = "vec") -> DataFrame:
+    """query, rank: one more than the rows that are more similar than the best row of the query's label; queries without such a row are left out.
+
+    Two passes of blocked products: the best similarity, then a count above it.  Each partition gives one row
+    for each query, so no list of a query's similarities is ever made.
+    """
+    spark, out = gallery.sparkSession, None
+    g = gallery.select(key, vec, label)
+    for ids, matrix, labels in _query_blocks(queries, key, [key, vec, label]):
+        one = spark.sparkContext.broadcast((ids, matrix, labels))
+
+        def best(batches, one=one):
+            ids, matrix, labels = one.value
+            top = np.full(len(ids), -np.inf)
+            for (_, own), sims in _products(batches, ids, matrix):
+                for i, sim in sims:
+                    sim[labels[i : i + STEP, None] != own] = -np.inf
+                    top[i : i + STEP] = np.maximum(top[i : i + STEP], sim.max(axis=1))
+            at = np.flatnonzero(top > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(top[at])], ["query", "best"])
+
+        # at most a block of queries
+        tops = {r["query"]: r["best"] for r in g.mapInArrow(best, "query long, best double").groupBy("query").agg(F.max("best").alias("best")).collect()}
+        two = spark.sparkContext.broadcast(np.array([tops.get(int(i), np.inf) for i in ids]))
+
+        def above(batches, one=one, two=two):
+            (ids, matrix, _), top = one.value, two.value
+            count = np.zeros(len(ids), np.int64)
+            for _, sims in _products(batches, ids, matrix):
+                for i, sim in sims:
+                    count[i : i + STEP] += (sim > top[i : i + STEP, None]).sum(axis=1)
+            at = np.flatnonzero(top < np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(count[at])], ["query", "n"])
+
+        found = g.mapInArrow(above, "query long, n long").groupBy("query").agg((F.sum("n") + 1).alias("rank"))
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], "query long, rank long") if out is None else out
+
+
 def band_join(left: DataFrame, right: DataFrame, left_value: str, right_value: str, tolerance: int) -> DataFrame:
     """Pairs with |left - right| <= tolerance on integer values: an equi-join on buckets of the tolerance's width."""
     width = tolerance + 1

@@ -329,12 +329,10 @@ WITH s AS (SELECT q.item AS query, g.item AS item, q.label = g.label AS rel, rou
 b AS (SELECT query, max(sim) AS best FROM s WHERE rel GROUP BY query)
 SELECT query, count(*) FILTER (sim > best) + 1 AS rank FROM s JOIN b USING (query) GROUP BY query""")
 def w04(spark, d):
-    from millrace.operators.similarity import search
+    from millrace.operators.similarity import first_ranks
 
     t = items(spark, d)
-    s = search(t.where("item % 50 = 0"), t, 1 << 30).join(t.select(F.col("item").alias("query"), F.col("label").alias("ql")), "query").join(t.select("item", "label"), "item")
-    best = s.where("ql = label").groupBy("query").agg(F.max("sim").alias("best"))
-    return s.join(best, "query").groupBy("query").agg((F.count_if(F.col("sim") > F.col("best")) + 1).alias("rank"))
+    return first_ranks(t.where("item % 50 = 0"), t, "label")
 
 
 @query("w05_top_k_per_anchor", "SELECT item_a, item_b, score, row_number() OVER (PARTITION BY item_a ORDER BY score DESC, item_b)::INTEGER AS rank FROM pairs WHERE y = 0 QUALIFY rank IN (1, 3)")

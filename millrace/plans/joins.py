@@ -114,9 +114,8 @@ def j11(spark, d):
 @query("j12_hard_negatives", f"WITH s AS ({SIM_SQL}) SELECT query, item, sim, row_number() OVER (PARTITION BY query ORDER BY sim DESC, item)::INTEGER AS rank FROM s WHERE qg <> gg AND sim >= 0.1 AND sim < 0.4 QUALIFY rank <= 5")
 def j12(spark, d):
     """The five most similar rows of other groups inside a band of similarity."""
-    s = _similar(spark, d, 1 << 30, 0.1).where("qg <> gg and sim < 0.4").drop("rank")
-    w = Window.partitionBy("query").orderBy(F.desc("sim"), "item")
-    return s.select("query", "item", "sim", F.row_number().over(w).alias("rank")).where("rank <= 5")
+    t = items(spark, d)
+    return search(t.where("item % 50 = 0"), t, 5, least=0.1, below=0.4, differ=("grp",))
 
 
 @query("j13_cross_split_centroids", """
@@ -127,20 +126,18 @@ def j13(spark, d):
     """The nearest centroids in another split and of another entity; centroids over the first four dimensions."""
     t = items(spark, d)
     c = centroid(t.select("grp", "split", "entity", F.slice("vec", 1, 4).alias("vec")), "vec", 4, "grp", "split", "entity").drop("n")
-    got = search(c.where("grp % 50 = 0"), c, 1 << 30, key="grp", vec="centroid").drop("rank")
-    meta = c.select("grp", "split", "entity")
-    got = got.join(meta.toDF("query", "qs", "qe"), "query").join(meta.toDF("item", "gs", "ge"), "item").where("qs <> gs and qe <> ge")
-    w = Window.partitionBy("query").orderBy(F.desc("sim"), "item")
-    return got.withColumn("r", F.row_number().over(w)).where("r <= 3").select("query", F.col("item").alias("grp"), "sim")
+    return search(c.where("grp % 50 = 0"), c, 3, key="grp", vec="centroid", differ=("split", "entity")).select("query", F.col("item").alias("grp"), "sim")
 
 
 @query("j15_topk_or_threshold", f"""
 WITH s AS ({SIM_SQL}), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, item) AS rank FROM s)
 SELECT query, item, sim, CASE WHEN rank <= 3 AND sim >= 0.3 THEN 'both' WHEN rank <= 3 THEN 'top_k' ELSE 'cosine_threshold' END AS source FROM r WHERE rank <= 3 OR sim >= 0.3""")
 def j15(spark, d):
-    s = _similar(spark, d, 1 << 30)
-    src = F.when((F.col("rank") <= 3) & (F.col("sim") >= 0.3), "both").when(F.col("rank") <= 3, "top_k").otherwise("cosine_threshold")
-    return s.where("rank <= 3 or sim >= 0.3").select("query", "item", "sim", src.alias("source"))
+    t = items(spark, d)
+    q = t.where("item % 50 = 0")
+    both = search(q, t, 3).select("query", "item", "sim", F.lit("top_k").alias("source")).unionByName(search(q, t, 1 << 30, least=0.3).select("query", "item", "sim", F.lit("cosine_threshold").alias("source")))
+    src = F.when(F.count(F.lit(1)) == 2, "both").otherwise(F.min("source"))
+    return both.groupBy("query", "item", "sim").agg(src.alias("source"))
 
 
 @query("j16_band_join", """

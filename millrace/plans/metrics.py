@@ -135,12 +135,10 @@ m AS (SELECT query, max(sim) AS best FROM s WHERE rel GROUP BY query), f AS (SEL
 
 
 def _first_ranks(spark, d):
-    from millrace.operators.similarity import search
+    from millrace.operators.similarity import first_ranks
 
     t = items(spark, d)
-    s = search(t.where("item % 50 = 0"), t, 1 << 30).join(t.select(F.col("item").alias("query"), F.col("label").alias("ql")), "query").join(t.select("item", "label"), "item")
-    best = s.where("ql = label").groupBy("query").agg(F.max("sim").alias("best"))
-    return s.join(best, "query").groupBy("query").agg((F.count_if(F.col("sim") > F.col("best")) + 1).alias("rank"))
+    return first_ranks(t.where("item % 50 = 0"), t, "label")
 
 
 @query("v13_retrieval", f"WITH {RANK_SQL} SELECT round(avg((rank = 1)::INTEGER), 6) AS rank1, round(avg((rank <= 5)::INTEGER), 6) AS recall5, round(avg(1.0::DOUBLE / rank), 6) AS mrr, round(median(rank), 6) AS med FROM f")
@@ -161,14 +159,11 @@ m AS (SELECT query, max(sim) AS best FROM s WHERE rel GROUP BY query)
 SELECT query, count(*) FILTER (sim > best) + 1 AS rank FROM s JOIN m USING (query) GROUP BY query""")
 def v14(spark, d):
     """Ranks of the right entity when the gallery holds each entity's oldest item."""
-    from millrace.operators.similarity import search
+    from millrace.operators.similarity import first_ranks
 
     t = items(spark, d)
     oldest = t.where("age is not null").groupBy("entity").agg(F.min_by(F.struct("item", "vec"), F.struct(-F.col("age"), F.col("item"))).alias("x")).select("entity", "x.item", "x.vec")
-    s = search(t.where("item % 50 = 0"), oldest.select("item", "vec"), 1 << 30)
-    s = s.join(t.select(F.col("item").alias("query"), F.col("entity").alias("qe")), "query").join(oldest.select("item", "entity"), "item")
-    best = s.where("qe = entity").groupBy("query").agg(F.max("sim").alias("best"))
-    return s.join(best, "query").groupBy("query").agg((F.count_if(F.col("sim") > F.col("best")) + 1).alias("rank"))
+    return first_ranks(t.where("item % 50 = 0"), oldest, "entity")
 
 
 @query("v15_calibration", """
