@@ -288,12 +288,19 @@ def u05(spark, d):
     return t.join(both, "entity", "left_anti").select("item", "entity", "split")
 
 
-@query("u06_multiset_equality", "SELECT count(*) = 0 AS equal FROM ((SELECT lang, source FROM documents EXCEPT ALL SELECT lang, source FROM documents) UNION ALL (SELECT lang, source FROM documents EXCEPT ALL SELECT lang, source FROM documents))")
+@query("u06_multiset_equality", """
+WITH t AS (SELECT doc_id, lang, source FROM documents),
+c AS (SELECT 'same rows in another order' AS pair, lang, source, 1 AS s FROM t UNION ALL SELECT 'same rows in another order', lang, source, -1 FROM t
+  UNION ALL SELECT 'even and odd ids', lang, source, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE -1 END FROM t)
+SELECT pair, count(*) FILTER (s <> 0) = 0 AS equal, count(*) FILTER (s <> 0) AS unequal_keys FROM (SELECT pair, lang, source, sum(s) AS s FROM c GROUP BY ALL) GROUP BY pair""")
 def u06(spark, d):
-    """Two tables have the same rows as often: signed counts all cancel."""
-    a = read(spark, d, "documents").select("lang", "source")
-    signed = a.withColumn("s", F.lit(1)).unionByName(a.withColumn("s", F.lit(-1)))
-    return signed.groupBy("lang", "source").agg(F.sum("s").alias("s")).agg((F.count_if(F.col("s") != 0) == 0).alias("equal"))
+    """Whether two tables have the same rows as often: signed counts all cancel; for tables that have and for tables that have not."""
+    t = read(spark, d, "documents").select("doc_id", "lang", "source")
+    same = t.withColumn("s", F.lit(1)).unionByName(t.orderBy(F.desc("doc_id")).withColumn("s", F.lit(-1))).withColumn("pair", F.lit("same rows in another order"))
+    halves = t.withColumn("s", F.when(F.col("doc_id") % 2 == 0, 1).otherwise(-1)).withColumn("pair", F.lit("even and odd ids"))
+    s = same.unionByName(halves).groupBy("pair", "lang", "source").agg(F.sum("s").alias("s"))
+    unequal = F.count_if(F.col("s") != 0)
+    return s.groupBy("pair").agg((unequal == 0).alias("equal"), unequal.alias("unequal_keys"))
 
 
 @query("u07_arm_overlap", "SELECT a.split AS left_split, b.split AS right_split, count(*) AS shared FROM (SELECT DISTINCT entity, split FROM items) a JOIN (SELECT DISTINCT entity, split FROM items) b ON a.entity = b.entity AND a.split < b.split GROUP BY 1, 2")

@@ -271,10 +271,15 @@ def e12(spark, d):
     return files.guarded_append(spark, read(spark, d, "documents").where("source = 'src1'").select("doc_id", "source"), "source").groupBy("source").agg(count())
 
 
-@query("n03_replay_comparison", "SELECT count(*) FILTER (a.item IS NULL OR b.item IS NULL) AS unmatched, count(*) FILTER (a.q <> b.q) AS different FROM (SELECT item, round(quality, 2) AS q FROM items) a FULL JOIN (SELECT item, round(quality, 2) AS q FROM items) b ON a.item = b.item")
+@query("n03_replay_comparison", """
+WITH a AS (SELECT item, round(quality, 2) AS q FROM items),
+b AS (SELECT item, CASE WHEN item % 31 = 0 THEN round(quality + 0.01, 2) ELSE round(quality, 2) END AS q FROM items WHERE item % 97 <> 0)
+SELECT count(*) FILTER (a.item IS NULL OR b.item IS NULL) AS unmatched, count(*) FILTER (a.q <> b.q) AS different FROM a FULL JOIN b ON a.item = b.item""")
 def n03(spark, d):
-    a = items(spark, d).select("item", F.round("quality", 2).alias("q"))
-    b = a.select(F.col("item").alias("i2"), F.col("q").alias("q2"))
+    """A result against a replay that lost some rows and changed others."""
+    t = items(spark, d)
+    a = t.select("item", F.round("quality", 2).alias("q"))
+    b = t.where("item % 97 <> 0").select(F.col("item").alias("i2"), F.round(F.when(F.col("item") % 31 == 0, F.col("quality") + 0.01).otherwise(F.col("quality")), 2).alias("q2"))
     return a.join(b, F.col("item") == F.col("i2"), "full").agg(F.count_if(F.col("item").isNull() | F.col("i2").isNull()).alias("unmatched"), F.count_if(F.col("q") != F.col("q2")).alias("different"))
 
 
