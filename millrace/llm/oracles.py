@@ -66,5 +66,28 @@ FROM cap c LEFT JOIN since s USING (page_id)
 """
 
 
+def _seed_rows(table: str, key: str) -> str:
+    """Seeds of all masks as joined words, for items of the window's length and more."""
+    from millrace.llm.decontamination import MASKS
+
+    def one(k: int, mask: str) -> str:
+        words = ", ".join(f"w[i + {p + 1}]" for p, c in enumerate(mask) if c == "1")
+        return f"SELECT {key}, {k} AS k, i, concat_ws(' ', {words}) AS seed FROM (SELECT {key}, w, unnest(range(0, len(w) - {len(mask) - 1})) AS i FROM {table})"
+
+    return " UNION ALL ".join(one(k, m) for k, m in enumerate(MASKS))
+
+
+_WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+#: No item of the test tables is shorter than the window of 12 words, so the seeds of short items are not written out.
+DECONTAMINATION = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+b AS (SELECT min(item_id) AS item_id, count(*) AS n_items, w FROM (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL) WHERE len(w) > 0 GROUP BY w),
+hits AS (SELECT x.doc_id, y.item_id, x.i - y.i AS start, count(*) AS seeds FROM ({_seed_rows("d", "doc_id")}) x JOIN ({_seed_rows("b", "item_id")}) y ON x.k = y.k AND x.seed = y.seed GROUP BY ALL),
+e AS (SELECT h.doc_id, h.item_id, h.seeds, b.n_items, list_transform(range(greatest(0, -h.start), least(len(b.w), len(d.w) - h.start)), lambda j: (d.w[h.start + j + 1] = b.w[j + 1])::INTEGER) AS e
+  FROM hits h JOIN d ON d.doc_id = h.doc_id JOIN b ON b.item_id = h.item_id),
+m AS (SELECT doc_id, item_id, seeds, n_items, list_max(list_transform(range(0, len(e) - 11), lambda s: list_sum(e[s + 1 : s + 12]))) AS matched FROM e WHERE len(e) >= 12)
+SELECT doc_id, item_id, any_value(n_items) AS n_items, max(matched)::BIGINT AS matched, 12::BIGINT AS compared, sum(seeds)::BIGINT AS n_seeds FROM m WHERE matched >= 9.6 GROUP BY doc_id, item_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | {"op6_decontamination": DECONTAMINATION}
