@@ -20,8 +20,8 @@ Three passes, all of them Spark shuffles of packed arrays:
    matching 50-byte strings are found, and joins the family; levels of equal size
    merge, so the family has logarithmically many.  The contexts of an anchor that has over
    ``HOT_CONTEXTS`` of them (a line under 50 bytes that very many documents hold in different
-   surroundings) do not go to one task: their 50-byte strings are dealt by 128 bits of hash, and
-   of equal ones a map task sends the smallest document's alone.
+   surroundings) do not go to one task: their 50-byte strings are dealt by 128 bits of hash, in
+   the same shuffle, and of equal ones a map task sends the smallest document's alone.
 3. What is covered goes back to the texts, which are cut.
 
 Defined results: null text is empty; texts under 50 bytes lose nothing; documents with a null
@@ -54,8 +54,8 @@ SEGMENT = 2_000_000
 BATCH = 1 << 14
 
 ROWS = "part int, kind int, blob binary"
-COVERED, WANTED, HOT, ANCHORS, STRING, TEXTS = range(6)
-#: An anchor with more different contexts than this, about 30 MB of a family, is matched string by string (``_strings``), not by one task.
+COVERED, WANTED, HOT, ANCHORS, STRING, CONTEXTS, TEXTS = range(7)
+#: An anchor with more different contexts than this, about 30 MB of a family, is matched string by string, not by one task.
 HOT_CONTEXTS = 1 << 14
 
 
@@ -293,126 +293,98 @@ class _Told:
         return self.cols["pos"][lo:hi], self.cols["mask"][lo:hi]
 
 
-def _told_first(batches):
-    """(told, texts' blobs): rows come sorted by kind, so all that is told stands before the texts."""
-    told, seen = [], None
+def _told_first(batches, *kinds: int):
+    """(what is told of each kind, texts' blob): rows come sorted by kind, so all that is told stands before the texts."""
+    told, seen = {k: [] for k in kinds}, None
     for b in batches:
         for kind, blob in zip(b.column("kind").to_pylist(), b.column("blob").to_pylist(), strict=True):
             if kind == TEXTS:
                 if seen is None:
-                    seen = _Told(told)
+                    seen = [_Told(told[k]) for k in kinds]
                 yield seen, blob
             else:
-                told.append(unpack(blob, **COVER_TYPES))
+                told[kind].append(unpack(blob, **COVER_TYPES))
 
 
-def _contexts(n: int):
-    """Pass 2, map side: the wanted contexts, by anchor."""
-    offsets = np.arange(-SIDE, LENGTH)
-
-    def run(batches):
-        cols: dict[str, list] = {k: [] for k in CONTEXT_TYPES}
-        size = 0
+STRING_TYPES = {"doc": "<i8", "tag": "<u4", "pos": "<i4", "j": "u1", "w1": ("u1", 8), "w2": ("u1", 8)}
 
-        def flush():
-            a = {k: np.concatenate(v) for k, v in cols.items()}
-            words = np.zeros((len(a["doc"]), 24), np.uint8)
-            words[:, :GRAM] = a["x"][:, SIDE : SIDE + GRAM]
-            w = words.view("<u8")
-            part = (mix(w[:, 0] + mix(w[:, 1] + mix(w[:, 2]))) % U64(n)).astype(np.int64)
-            rows = [(p, 0, pack(**{k: np.ascontiguousarray(a[k][i]) for k in CONTEXT_TYPES})) for p, i in _split(part, n)]
-            for v in cols.values():
-                v.clear()
-            return _batch(rows)
-
-        for told, blob in _told_first(batches):
-            for doc, text in _open_texts(blob):
-                if doc is None or len(text) < LENGTH:
-                    continue
-                tag = zlib.crc32(text)
-                pos, _ = told.of(doc, tag)
-                if not len(pos):
-                    continue
-                pos = np.unique(pos)
-                data = np.frombuffer(text, np.uint8)
-                at = pos[:, None] + offsets
-                x = np.where((at >= 0) & (at < len(data)), data[np.clip(at, 0, len(data) - 1)], 0).astype(np.uint8)
-                got = {"doc": np.full(len(pos), doc, "<i8"), "tag": np.full(len(pos), tag, "<u4"), "pos": pos, "lo": np.minimum(pos, SIDE).astype("u1"), "hi": np.minimum(len(data) - pos - GRAM, SIDE).astype("u1"), "x": x}
-                for k, v in got.items():
-                    cols[k].append(v)
-                size += len(pos)
-                if size >= 60_000:
-                    yield flush()
-                    size = 0
-        if size:
-            yield flush()
 
-    return run
 
+def _string_cover(a: dict, at: np.ndarray, n: int) -> list[tuple[int, int, bytes]]:
+    return _covered(a, at, np.left_shift(1, a["j"][at].astype(np.int64)), n)
 
-STRING_TYPES = {"doc": "<i8", "tag": "<u4", "pos": "<i4", "j": "u1", "w1": ("u1", 8), "w2": ("u1", 8)}
 
+def _context_rows(cols: dict[str, list], n: int) -> list[tuple[int, int, bytes]]:
+    """Contexts, packed by anchor."""
+    a = {k: np.concatenate(v) for k, v in cols.items()}
+    words = np.zeros((len(a["doc"]), 24), np.uint8)
+    words[:, :GRAM] = a["x"][:, SIDE : SIDE + GRAM]
+    w = words.view("<u8")
+    part = (mix(w[:, 0] + mix(w[:, 1] + mix(w[:, 2]))) % U64(n)).astype(np.int64)
+    return [(p, CONTEXTS, pack(**{k: np.ascontiguousarray(a[k][i]) for k in CONTEXT_TYPES})) for p, i in _split(part, n)]
+
+
+def _string_rows(cols: dict[str, list], n: int) -> list[tuple[int, int, bytes]]:
+    """Strings, packed by hash; those settled here as covered."""
+    a = {k: np.concatenate(v) for k, v in cols.items()}
+    done = _repeated(a["w1"], a["w2"], a["doc"])
+    rows = _string_cover(a, np.flatnonzero(done), n)
+    left = np.flatnonzero(~done)
+    for p, i in _split((a["w1"][left] % U64(n)).astype(np.int64), n):
+        i = left[i]
+        rows.append((p, STRING, pack(doc=a["doc"][i], tag=a["tag"][i], pos=a["pos"][i], j=a["j"][i], w1=_raw(a["w1"][i], 8), w2=_raw(a["w2"][i], 8))))
+    return rows
+
+
+def _strings_at(data: np.ndarray, pos: np.ndarray):
+    """(anchor, number of the string, two hashes) of the 50-byte strings through the anchors at ``pos``, at most 65,536 at once."""
+    start = pos.astype(np.int64)[:, None] - SIDE + np.arange(WINDOWS)
+    k, j = np.nonzero((start >= 0) & (start + LENGTH <= len(data)))
+    windows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+    pw, _ = powers(LENGTH)
+    for i in range(0, len(k), 1 << 16):
+        ki, ji = k[i : i + (1 << 16)], j[i : i + (1 << 16)]
+        x = windows[start[ki, ji]]
+        w1, w2 = (mix((table[x] * pw[:LENGTH]).sum(axis=1, dtype=U64)) for table in (BYTE, _BYTE2))
+        yield pos[ki].astype("<i4"), ji.astype("u1"), w1, w2
 
-def _strings(n: int):
-    """Pass 2, for hot anchors: the 50-byte strings through each, by two hashes; those settled here as covered."""
 
-    def flush(cols):
-        a = {k: np.concatenate(v) for k, v in zip(("doc", "tag", "pos", "j", "w1", "w2"), zip(*cols, strict=True), strict=True)}
-        done = _repeated(a["w1"], a["w2"], a["doc"])
-        rows = _string_cover(a, np.flatnonzero(done), n)
-        left = np.flatnonzero(~done)
-        for p, i in _split((a["w1"][left] % U64(n)).astype(np.int64), n):
-            i = left[i]
-            rows.append((p, STRING, pack(doc=a["doc"][i], tag=a["tag"][i], pos=a["pos"][i], j=a["j"][i], w1=_raw(a["w1"][i], 8), w2=_raw(a["w2"][i], 8))))
-        return _batch(rows)
+def _contexts(n: int):
+    """Pass 2, map side: the wanted contexts, by anchor; of hot anchors the 50-byte strings, by hash."""
+    offsets = np.arange(-SIDE, LENGTH)
 
     def run(batches):
-        cols, size = [], 0
-        for told, blob in _told_first(batches):
+        cols: dict[str, list] = {k: [] for k in CONTEXT_TYPES}
+        strings: dict[str, list] = {k: [] for k in STRING_TYPES}
+        n_cols = n_strings = 0
+        for (wanted, hot), blob in _told_first(batches, WANTED, HOT):
             for doc, text in _open_texts(blob):
                 if doc is None or len(text) < LENGTH:
                     continue
-                tag = zlib.crc32(text)
-                pos = np.unique(told.of(doc, tag)[0]).astype(np.int64)
-                start = pos[:, None] - SIDE + np.arange(WINDOWS)
-                k, j = np.nonzero((start >= 0) & (start + LENGTH <= len(text)))
-                if not len(k):
-                    continue
-                windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), LENGTH)
-                pw, _ = powers(LENGTH)
-                for i in range(0, len(k), 1 << 16):
-                    x = windows[start[k[i : i + (1 << 16)], j[i : i + (1 << 16)]]]
-                    w1, w2 = (mix((table[x] * pw[:LENGTH]).sum(axis=1, dtype=U64)) for table in (BYTE, _BYTE2))
-                    cols.append([np.full(len(x), doc, "<i8"), np.full(len(x), tag, "<u4"), pos[k[i : i + (1 << 16)]].astype("<i4"), j[i : i + (1 << 16)].astype("u1"), w1, w2])
-                    size += len(x)
-                    if size >= 1 << 19:
-                        yield flush(cols)
-                        cols, size = [], 0
-        if cols:
-            yield flush(cols)
-
-    return run
-
-
-def _string_cover(a: dict, at: np.ndarray, n: int) -> list[tuple[int, int, bytes]]:
-    return _covered(a, at, np.left_shift(1, a["j"][at].astype(np.int64)), n)
-
-
-def _match_strings(n: int):
-    """Pass 2, for hot anchors, reduce side: strings that a smaller document holds."""
-
-    def run(batches):
-        blobs = []
-        for b in batches:
-            for part, kind, blob in zip(*(b.column(c).to_pylist() for c in ("part", "kind", "blob")), strict=True):
-                if kind == COVERED:
-                    yield _batch([(part, COVERED, blob)])
-                else:
-                    blobs.append(unpack(blob, **STRING_TYPES))
-        if blobs:
-            a = {k: np.concatenate([x[k] for x in blobs]) for k in STRING_TYPES}
-            done = _repeated(_number(a["w1"]), _number(a["w2"]), a["doc"])
-            yield _batch(_string_cover(a, np.flatnonzero(done), n))
+                tag, data = zlib.crc32(text), np.frombuffer(text, np.uint8)
+                pos = np.unique(wanted.of(doc, tag)[0])
+                if len(pos):
+                    at = pos[:, None] + offsets
+                    x = np.where((at >= 0) & (at < len(data)), data[np.clip(at, 0, len(data) - 1)], 0).astype(np.uint8)
+                    got = {"doc": np.full(len(pos), doc, "<i8"), "tag": np.full(len(pos), tag, "<u4"), "pos": pos, "lo": np.minimum(pos, SIDE).astype("u1"), "hi": np.minimum(len(data) - pos - GRAM, SIDE).astype("u1"), "x": x}
+                    for k, v in got.items():
+                        cols[k].append(v)
+                    n_cols += len(pos)
+                for p, j, w1, w2 in _strings_at(data, np.unique(hot.of(doc, tag)[0])):
+                    got = {"doc": np.full(len(p), doc, "<i8"), "tag": np.full(len(p), tag, "<u4"), "pos": p, "j": j, "w1": w1, "w2": w2}
+                    for k, v in got.items():
+                        strings[k].append(v)
+                    n_strings += len(p)
+                    if n_strings >= 1 << 19:
+                        yield _batch(_string_rows(strings, n))
+                        strings, n_strings = {k: [] for k in STRING_TYPES}, 0
+                if n_cols >= 60_000:
+                    yield _batch(_context_rows(cols, n))
+                    cols, n_cols = {k: [] for k in CONTEXT_TYPES}, 0
+        if n_cols:
+            yield _batch(_context_rows(cols, n))
+        if n_strings:
+            yield _batch(_string_rows(strings, n))
 
     return run
 
@@ -496,26 +468,42 @@ class Family:
             self.levels[-1] = self.merge(self.levels[-1], last)
 
 
+def _found(blobs: list[bytes], n: int) -> list[tuple[int, int, bytes]]:
+    """What the family over a task's contexts finds."""
+    a = [unpack(x, **CONTEXT_TYPES) for x in blobs]
+    a = {k: np.concatenate([x[k] for x in a]) for k in CONTEXT_TYPES}
+    order = np.argsort(a["doc"], kind="stable")
+    a = {k: v[order] for k, v in a.items()}
+    family = Family(a["x"], a["lo"], a["hi"], a["doc"])
+    i = 0
+    while i < len(order):  # batches end between documents
+        j = int(np.searchsorted(a["doc"], a["doc"][min(i + BATCH, len(order)) - 1], side="right"))
+        family.add(np.arange(i, j))
+        i = j
+    mask = (family.found.astype(U64) << np.arange(WINDOWS, dtype=U64)).sum(axis=1).astype("<u4")
+    hit = np.flatnonzero(mask)
+    return _covered(a, hit, mask[hit], n)
+
+
 def _match(n: int):
-    """Pass 2, reduce side: the family over a task's contexts."""
+    """Pass 2, reduce side: the family over a task's contexts; strings of hot anchors that a smaller document holds."""
 
     def run(batches):
-        blobs = [unpack(x, **CONTEXT_TYPES) for b in batches for x in b.column("blob").to_pylist()]
-        if not blobs:
-            return
-        a = {k: np.concatenate([x[k] for x in blobs]) for k in CONTEXT_TYPES}
-        order = np.argsort(a["doc"], kind="stable")
-        a = {k: v[order] for k, v in a.items()}
-        family = Family(a["x"], a["lo"], a["hi"], a["doc"])
-        i = 0
-        while i < len(order):  # batches end between documents
-            j = int(np.searchsorted(a["doc"], a["doc"][min(i + BATCH, len(order)) - 1], side="right"))
-            family.add(np.arange(i, j))
-            i = j
-        mask = (family.found.astype(U64) << np.arange(WINDOWS, dtype=U64)).sum(axis=1).astype("<u4")
-        hit = np.flatnonzero(mask)
-        if len(hit):
-            yield _batch(_covered(a, hit, mask[hit], n))
+        contexts, strings = [], []
+        for b in batches:
+            for part, kind, blob in zip(*(b.column(c).to_pylist() for c in ("part", "kind", "blob")), strict=True):
+                if kind == COVERED:  # its part is its document's shard already
+                    yield _batch([(part, COVERED, blob)])
+                else:
+                    (contexts if kind == CONTEXTS else strings).append(blob)
+        if contexts:
+            yield _batch(_found(contexts, n))
+            contexts.clear()
+        if strings:
+            a = [unpack(x, **STRING_TYPES) for x in strings]
+            a = {k: np.concatenate([x[k] for x in a]) for k in STRING_TYPES}
+            done = _repeated(_number(a["w1"]), _number(a["w2"]), a["doc"])
+            yield _batch(_string_cover(a, np.flatnonzero(done), n))
 
     return run
 
@@ -538,7 +526,7 @@ def _cut(text: bytes, pos: np.ndarray, mask: np.ndarray) -> tuple[int, int, byte
 
 def _result(with_text: bool):
     def run(batches):
-        for told, blob in _told_first(batches):
+        for (told,), blob in _told_first(batches, COVERED):
             rows = []
             for doc, text in _open_texts(blob):
                 pos, mask = told.of(doc, zlib.crc32(text)) if doc is not None else (np.zeros(0, np.int64),) * 2
@@ -564,11 +552,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, hot_contexts: int =
     def with_texts(told: DataFrame) -> DataFrame:
         return docs.mapInArrow(_texts(n), ROWS).unionByName(told).repartitionById(n, F.col("part")).sortWithinPartitions("kind")
 
-    contexts = with_texts(settled.where(F.col("kind") == WANTED)).mapInArrow(_contexts(n), ROWS).repartitionById(n, F.col("part"))
+    wanted = with_texts(settled.where(F.col("kind").isin(WANTED, HOT)))
+    contexts = wanted.mapInArrow(_contexts(n), ROWS).repartitionById(n, F.col("part"))
     matched = staged(contexts.mapInArrow(_match(n), ROWS), "matched")
     told = settled.where(F.col("kind") == COVERED).unionByName(matched)
-    hot = settled.where(F.col("kind") == HOT)
-    if hot.limit(1).count():
-        strings = with_texts(hot).mapInArrow(_strings(n), ROWS).repartitionById(n, F.col("part"))
-        told = told.unionByName(staged(strings.mapInArrow(_match_strings(n), ROWS), "hot"))
     return with_texts(told).mapInArrow(_result(with_text), RESULT + ", kept string" * with_text)
