@@ -165,6 +165,16 @@ def a01(spark, d):
     return files.read_jsonl(spark, path, t.schema)
 
 
+@query("a03_append_rows", "SELECT conv_id, turn, role FROM conversations UNION ALL SELECT conv_id, turn, role FROM conversations WHERE turn = 0")
+def a03(spark, d):
+    """Appends to a file that is not there yet, then again: all rows stay, in repeats too."""
+    t = read(spark, d, "conversations").select("conv_id", "turn", "role")
+    path = files.new_folder(spark, "appended")
+    files.write_jsonl(t, path, append=True)
+    files.write_jsonl(t.where("turn = 0"), path, append=True)
+    return files.read_jsonl(spark, path, t.schema)
+
+
 @query("a04_last_wins", "SELECT vec_id AS item, label + 1 AS label FROM embeddings WHERE vec_id % 5 = 0 UNION ALL SELECT vec_id, label FROM embeddings WHERE vec_id % 5 <> 0")
 def a04(spark, d):
     """Of rows that repeat an id the latest counts."""

@@ -13,17 +13,19 @@ def new_rows(batch: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return batch.join(done.select(key), key, "left_anti")
 
 
-def stream_totals(spark: SparkSession, events: DataFrame) -> DataFrame:
+def stream_totals(spark: SparkSession, events: DataFrame, files_at_once: int = 64) -> DataFrame:
     """Totals by event type from a file stream of ``events``; each micro-batch appends partial sums, a replayed one replaces its own.
 
-    The landing folder, the checkpoint and the sums are in the shared folder.
+    An id counts once in the whole stream: the state store keeps the ids seen, so it grows with
+    them (on a cluster, use the RocksDB provider). The landing folder, the checkpoint and the sums
+    are in the shared folder.
     """
     root = new_folder(spark, "stream")
     events.select("event_id", "event_type", "value").write.parquet(f"{root}/landing")
-    source = spark.readStream.schema("event_id long, event_type string, value double").option("maxFilesPerTrigger", 64).parquet(f"{root}/landing")
+    source = spark.readStream.schema("event_id long, event_type string, value double").option("maxFilesPerTrigger", files_at_once).parquet(f"{root}/landing").dropDuplicates(["event_id"])
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        sums = batch.dropDuplicates(["event_id"]).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
+        sums = batch.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
         sums.write.mode("overwrite").parquet(f"{root}/sums/epoch={epoch}")
 
     q = source.writeStream.foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()

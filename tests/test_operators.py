@@ -20,6 +20,7 @@ from millrace.operators.running import running_sums, score_bucket
 from millrace.operators.sampling import group_folds, hash_priority, hash_sample
 from millrace.operators.similarity import band_join, search
 from millrace.sources import files
+from millrace.streaming import incremental
 
 
 def brute_auc(rows):
@@ -211,3 +212,11 @@ def test_paired_permutation(spark):
 
 def test_first_object():
     assert text.first_object('x {a {"k": "} {"} } y') == '{"k": "} {"}' and text.first_object("{ {") is None and text.first_object(None) is None
+
+
+def test_stream_counts_an_id_once_over_batches(spark):
+    rows = [(1, "view", 1.0), (2, "view", 2.0), (3, "click", 4.0)]
+    events = spark.createDataFrame(rows, "event_id long, event_type string, value double").coalesce(1)
+    more = spark.createDataFrame([(2, "view", 2.0), (4, "click", 8.0), (3, "click", 4.0)], events.schema).coalesce(1)
+    got = incremental.stream_totals(spark, events.unionByName(more), files_at_once=1).collect()
+    assert sorted(map(tuple, got)) == [("click", 2, 12.0), ("view", 2, 3.0)]
