@@ -17,7 +17,8 @@ APPARENT_AGE = (
 LEFT_AGE = (r"слев[ае]\D{0,15}?(\d{1,2})", r"left[^0-9]{0,12}(\d{1,2})")
 RIGHT_AGE = (r"справ[ае]\D{0,15}?(\d{1,2})", r"right[^0-9]{0,12}(\d{1,2})")
 ORDERED_AGES = (r"в\s*(\d{1,2})\b\D{0,25}?(?:и|,)\s*(?:сейчас\s*)?(?:в|мне)\s*(\d{1,2})\b", r"\bin (\d{1,2})\b.*\band in (\d{1,2})\b")
-SINGLE_AGE = r"(?:мне|в)\s*(?:было\s*)?\d{1,2}\b|\d{1,2}\s*(?:лет|год(?:а|ик|иков)?)(?!\s*назад)|\b\d{1,2} years?\b(?! ago)"
+SINGLE_AGE = r"(?:мне|в)\s*(?:было\s*)?\d{1,2}\b|\d{1,2}\s*(?:лет|год(?:а|ик|иков)?)(?!\s*назад)"
+YEARS_OLD = r"\b\d{1,2} years?\b(?! ago)"
 YEAR, DURATION = r"\b(?:19|20)\d{2}\b", r"\b\d{1,3}\s*(?:years?|yrs?|yr|y/?o)\b(?:\s*ago)?"
 CONNECTOR, AGED = r"\b(?:to|and|vs)\b|[-–—/&(]", r"\b(?:aged?|at)\s+(\d{1,2})\b"
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"
@@ -60,16 +61,16 @@ def ordered_pair(caption: Column) -> Column:
     return out
 
 
-def singles(caption: Column) -> Column:
+def singles(caption: Column, pattern: str = f"{SINGLE_AGE}|{YEARS_OLD}") -> Column:
     """Distinct ages with a unit or after a word for 'I am' or 'at', in order of place; 'years ago' does not count."""
-    found = F.regexp_extract_all(_plain(caption), F.lit("(?U)" + SINGLE_AGE), 0)
+    found = F.regexp_extract_all(_plain(caption), F.lit("(?U)" + pattern), 0)
     return _ages(F.transform(found, lambda x: F.regexp_extract(x, r"(\d{1,2})", 1)))
 
 
 def age_anchors(caption: Column, n_photos: Column) -> Column:
     """The first rule that finds something wins; a slash list that is not valid finds nothing at all."""
     looks = F.trim(caption).rlike(r"^\d+(\s*/\s*\d+)+$")
-    rules = [left_right(caption), ordered_pair(caption), singles(caption), bracketed_numbers(caption)]
+    rules = [left_right(caption), ordered_pair(caption), singles(caption, SINGLE_AGE), bracketed_numbers(caption), singles(caption, YEARS_OLD)]
     cascade = F.array().cast("array<int>")
     for r in reversed(rules):
         cascade = F.when(F.size(r) > 0, r).otherwise(cascade)
