@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.replicates import interval, sums_by_replicate
+from millrace.operators.sampling import hash_key
+from millrace.session import staged
+
 
 def platt(df: DataFrame) -> DataFrame:
     """Coefficients of logistic calibrators fitted on the training split: score alone, and score, gap and their product."""
@@ -63,17 +67,32 @@ def pca_composite(daily: DataFrame) -> DataFrame:
     return r.select("user_id", "day", (z[0] + z[1] + z[2]).alias("composite"))
 
 
-def kmeans_profile(df: DataFrame, k: int, seed: int = 3) -> DataFrame:
-    """Cluster sizes and mean quality of k-means over the vectors."""
+def kmeans_profile(df: DataFrame, key: str, vec: str, y: str, profile: list[str], ks: tuple[int, ...] = (3, 4, 5, 6, 7, 8), sample: int = 5_000, seed: int = 3, draws: int = 1_000) -> DataFrame:
+    """For each cluster its size, mean of ``y`` with a bootstrap interval, and means of ``profile``; k has the best silhouette.
+
+    As many clusters are chosen on the ``sample`` rows that come first in a seeded hash order; the clusters are
+    fitted on all rows. With no more rows than the smallest k there is one cluster.
+    """
     from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.functions import array_to_vector
 
-    x = df.withColumn("features", array_to_vector("vec"))
-    model = KMeans(k=k, seed=seed, maxIter=10).fit(x)
-    return model.transform(x).groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("n"), F.avg("quality").alias("quality"))
-
-
-def _gram(df: DataFrame, vec: str, y: str, by: str) -> DataFrame:
+    x = df.select(key, y, *profile, vec).where(F.col(vec).isNotNull()).withColumn("features", array_to_vector(vec))
+    few = staged(df.select(key, vec).where(F.col(vec).isNotNull()).orderBy(hash_key(key, seed), key).limit(sample), "sample").withColumn("features", array_to_vector(vec))
+    n = few.count()
+    ks = [k for k in ks if k < n]
+    silhouette = {k: ClusteringEvaluator().evaluate(KMeans(k=k, seed=seed, maxIter=10).fit(few).transform(few)) for k in ks}
+    k = max(silhouette, key=silhouette.get) if ks else 1
+    found = KMeans(k=k, seed=seed, maxIter=20).fit(x).transform(x) if ks else x.withColumn("prediction", F.lit(0))
+    rows = staged(found.select(key, F.col(y).cast("double").alias(y), *profile, F.col("prediction").alias("cluster")), "clustered")
+    inside = lambda c, v: F.when((F.col("cluster") == c) & F.col(y).isNotNull(), v)
+    sums = sums_by_replicate(rows, [inside(c, v) for c in range(k) for v in (F.col(y), F.lit(1.0))], draws, [F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))])
+    drawn = sums.select(F.explode(F.array(*[F.struct(F.lit(c).alias("cluster"), F.when(F.col(f"s{2 * c + 1}") > 0, F.col(f"s{2 * c}") / F.col(f"s{2 * c + 1}")).alias("v")) for c in range(k)])).alias("r")).select("r.*")
+    size = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias(y), *[F.avg(c).alias(c) for c in profile])
+    return size.join(interval(drawn, "cluster").select("cluster", "lo", "hi"), "cluster", "left").withColumn("silhouette", F.lit(silhouette.get(k)).cast("double"))
+
+
+def gram_sums(df: DataFrame, vec: str, y: str, by: str) -> DataFrame:
     """Partial sums of x x', x y, y and n for each key and batch, added up by Spark."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,7 +109,7 @@ def _gram(df: DataFrame, vec: str, y: str, by: str) -> DataFrame:
 
 def ridge_probe(df: DataFrame, vec: str, y: str, fold: str, alpha: float = 1.0) -> DataFrame:
     """Mean absolute error on each fold of a ridge fitted on the others, and of their mean; D x D sums only reach the driver."""
-    rows = _gram(df, vec, y, fold).orderBy("key", "i").toPandas()
+    rows = gram_sums(df, vec, y, fold).orderBy("key", "i").toPandas()
     if rows.empty:
         return df.sparkSession.createDataFrame([], "fold long, mae double, mae_mean double")
     stats = {k: g["v"].to_numpy() for k, g in rows.groupby("key")}

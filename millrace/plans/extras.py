@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import models, probes
+from millrace.operators import crossfit, models, probes
 from millrace.operators.matching import greedy_matching
 from millrace.operators.running import running_sums
 from millrace.operators.sampling import group_folds, hash_key
@@ -222,6 +222,21 @@ def l04(spark, d):
     return out
 
 
+@query("l05_permutation_importance")
+def l05(spark, d):
+    """Spearman lost on the held-out fold when a column is shuffled."""
+    t = items(spark, d).where("age is not null")
+    x = t.join(group_folds(t, "entity", 5, 7), "entity").select("item", "age", "fold", "quality", "gender", *[F.col("vec")[i].alias(f"x{i}") for i in range(3)])
+    return crossfit.permutation_importance(x, "item", "age", ["quality", "gender", "x0", "x1", "x2"], "fold")
+
+
+@query("l17_nested_ridge")
+def l17(spark, d):
+    """Out-of-fold predictions: a line in the prior and a ridge on the vectors for the rest, tuned on inner folds of entities."""
+    t = items(spark, d).where("age is not null").withColumn("prior", F.col("item") % 7 + 10 * F.col("quality"))
+    return crossfit.nested_ridge(t, "item", "vec", "quality", "prior", "entity")
+
+
 @query("l08_linear_probe")
 def l08(spark, d):
     """Balanced accuracy of a linear probe of an attribute on the held-out splits."""

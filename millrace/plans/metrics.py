@@ -360,7 +360,8 @@ def l01(spark, d):
 
 @query("l06_kmeans_profile")
 def l06(spark, d):
-    return models.kmeans_profile(items(spark, d).select("item", "vec", "quality"), 4)
+    """Clusters of the vectors, their number by silhouette, with mean quality, its interval and a profile."""
+    return models.kmeans_profile(items(spark, d), "item", "vec", "quality", ["age", "gender"])
 
 
 @query("l07_ridge_probe")

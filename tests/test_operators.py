@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import buckets, text
 from millrace.functions.vectors import cosine, normalise
-from millrace.operators import probes, replicates
+from millrace.operators import crossfit, models, probes, replicates
 from millrace.operators import verification as v
 from millrace.operators.governance import hmac_sha256
 from millrace.operators.graph import component_labels
@@ -236,3 +236,59 @@ def test_apparent_age_phrases(spark):
     rows = ["выглядит на 20 максимум", "дал бы лет 25", "дала бы 30", "на вид лет 35", "не больше 22", "максимум 18", "на вид 3", ""]
     got = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, c string").select("i", text.apparent_ages(F.col("c")).alias("a")).orderBy("i").collect()
     assert [r["a"] for r in got] == [[20], [25], [30], [35], [22], [18], [], []]
+
+
+def _spearman(a, b):
+    rank = lambda v: np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+    return np.corrcoef(rank(a), rank(b))[0, 1]
+
+
+def test_nested_ridge_equals_plain_fits(spark):
+    rng = np.random.default_rng(5)
+    x, prior, grp = rng.normal(size=(240, 6)), rng.normal(size=240), np.arange(240) // 4
+    y = 2 * prior + x @ rng.normal(size=6) + 0.1 * rng.normal(size=240)
+    df = spark.createDataFrame([(i, int(grp[i]), float(y[i]), float(prior[i]), x[i].tolist()) for i in range(240)], "id long, g long, t double, p double, v array<double>")
+    grid = ((2, 1.0), (5, 1.0), (5, 500.0))
+    got = {r["id"]: r for r in crossfit.nested_ridge(df.unionByName(df.limit(1).withColumn("id", F.lit(-1).cast("long")).withColumn("t", F.lit(None).cast("double"))), "id", "v", "t", "p", "g", grid=grid).collect()}
+    assert got.keys() == set(range(240))
+    folds = [{r["g"]: r["fold"] for r in group_folds(df, "g", n, s).collect()} for n, s in ((5, 7), (3, 8))]
+    outer, inner = (np.array([f[k] for k in grp]) for f in folds)
+
+    def fit(tr, te, k, a):
+        m, sd = x[tr].mean(axis=0), x[tr].std(axis=0)
+        z = (x - m) / sd
+        u, s, vt = np.linalg.svd(z[tr], full_matrices=False)
+        z = z @ vt[:k].T / s[:k] * np.sqrt(len(tr) - 1)
+        c, d = np.polyfit(prior[tr], y[tr], 1)
+        b = np.linalg.solve(z[tr].T @ z[tr] + a * np.eye(k), z[tr].T @ (y[tr] - c * prior[tr] - d))
+        return c * prior[te] + d + z[te] @ b
+
+    for o in range(5):
+        score = [np.mean([_spearman(y[te], fit(np.flatnonzero((outer != o) & (inner != i)), te, *p)) for i in range(3) for te in [np.flatnonzero((outer != o) & (inner == i))]]) for p in grid]
+        te, point = np.flatnonzero(outer == o), grid[int(np.argmax(score))]
+        assert all((got[i]["k"], got[i]["alpha"]) == point for i in te)
+        assert np.allclose([got[i]["prediction"] for i in te], fit(np.flatnonzero(outer != o), te, *point))
+    assert crossfit.nested_ridge(df.limit(0), "id", "v", "t", "p", "g").count() == 0
+
+
+def test_permutation_importance(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, float(a), float(b), float(3 * a), i % 4) for i, (a, b) in enumerate(rng.uniform(-1, 1, (400, 2)))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, t double, fold int")
+    moved = crossfit.shuffled_rows(df, "id", ["a"], 2).collect()
+    for k in (1, 2):
+        assert sorted(r["donor"]["a"] for r in moved if r["repeat"] == k) == sorted(r[1] for r in rows)
+        assert sum(r["donor"]["a"] == r["a"] for r in moved if r["repeat"] == k) < 20
+    got = {r["feature"]: r for r in crossfit.permutation_importance(df, "id", "t", ["a", "b"], "fold").collect()}
+    assert got.keys() == {"a", "b"} and got["a"]["spearman_drop"] > 0.7 and abs(got["b"]["spearman_drop"]) < 0.1
+
+
+def test_kmeans_profile_finds_the_number_of_clusters(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, (np.eye(4)[i % 4] * 10 + rng.normal(0, 0.2, 4)).tolist(), float(i % 4), i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, q double, g int")
+    got = models.kmeans_profile(df, "id", "v", "q", ["g"]).collect()
+    assert sorted((r["n"], r["q"]) for r in got) == [(50, 0.0), (50, 1.0), (50, 2.0), (50, 3.0)]
+    assert all(abs(r["lo"] - r["q"]) < 1e-6 and abs(r["hi"] - r["q"]) < 1e-6 and r["silhouette"] > 0.9 for r in got)
+    one = models.kmeans_profile(df.limit(2), "id", "v", "q", ["g"]).collect()
+    assert [(r["cluster"], r["n"]) for r in one] == [(0, 2)]
