@@ -205,6 +205,20 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
+def lowest_ids(usable: DataFrame, n: int) -> DataFrame:
+    """lang and doc_id of the ``n`` rows of each language whose ids hash lowest.
+
+    Counts of 4,096 slots of the hash tell where a language's first ``n`` rows end; only rows up to there are ranked.
+    """
+    rows = usable.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("slot", F.shiftright("h", 52))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("slot")) - F.col("n")
+    slots = rows.groupBy("lang", "slot").agg(F.count(F.lit(1)).alias("n")).withColumn("before", before)
+    last = slots.where(F.col("before") < n).groupBy("lang").agg(F.max("slot").alias("last"))
+    near = rows.join(F.broadcast(last), "lang").where("slot <= last")  # a row for each language, of which the model holds as many
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= n).select("lang", "doc_id")
+
+
 def fit(docs: DataFrame, vocabulary: str, max_docs: int = 1000, rounds: int = 3) -> LanguageModel:
     """Fits on at most ``max_docs`` documents of each language, those whose ids hash lowest, whole texts.
 
@@ -215,9 +229,7 @@ def fit(docs: DataFrame, vocabulary: str, max_docs: int = 1000, rounds: int = 3)
     small_batches(spark)
     pieces = vocabulary_pieces(vocabulary)
     usable = docs.where("text is not null and lang is not null and doc_id is not null").where(~held_out("doc_id"))
-    # the rank's limit also holds before the shuffle, so that no language's rows come together
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    lowest = usable.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("rank", rank).where(F.col("rank") <= max_docs).select("lang", "doc_id").collect()
+    lowest = lowest_ids(usable, max_docs).collect()
     languages, ids = sorted({r["lang"] for r in lowest}), {r["doc_id"] for r in lowest}
     if not ids:
         return LanguageModel([], pieces, np.zeros((len(pieces) + 1, 0)))

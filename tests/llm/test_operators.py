@@ -99,6 +99,15 @@ def test_forward_sums_all_segmentations():
     assert np.isclose(sum(counts[i] * len(p) for i, p in enumerate(pieces)), 4)
 
 
+def test_lowest_ids_are_those_of_a_plain_rank(spark):
+    df = spark.range(30_000).selectExpr("id div 2 as doc_id", "if(id % 50 < 48, 'a', if(id % 50 = 48, 'b', 'c')) as lang").where("lang <> 'c' or doc_id < 200")
+    hashed = df.withColumn("h", F.xxhash64("doc_id")).collect()
+    for n in (1, 7, 900):
+        want = [(k, r["doc_id"]) for k in "abc" for r in sorted((r for r in hashed if r["lang"] == k), key=lambda r: (r["h"], r["doc_id"]))[:n]]
+        assert sorted(map(tuple, language_id.lowest_ids(df, n).collect())) == sorted(want)
+    assert language_id.lowest_ids(df.limit(0), 5).count() == 0
+
+
 def test_language_id(spark, lang_model, docs, rows, empty):
     sf = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.identify(sf, lang_model).join(sf.select("doc_id", "lang"), "doc_id").where(language_id.held_out("doc_id"))
