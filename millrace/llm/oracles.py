@@ -89,5 +89,102 @@ m AS (SELECT doc_id, item_id, seeds, n_items, list_max(list_transform(range(0, l
 SELECT doc_id, item_id, any_value(n_items) AS n_items, max(matched)::BIGINT AS matched, 12::BIGINT AS compared, sum(seeds)::BIGINT AS n_seeds FROM m WHERE matched >= 9.6 GROUP BY doc_id, item_id"""
 
 
+#: CRC-32: the table by its rule, and the checksum of a text's bytes.
+_CRC_TABLE = "crc_table AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM (SELECT unnest(range(256)) AS i))"
+
+
+def _crc32(text: str) -> str:
+    """Needs ``tab`` of crc_table in scope."""
+    data = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+ORACLES["op11_importance"] = rf"""
+WITH {_CRC_TABLE},
+w AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')) AS word FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')) AS word FROM benchmark),
+h AS (SELECT word, ({_crc32("word")} % 10000)::INTEGER AS bucket FROM (SELECT word FROM w UNION SELECT word FROM b), crc_table),
+s AS (SELECT bucket, count(*) AS s FROM w JOIN h USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN h USING (word) GROUP BY bucket),
+g AS (
+  SELECT s.bucket, floor(1000 * ln((coalesce(t.t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + 10000)::DOUBLE
+         / ((s.s + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM s LEFT JOIN t USING (bucket)),
+d AS (SELECT doc_id, count(*) AS n, sum(gain)::BIGINT AS total FROM w JOIN h USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+f AS (
+  SELECT doc_id, coalesce(d.n, 0) AS n_features,
+         CASE WHEN d.n IS NULL THEN 0 ELSE (d.total - ((d.total % d.n) + d.n) % d.n) // d.n END::BIGINT AS weight,
+         ('0x' || substr(sha256('2024:' || doc_id::VARCHAR), 1, 8))::BIGINT AS h
+  FROM documents LEFT JOIN d USING (doc_id)),
+sc AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5)::DOUBLE / 4294967296::DOUBLE)))::BIGINT AS score FROM f),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM sc WHERE n_features >= 20)
+SELECT sc.doc_id, sc.n_features, sc.weight, sc.score, CASE WHEN r.rank <= r.n * 10 // 100 THEN r.rank END AS rank
+FROM sc LEFT JOIN r USING (doc_id)
+"""
+
+
+def _curve_steps(bits: int) -> str:
+    """The turns of a three-dimensional Hilbert curve as one common table for each level and dimension, from c0(x0, x1, x2)."""
+    out, k = [], 0
+    for level in range(bits - 1, 0, -1):
+        below = (1 << level) - 1
+        for d in range(3):
+            flip = f"(x{d} >> {level}) & 1 = 1"
+            swap = f"CASE WHEN {flip} THEN 0 ELSE xor(x0, x{d}) & {below} END"
+            new = [f"CASE WHEN {flip} THEN xor(x0, {below}) ELSE xor(x0, {swap}) END AS x0"]
+            new += [f"xor(x{i}, {swap}) AS x{i}" if i == d else f"x{i}" for i in (1, 2)]
+            out.append(f"c{k + 1} AS (SELECT k0, k1, k2, {', '.join(new)} FROM c{k})")
+            k += 1
+    planes = [f"((x{d} >> {level}) & 1)" for level in range(bits - 1, -1, -1) for d in range(3)]
+    index = " + ".join(f"((({' + '.join(planes[: i + 1])}) & 1) << {len(planes) - 1 - i})" for i in range(len(planes)))
+    out.append(f"curve AS (SELECT k0, k1, k2, {index} AS curve FROM c{k})")
+    return ",\n".join(out)
+
+
+ORACLES["op12_sharding"] = f"""
+WITH {_CRC_TABLE},
+d AS (SELECT doc_id, source, lang, coalesce(strlen(text), 0)::BIGINT + 8 AS size, coalesce({_crc32("text")}, 0)::BIGINT AS text_crc32 FROM documents, crc_table),
+n AS (SELECT count(*) AS n FROM documents),
+cells AS (
+  SELECT doc_id, size, text_crc32,
+         (rank() OVER (ORDER BY encode(source) NULLS FIRST) - 1) * 16 // n AS k0,
+         (rank() OVER (ORDER BY encode(lang) NULLS FIRST) - 1) * 16 // n AS k1,
+         (rank() OVER (ORDER BY size) - 1) * 16 // n AS k2
+  FROM d, n),
+c0 AS (SELECT DISTINCT k0, k1, k2, k0 AS x0, k1 AS x1, k2 AS x2 FROM cells),
+{_curve_steps(4)},
+p AS (SELECT *, row_number() OVER (ORDER BY curve, text_crc32, doc_id) - 1 AS place FROM cells JOIN curve USING (k0, k1, k2)),
+s AS (SELECT *, (place * 24 // n)::INTEGER AS shard FROM p, n)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS slot, NULL::INTEGER AS grown_shard FROM s
+"""
+
+
+def _code_rounds(rounds: int) -> str:
+    """Assignments a1, a2, ... and the codebooks b1, b2, ... after each round, from the parts x(vec_id, j, v) and the codebooks b0(j, e, v)."""
+    out = []
+    for k in range(rounds + 1):
+        off = "list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        out.append(f"a{k} AS MATERIALIZED (SELECT vec_id, j, arg_min(e, (off, e)) AS e, min(off) AS off FROM (SELECT x.vec_id, x.j, b.e, {off}::BIGINT AS off FROM x JOIN b{k} b USING (j)) GROUP BY vec_id, j)")
+        if k < rounds:
+            mean = "list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i)"
+            sums = f"SELECT j, e, i, sum(c)::BIGINT AS s, count(*) AS n FROM (SELECT a.j, a.e, unnest(range(len(x.v))) AS i, unnest(x.v) AS c FROM a{k} a JOIN x USING (vec_id, j)) GROUP BY j, e, i"
+            out.append(f"b{k + 1} AS MATERIALIZED (SELECT b.j, b.e, coalesce(m.v, b.v) AS v FROM b{k} b LEFT JOIN (SELECT j, e, {mean} AS v FROM ({sums}) GROUP BY j, e) m USING (j, e))")
+    return ",\n".join(out)
+
+
+ORACLES["op13_vector_codes"] = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda c: floor(c::DOUBLE * 256)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+x AS MATERIALIZED (SELECT vec_id, j, v[j * (len(v) // 16) + 1 : (j + 1) * (len(v) // 16)] AS v FROM kept, (SELECT unnest(range(16)) AS j)),
+b0 AS MATERIALIZED (SELECT j, e, v FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept) USING (vec_id) WHERE e < 64),
+{_code_rounds(2)},
+coded AS (SELECT vec_id, string_agg(lower(printf('%02x', e)), '' ORDER BY j) AS code, sum(off)::BIGINT AS error FROM a2 GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(list_aggregate(v, 'string_agg', ','), ',' ORDER BY j, e)) FROM b2) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return ORACLES | {"op6_decontamination": DECONTAMINATION}

@@ -81,5 +81,37 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"), train(labelled_table(spark)))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.importance import ranked
+
+    out = ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), max_n=1, n_buckets=10_000, percent=10, min_words=20, seed=2024)
+    c = F.col
+    return out.select("doc_id", c("importance_features").alias("n_features"), c("importance_weight").alias("weight"), c("importance_score").alias("score"), c("importance_rank").alias("rank"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.common import staged
+    from millrace.llm.sharding import assign, measured
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    out = assign(staged(measured(docs).drop("text"), "measured"), shards=24, bits=4, law="rows")
+    size, crc = F.col("shard_size").alias("size"), F.col("shard_crc32").alias("text_crc32")
+    return out.select("doc_id", size, crc, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.common import staged
+    from millrace.llm.vector_codes import encode, fit, with_label_error
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = fit(vectors, parts=16, n_entries=64, rounds=2, scale=256)
+    if books is None:
+        return spark.createDataFrame([], "vec_id long, code string, error long, label_error long, codebooks_sha256 string")
+    coded = staged(encode(vectors, books).drop("embedding"), "codes")
+    out = with_label_error(coded)
+    code = F.lower(F.hex("vector_code")).alias("code")
+    return out.select("vec_id", code, F.col("vector_error").alias("error"), "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
