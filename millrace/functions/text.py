@@ -12,15 +12,18 @@ from pyspark.sql import functions as F
 APPARENT_AGE = (
     r"выгляд\w+\s+на\s+(\d{1,2})", r"да[лheё]\w*\s+бы\s+(?:лет\s+)?(\d{1,2})", r"на\s+вид\s+(?:лет\s+)?(\d{1,2})",
     r"максимум\s+(\d{1,2})", r"не\s+больше\s+(\d{1,2})", r"не\s+дашь?\s+(?:и\s+)?(\d{1,2})",
-    r"looks? (?:about |around )?(\d{1,2})", r"(\d{1,2}) years old", r"age (\d{1,2})",
 )
-LEFT_AGE = (r"слев[ае]\D{0,15}?(\d{1,2})", r"left[^0-9]{0,12}(\d{1,2})")
-RIGHT_AGE = (r"справ[ае]\D{0,15}?(\d{1,2})", r"right[^0-9]{0,12}(\d{1,2})")
-ORDERED_AGES = (r"в\s*(\d{1,2})\b\D{0,25}?(?:и|,)\s*(?:сейчас\s*)?(?:в|мне)\s*(\d{1,2})\b", r"\bin (\d{1,2})\b.*\band in (\d{1,2})\b")
-SINGLE_AGE = r"(?:мне|в)\s*(?:было\s*)?\d{1,2}\b|\d{1,2}\s*(?:лет|год(?:а|ик|иков)?)(?!\s*назад)"
-YEARS_OLD = r"\b\d{1,2} years?\b(?! ago)"
+LEFT_AGE, RIGHT_AGE = r"слев[ае]\D{0,15}?(\d{1,2})", r"справ[ае]\D{0,15}?(\d{1,2})"
+ORDERED_AGES = r"в\s*(\d{1,2})\b\D{0,25}?(?:и|,)\s*(?:сейчас\s*)?(?:в|мне)\s*(\d{1,2})\b"
+AGE_UNIT, AGE_BARE = r"(\d{1,2})\s*(?:лет|год(?:а|ик|иков)?)(?!\s*назад)", r"(?:мне|в)\s*(?:было\s*)?(\d{1,2})\b"
 YEAR, DURATION = r"\b(?:19|20)\d{2}\b", r"\b\d{1,3}\s*(?:years?|yrs?|yr|y/?o)\b(?:\s*ago)?"
-CONNECTOR, AGED = r"\b(?:to|and|vs)\b|[-–—/&(]", r"\b(?:aged?|at)\s+(\d{1,2})\b"
+CONNECTOR, AGED = r"\b(?:to|and|vs)\b|[-–—/&]", r"\b(?:aged?|at)\s+(\d{1,2})\b"
+# Additions of our own: English phrases beside the Russian ones. A number of years is an age only if it says 'old'.
+ENGLISH_APPARENT = (r"\blooks? (?:about |around )?(\d{1,2})\b", r"\b(\d{1,2}) years old\b", r"\bage (\d{1,2})\b")
+ENGLISH_LEFT, ENGLISH_RIGHT = r"\bleft[^0-9]{0,12}(\d{1,2})\b", r"\bright[^0-9]{0,12}(\d{1,2})\b"
+ENGLISH_ORDERED = r"\bin (\d{1,2})\b.*\band in (\d{1,2})\b"
+YEARS_OLD = r"\b\d{1,2} years old\b"
+SINGLE_AGE = f"{AGE_BARE}|{AGE_UNIT}"
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"
 
 
@@ -48,21 +51,21 @@ def _ages(found: Column) -> Column:
 def left_right(caption: Column) -> Column:
     """[left, right] if both sides are stated; else empty."""
     text = _plain(caption)
-    left, right = (F.coalesce(*[_age(text, p) for p in side]) for side in (LEFT_AGE, RIGHT_AGE))
+    left, right = (F.coalesce(*[_age(text, p) for p in side]) for side in ((LEFT_AGE, ENGLISH_LEFT), (RIGHT_AGE, ENGLISH_RIGHT)))
     return F.when(left.isNotNull() & right.isNotNull(), F.array(left, right)).otherwise(F.array().cast("array<int>"))
 
 
 def ordered_pair(caption: Column) -> Column:
     """[first, second] of 'in X ... and in Y'; else empty."""
     text, out = _plain(caption), F.array().cast("array<int>")
-    for p in reversed(ORDERED_AGES):
+    for p in (ENGLISH_ORDERED, ORDERED_AGES):
         a, b = _age(text, p), _age(text, p, 2)
         out = F.when(a.isNotNull() & b.isNotNull(), F.array(a, b)).otherwise(out)
     return out
 
 
 def singles(caption: Column, pattern: str = f"{SINGLE_AGE}|{YEARS_OLD}") -> Column:
-    """Distinct ages with a unit or after a word for 'I am' or 'at', in order of place; 'years ago' does not count."""
+    """Distinct ages with a unit or after a word for 'I am' or 'at', in order of place; durations do not count."""
     found = F.regexp_extract_all(_plain(caption), F.lit("(?U)" + pattern), 0)
     return _ages(F.transform(found, lambda x: F.regexp_extract(x, r"(\d{1,2})", 1)))
 
@@ -78,7 +81,7 @@ def age_anchors(caption: Column, n_photos: Column) -> Column:
 
 
 def apparent_ages(text: Column, lo: int = 5, hi: int = 90) -> Column:
-    found = F.flatten(F.array(*[F.regexp_extract_all(_plain(text), F.lit("(?U)" + p), 1) for p in APPARENT_AGE]))
+    found = F.flatten(F.array(*[F.regexp_extract_all(_plain(text), F.lit("(?U)" + p), 1) for p in (*APPARENT_AGE, *ENGLISH_APPARENT)]))
     return F.filter(_ages(found), lambda a: (a >= lo) & (a <= hi))
 
 
@@ -116,7 +119,7 @@ def bracketed_numbers(text: Column) -> Column:
     """Distinct ages after four-digit years and durations are struck out: all numbers if a connector or a bracket is there, else those after 'aged' or 'at'."""
     rest = F.regexp_replace(F.regexp_replace(_plain(text), "(?U)" + YEAR, " "), "(?U)" + DURATION, " ")
     every, stated = (F.regexp_extract_all(rest, F.lit("(?U)" + p), 1) for p in (r"\b(\d{1,2})\b", AGED))
-    return _ages(F.when(rest.rlike("(?U)" + CONNECTOR), every).otherwise(stated))
+    return _ages(F.when(rest.rlike("(?U)" + CONNECTOR) | rest.contains("("), every).otherwise(stated))
 
 
 def first_object(text: str | None) -> str | None:

@@ -17,14 +17,15 @@ rnd = lambda c, n=6: F.round(c, n)
 CAPTIONS_SQL = """cap AS (SELECT item, 1 + item % 3 AS n_photos, CASE item % 6
  WHEN 0 THEN (age)::VARCHAR || '/' || ((age + 9) % 80 + 1)::VARCHAR WHEN 1 THEN 'left ' || age::VARCHAR || ', right is ' || (age + 3)::VARCHAR
  WHEN 2 THEN 'me in ' || age::VARCHAR || ' and in ' || (age + 5)::VARCHAR WHEN 3 THEN 'she was ' || age::VARCHAR || ' years old, looks about ' || (age + 1)::VARCHAR
- WHEN 4 THEN 'taken ' || age::VARCHAR || ' years ago' ELSE 'no age here' END AS caption FROM items WHERE age < 80)"""
+ WHEN 4 THEN 'taken ' || age::VARCHAR || ' years ago' ELSE CASE item % 4 WHEN 1 THEN 'married ' || age::VARCHAR || ' years' ELSE 'a village ' || age::VARCHAR || ' km off, average ' || age::VARCHAR || ' people' END END AS caption FROM items WHERE age < 80)"""
 
 
 def captions(spark, d):
     """Captions made from the attribute, in the forms that the rules know."""
     age = F.col("age")
     s = lambda c: c.cast("string")
-    forms = [F.concat(s(age), F.lit("/"), s((age + 9) % 80 + 1)), F.concat(F.lit("left "), s(age), F.lit(", right is "), s(age + 3)), F.concat(F.lit("me in "), s(age), F.lit(" and in "), s(age + 5)), F.concat(F.lit("she was "), s(age), F.lit(" years old, looks about "), s(age + 1)), F.concat(F.lit("taken "), s(age), F.lit(" years ago")), F.lit("no age here")]
+    forms = [F.concat(s(age), F.lit("/"), s((age + 9) % 80 + 1)), F.concat(F.lit("left "), s(age), F.lit(", right is "), s(age + 3)), F.concat(F.lit("me in "), s(age), F.lit(" and in "), s(age + 5)), F.concat(F.lit("she was "), s(age), F.lit(" years old, looks about "), s(age + 1)), F.concat(F.lit("taken "), s(age), F.lit(" years ago"))]
+    forms.append(F.when(F.col("item") % 4 == 1, F.concat(F.lit("married "), s(age), F.lit(" years"))).otherwise(F.concat(F.lit("a village "), s(age), F.lit(" km off, average "), s(age), F.lit(" people"))))
     return items(spark, d).where("age < 80").select("item", (1 + F.col("item") % 3).alias("n_photos"), F.element_at(F.array(*forms), (F.col("item") % 6 + 1).cast("int")).alias("caption"), "age")
 
 

@@ -225,6 +225,7 @@ def test_stream_counts_an_id_once_over_batches(spark):
 @pytest.mark.parametrize("caption, want", [
     ("мне 25", [25]), ("25 лет", [25]), ("тут мне было 14", [14]), ("слева 5 лет, справа 30", [5, 30]), ("в 12 и сейчас в 28", [12, 28]), ("В 12 и в 28", [12, 28]),
     ("10 лет назад и сейчас", []), ("красивое фото", []), ("", []), ("12 to 43, married 29 years, 1971", [12, 43]), ("me (25)", [25]), ("her aged 7 in 1999", [7]), ("only 25", []), ("15 – 40", [15, 40]),
+    ("married 29 years", []), ("we have been together 12 years", []), ("she was 12 years old", [12]), ("37 years ago", []), ("мне было 14, сейчас 30 лет", [14, 30]), ("5/26", []), ("18/06/2021", []),
 ])
 def test_age_rules(spark, caption, want):
     df = spark.createDataFrame([(caption,)], "c string")
@@ -236,6 +237,9 @@ def test_apparent_age_phrases(spark):
     rows = ["выглядит на 20 максимум", "дал бы лет 25", "дала бы 30", "на вид лет 35", "не больше 22", "максимум 18", "на вид 3", ""]
     got = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, c string").select("i", text.apparent_ages(F.col("c")).alias("a")).orderBy("i").collect()
     assert [r["a"] for r in got] == [[20], [25], [30], [35], [22], [18], [], []]
+    rows = ["an average 20 people", "village 12 km", "age 30", "looks 25", "looks 250", "married 29 years", "41 years old"]
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, c string").select("i", text.apparent_ages(F.col("c")).alias("a")).orderBy("i").collect()
+    assert [r["a"] for r in got] == [[], [], [30], [25], [], [], [41]]
 
 
 def _spearman(a, b):
