@@ -165,29 +165,54 @@ def bayesian_head(df: DataFrame, by: str, vec: str, y: str, dims: int, ridge: fl
     return s.mapInPandas(solve, f"{by} {dict(df.dtypes)[by]}, n long, mean array<double>")
 
 
+#: Up to so many players the fixed point is found on the driver, from one count for each pair of them; beyond, by joins.
+DRIVER_PLAYERS = 500
+
+
 def bradley_terry(games: DataFrame, rounds: int = 200, tol: float = 1e-6) -> DataFrame:
-    """player and strength (mean 1) from rows (w, l); the driver holds one count for each pair of players.
+    """player and strength (mean 1) from rows (w, l), by the minorise-maximise fixed point.
 
-    Players are strata or policies, not rows: at most 2,000, which is checked.
+    A player without a win keeps the strength of the round before, up to the scaling. Rows with a null or equal ends do not count.
     """
-    spark = games.sparkSession
-    counts = games.groupBy("w", "l").agg(F.count(F.lit(1)).alias("n"))
-    players = sorted(r[0] for r in counts.select(F.explode(F.array("w", "l")).alias("p")).distinct().limit(2001).collect())
-    if len(players) > 2000:
-        raise ValueError("more than 2,000 players")
-    kind = dict(games.dtypes)["w"]
-    if not players:
+    counts = staged(games.where("w is not null and l is not null and w <> l").groupBy("w", "l").agg(F.count(F.lit(1)).alias("n")), "games")
+    players = counts.select(F.explode(F.array("w", "l")).alias("player")).distinct()
+    if players.limit(DRIVER_PLAYERS + 1).count() > DRIVER_PLAYERS:
+        return _strengths_by_joins(counts, rounds, tol)
+    spark, kind = games.sparkSession, dict(games.dtypes)["w"]
+    names = sorted(r[0] for r in players.collect())
+    if not names:
         return spark.createDataFrame([], f"player {kind}, strength double")
-    at = {p: i for i, p in enumerate(players)}
-    wins = np.zeros((len(players),) * 2)
+    at = {p: i for i, p in enumerate(names)}
+    wins = np.zeros((len(names),) * 2)
     for r in counts.collect():
         wins[at[r["w"]], at[r["l"]]] += r["n"]
-    total, s = wins + wins.T, np.ones(len(players))
+    total, s = wins + wins.T, np.ones(len(names))
     for _ in range(rounds):
-        new = (wins.sum(axis=1) + 1e-9) / np.maximum((total / (s[:, None] + s[None, :])).sum(axis=1), 1e-12)
+        new = wins.sum(axis=1) / np.maximum((total / (s[:, None] + s[None, :])).sum(axis=1), 1e-12)
+        new = np.where(new > 0, new, s)
         new /= new.mean()
         if np.allclose(new, s, rtol=tol):
             s = new
             break
         s = new
-    return spark.createDataFrame([(p, float(v)) for p, v in zip(players, s, strict=True)], f"player {kind}, strength double")
+    return spark.createDataFrame([(p, float(v)) for p, v in zip(names, s, strict=True)], f"player {kind}, strength double")
+
+
+def _strengths_by_joins(counts: DataFrame, rounds: int, tol: float) -> DataFrame:
+    """The same fixed point with a row for each player: a round joins the opponents' strengths to the games and sums them up."""
+    both = counts.unionByName(counts.select(F.col("l").alias("w"), F.col("w").alias("l"), "n"))
+    games = staged(both.groupBy(F.col("w").alias("player"), F.col("l").alias("other")).agg(F.sum("n").alias("n")), "pairs")
+    wins = counts.groupBy(F.col("w").alias("player")).agg(F.sum("n").alias("wins"))
+    s = staged(games.select("player").distinct().join(wins, "player", "left").na.fill(0, ["wins"]).withColumn("strength", F.lit(1.0)), "strengths")
+    for _ in range(rounds):
+        theirs = s.select(F.col("player").alias("other"), F.col("strength").alias("theirs"))
+        mine = games.join(s, "player").join(theirs, "other")
+        sums = mine.groupBy("player").agg(F.sum(F.col("n") / (F.col("strength") + F.col("theirs"))).alias("d"), F.first("strength").alias("old"), F.first("wins").alias("wins"))
+        new = staged(sums.select("player", "wins", "old", F.when(F.col("wins") > 0, F.col("wins") / F.greatest("d", F.lit(1e-12))).otherwise(F.col("old")).alias("strength")), "strengths")
+        mean = new.agg(F.avg("strength")).first()[0]
+        new = new.withColumn("strength", F.col("strength") / mean)
+        still = new.where(F.abs(F.col("strength") - F.col("old")) > 1e-8 + tol * F.abs("old")).limit(1).count()
+        s = new.select("player", "wins", "strength")
+        if not still:
+            break
+    return s.select("player", "strength")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -16,8 +16,11 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
-    df.write.mode("append" if append else "overwrite").json(path)
+def write_jsonl(df: DataFrame, path: str, append: bool = False) -> int:
+    """Writes JSON lines and returns how many rows went out, counted by the pass that writes them."""
+    seen = Observation("written")
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append" if append else "overwrite").json(path)
+    return int(seen.get["rows"])
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

@@ -32,7 +32,7 @@ def ingest(spark: SparkSession, landing: str, schema: StructType, root: str, key
     """
     _again(spark, schema, root, key, process)
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(landing)
-    source = source.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withWatermark(ts, lateness).dropDuplicatesWithinWatermark([key])
+    source = source.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness).dropDuplicatesWithinWatermark([key])
     in_a_row = [0]
 
     def keep(batch: DataFrame, epoch: int) -> None:
@@ -53,40 +53,29 @@ def ingest(spark: SparkSession, landing: str, schema: StructType, root: str, key
         raise
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.option("basePath", path).parquet(path)
-    except Exception as e:  # no run has written yet
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return None
-        raise
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("basePath", path).parquet(path)
 
 
 def _again(spark: SparkSession, schema: StructType, root: str, key: str, process: Callable[[DataFrame], DataFrame]) -> None:
-    failed, done = _read(spark, f"{root}/failed"), _read(spark, f"{root}/rows")
-    if failed is None:
-        return
-    todo = failed.select(*schema.fieldNames())
-    todo = todo if done is None else todo.join(done.select(key), key, "left_anti")
-    todo = staged(todo.dropDuplicates([key]), "again")
+    """Makes the tables of the first run, and works off what earlier runs have failed to."""
+    none = spark.createDataFrame([], schema)
+    none.write.mode("ignore").parquet(f"{root}/failed/part=begin")
+    process(none).drop("error").write.mode("ignore").parquet(f"{root}/rows/part=begin")
+    todo = staged(still_failed(spark, root, key).select(*schema.fieldNames()), "again")
     if todo.limit(1).count():
         got = staged(process(todo), "processed")  # those that fail again stay in failed, where they are already
         got.where("error is null").drop("error").write.parquet(f"{root}/rows/part=again-{uuid.uuid4().hex}")
 
 
-def rows(spark: SparkSession, root: str, key: str) -> DataFrame | None:
-    """What all runs so far have worked off, one row for each key; None before the first."""
+def rows(spark: SparkSession, root: str, key: str) -> DataFrame:
+    """What all runs so far have worked off, one row for each key."""
     got = _read(spark, f"{root}/rows")
-    if got is None:
-        return None
     first = got.groupBy(key).agg(F.min_by(F.struct(*[c for c in got.columns if c != "part"]), "part").alias("r"))
     return first.select("r.*")
 
 
-def still_failed(spark: SparkSession, root: str, key: str) -> DataFrame | None:
-    """The inputs that no run has worked off."""
+def still_failed(spark: SparkSession, root: str, key: str) -> DataFrame:
+    """The inputs that no run has worked off, one row for each key."""
     failed, done = _read(spark, f"{root}/failed"), _read(spark, f"{root}/rows")
-    if failed is None:
-        return None
-    failed = failed.drop("part").dropDuplicates([key])
-    return failed if done is None else failed.join(done.select(key), key, "left_anti")
+    return failed.drop("part").dropDuplicates([key]).join(done.select(key), key, "left_anti")

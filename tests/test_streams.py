@@ -98,7 +98,6 @@ def test_runs_resume_after_failures_and_repeats(spark, tmp_path):
 def test_breaker_ends_a_run_and_loses_nothing(spark, tmp_path):
     landing, root = str(tmp_path / "in"), str(tmp_path / "root")
     schema = spark.createDataFrame([], EVENTS).schema
-    assert resumable.rows(spark, root, "id") is None and resumable.still_failed(spark, root, "id") is None
     for i in range(4):
         land(spark, landing, [i])
     with pytest.raises(resumable.Broken):
