@@ -1,116 +1,111 @@
-"""Similarity search of a stated query set against all rows, in blocks, and joins on band or attribute."""
+"""Similarity search of a stated query set against all rows, in pairs of blocks, and joins on band or attribute."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that one pass compares with a partition of the gallery; more queries make more passes.
-QUERY_BLOCK = 4096
-#: Queries in one product with a batch of the gallery.
-STEP = 256
+from millrace.session import staged
+
+#: Rows of a block of queries, and of a block of the gallery: what one task holds at a time.
+QUERY_BLOCK, GALLERY_BLOCK = 16_384, 65_536
+#: Queries in one product with a block of the gallery.
+STEP = 128
 
 
-def search(queries: DataFrame, gallery: DataFrame, k: int, key: str = "item", vec: str = "vec", least: float | None = None, below: float | None = None, differ: tuple[str, ...] = ()) -> DataFrame:
+def search(queries: DataFrame, gallery: DataFrame, k: int | None, key: str = "item", vec: str = "vec", least: float | None = None, below: float | None = None, differ: tuple[str, ...] = ()) -> DataFrame:
     """query, item, sim, rank: the k most similar other rows of each query (ties: smaller key), at least ``least`` and under ``below`` similar, in whose ``differ`` columns (of no nulls) both differ.
 
-    Queries are cut into blocks of at most ``QUERY_BLOCK`` rows.  Each gallery partition
-    keeps the k best of its rows for each query of a block, so what is shuffled is k rows for
-    each query and partition, and no block is larger than its bound.
+    With ``k`` None, all such rows and no rank.  Keys are unique.  Every block of queries meets every block of the
+    gallery in one keyed shuffle; a pair of blocks sends on k rows for each of its queries.
     """
-    out = None
-    for block in _query_blocks(queries, key, [key, vec, *differ]):
-        shared = gallery.sparkSession.sparkContext.broadcast(block)
-
-        def near(batches, shared=shared):
-            ids, matrix, *marks = shared.value
-            for (item, *own), sims in _products(batches, ids, matrix):
-                for i, sim in sims:
-                    for a, b in zip(marks, own, strict=True):
-                        sim[a[i : i + STEP, None] == b] = -np.inf
-                    if below is not None:
-                        sim[sim >= below] = -np.inf
-                    if least is not None:
-                        sim[sim < least] = -np.inf
-                    order = np.lexsort((np.broadcast_to(item, sim.shape), -sim), axis=1)[:, :k]
-                    s = np.take_along_axis(sim, order, 1)
-                    ok = s > -np.inf
-                    q = np.broadcast_to(ids[i : i + STEP, None], s.shape)[ok]
-                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(item[order][ok]), pa.array(s[ok])], ["query", "item", "sim"])
-
-        found = gallery.select(key, vec, *differ).mapInArrow(near, "query long, item long, sim double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return gallery.sparkSession.createDataFrame([], "query long, item long, sim double, rank int")
+    cols = [key, vec, *differ]
+
+    def near(q: pa.Table, g: pa.Table) -> pa.Table:
+        out = []
+        for ids, own, item, theirs, sim in _products(q, g, cols, cols):
+            for a, b in zip(own, theirs, strict=True):
+                sim[a[:, None] == b] = -np.inf
+            if below is not None:
+                sim[sim >= below] = -np.inf
+            if least is not None:
+                sim[sim < least] = -np.inf
+            if k is None:
+                row, col = np.nonzero(sim > -np.inf)
+            else:
+                order = np.lexsort((np.broadcast_to(item, sim.shape), -sim), axis=1)[:, :k]
+                row, at = np.nonzero(np.take_along_axis(sim, order, 1) > -np.inf)
+                col = order[row, at]
+            out.append((ids[row], item[col], sim[row, col]))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table(columns, ["query", "item", "sim"])
+
+    out = _block_pairs(queries.select(*cols), gallery.select(*cols), key, near, "query long, item long, sim double")
+    if k is None:
+        return out
     w = Window.partitionBy("query").orderBy(F.desc("sim"), "item")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _query_blocks(queries: DataFrame, key: str, cols: list[str]):
-    """The columns of the queries as arrays (the second a matrix), at most about ``QUERY_BLOCK`` rows at a time."""
-    n = max(1, -(-queries.count() // QUERY_BLOCK))
-    for b in range(n):
-        rows = queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == b).select(*cols).collect()
-        if rows:
-            yield np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float), *(np.array([r[i] for r in rows]) for i in range(2, len(cols)))
+def _block_pairs(queries: DataFrame, gallery: DataFrame, key: str, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``work`` on every pair of a block of queries and a block of the gallery."""
+    n_q, n_g = (max(1, -(-t.count() // size)) for t, size in ((queries, QUERY_BLOCK), (gallery, GALLERY_BLOCK)))
+    gallery = gallery.select(*[F.col(c).alias(f"g_{c}") for c in gallery.columns])  # the two may be parts of one table
+    block = lambda n, c=key: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.withColumn("_q", block(n_q)).withColumn("_g", each(n_g)).groupBy("_q", "_g")
+    g = gallery.withColumn("_g", block(n_g, f"g_{key}")).withColumn("_q", each(n_q)).groupBy("_q", "_g")
+    return q.cogroup(g).applyInArrow(work, schema)
 
 
-def _products(batches, ids: np.ndarray, matrix: np.ndarray):
-    """((keys, further columns), [(first query, similarities)]) of a gallery with key and vector first; a row is not compared with itself."""
-    for x in batches:
-        if x.num_rows:
-            item = x.column(0).to_numpy()
-            v = np.stack(x.column(1).to_numpy(zero_copy_only=False)).astype(float)
+def _products(q: pa.Table, g: pa.Table, cols: list[str], other: list[str]) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, list[np.ndarray], np.ndarray]]:
+    """(keys of some queries, their further columns, keys of the gallery block, its further columns, similarities); ``cols`` and ``other`` name key, vector and further columns of the two, a row is not compared with itself."""
+    if not q.num_rows or not g.num_rows:
+        return
 
-            def sims(item=item, v=v):
-                for i in range(0, len(ids), STEP):
-                    # rounded as the comparison with other engines needs it
-                    sim = np.round(matrix[i : i + STEP] @ v.T, 9)
-                    sim[ids[i : i + STEP, None] == item] = -np.inf
-                    yield i, sim
+    def parts(t: pa.Table, names: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        v = t.column(names[1]).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1)
+        return t.column(names[0]).to_numpy(), v, [t.column(c).to_numpy() for c in names[2:]]
 
-            yield (item, *(x.column(c).to_numpy(zero_copy_only=False) for c in range(2, x.num_columns))), sims()
+    ids, matrix, own = parts(q, cols)
+    item, v, theirs = parts(g, [f"g_{c}" for c in other])
+    for i in range(0, len(ids), STEP):
+        sim = np.round(matrix[i : i + STEP] @ v.T, 9)  # rounded as the comparison with other engines needs it
+        sim[ids[i : i + STEP, None] == item] = -np.inf
+        yield ids[i : i + STEP], [c[i : i + STEP] for c in own], item, theirs, sim
 
 
 def first_ranks(queries: DataFrame, gallery: DataFrame, label: str, key: str = "item", vec: str = "vec") -> DataFrame:
     """query, rank: one more than the rows that are more similar than the best row of the query's label; queries without such a row are left out.
 
-    Two passes of blocked products: the best similarity, then a count above it.  Each partition gives one row
+    Two passes over pairs of blocks: the best similarity, then a count above it.  Each pair gives one row
     for each query, so no list of a query's similarities is ever made.
     """
-    spark, out = gallery.sparkSession, None
-    g = gallery.select(key, vec, label)
-    for ids, matrix, labels in _query_blocks(queries, key, [key, vec, label]):
-        one = spark.sparkContext.broadcast((ids, matrix, labels))
-
-        def best(batches, one=one):
-            ids, matrix, labels = one.value
-            top = np.full(len(ids), -np.inf)
-            for (_, own), sims in _products(batches, ids, matrix):
-                for i, sim in sims:
-                    sim[labels[i : i + STEP, None] != own] = -np.inf
-                    top[i : i + STEP] = np.maximum(top[i : i + STEP], sim.max(axis=1))
-            at = np.flatnonzero(top > -np.inf)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(top[at])], ["query", "best"])
-
-        # at most a block of queries
-        tops = {r["query"]: r["best"] for r in g.mapInArrow(best, "query long, best double").groupBy("query").agg(F.max("best").alias("best")).collect()}
-        two = spark.sparkContext.broadcast(np.array([tops.get(int(i), np.inf) for i in ids]))
-
-        def above(batches, one=one, two=two):
-            (ids, matrix, _), top = one.value, two.value
-            count = np.zeros(len(ids), np.int64)
-            for _, sims in _products(batches, ids, matrix):
-                for i, sim in sims:
-                    count[i : i + STEP] += (sim > top[i : i + STEP, None]).sum(axis=1)
-            at = np.flatnonzero(top < np.inf)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(count[at])], ["query", "n"])
-
-        found = g.mapInArrow(above, "query long, n long").groupBy("query").agg((F.sum("n") + 1).alias("rank"))
-        out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], "query long, rank long") if out is None else out
+    cols = [key, vec, label]
+
+    def best(q: pa.Table, g: pa.Table) -> pa.Table:
+        out = []
+        for ids, (mine,), _, (theirs,), sim in _products(q, g, cols, cols):
+            sim[mine[:, None] != theirs] = -np.inf
+            top = sim.max(axis=1)
+            out.append((ids[top > -np.inf], top[top > -np.inf]))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table(columns, ["query", "best"])
+
+    tops = _block_pairs(queries.select(*cols), gallery.select(*cols), key, best, "query long, best double").groupBy("query").agg(F.max("best").alias("best"))
+    tops = staged(tops, "best")
+
+    def above(q: pa.Table, g: pa.Table) -> pa.Table:
+        out = [(ids, (sim > top[:, None]).sum(axis=1)) for ids, (top,), _, _, sim in _products(q, g, [key, vec, "best"], [key, vec])]
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        return pa.table(columns, ["query", "n"])
+
+    asked = queries.select(key, vec).join(tops.withColumnRenamed("query", key), key).select(key, vec, "best")
+    return _block_pairs(asked, gallery.select(key, vec), key, above, "query long, n long").groupBy("query").agg((F.sum("n") + 1).alias("rank"))
 
 
 def band_join(left: DataFrame, right: DataFrame, left_value: str, right_value: str, tolerance: int) -> DataFrame:

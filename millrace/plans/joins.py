@@ -101,7 +101,7 @@ def _similar(spark, d, k, least=None):
 @query("j10_similarity_threshold", f"WITH s AS ({SIM_SQL}) SELECT query, item, sim FROM s WHERE sim >= 0.25 AND qg <> gg")
 def j10(spark, d):
     """Rows of other groups at least so similar to a query; every row whose id is divisible by 50 is a query."""
-    return _similar(spark, d, 1 << 30, 0.25).where("qg <> gg").select("query", "item", "sim")
+    return _similar(spark, d, None, 0.25).where("qg <> gg").select("query", "item", "sim")
 
 
 @query("j11_similarity_within_group", "SELECT a.item AS item_a, b.item AS item_b, round(list_dot_product(a.vec, b.vec), 9) AS sim FROM items a JOIN items b ON a.grp = b.grp AND a.item < b.item WHERE round(list_dot_product(a.vec, b.vec), 9) >= 0.05")
@@ -135,7 +135,7 @@ SELECT query, item, sim, CASE WHEN rank <= 3 AND sim >= 0.3 THEN 'both' WHEN ran
 def j15(spark, d):
     t = items(spark, d)
     q = t.where("item % 50 = 0")
-    both = search(q, t, 3).select("query", "item", "sim", F.lit("top_k").alias("source")).unionByName(search(q, t, 1 << 30, least=0.3).select("query", "item", "sim", F.lit("cosine_threshold").alias("source")))
+    both = search(q, t, 3).select("query", "item", "sim", F.lit("top_k").alias("source")).unionByName(search(q, t, None, least=0.3).select("query", "item", "sim", F.lit("cosine_threshold").alias("source")))
     src = F.when(F.count(F.lit(1)) == 2, "both").otherwise(F.min("source"))
     return both.groupBy("query", "item", "sim").agg(src.alias("source"))
 
