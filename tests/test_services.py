@@ -88,3 +88,30 @@ def test_ratings_by_joins_equal_those_on_the_driver(spark, monkeypatch):
         s = new / new.mean()
     assert np.allclose([small[p] for p in names], s) and np.allclose([large[p] for p in names], s)
     assert models.bradley_terry(df.limit(0)).count() == 0
+
+
+def test_packs_are_refused_for_each_kind_of_fault(spark):
+    from millrace.operators import packs
+
+    schema = "task string, place int, payload string, note string, response string"
+    a = [("t1", 1, "p", "-", None), ("t2", 2, "q", "-", None), ("t3", 3, None, None, None)]
+    key = [("t1", "s/1"), ("t2", "s/2"), ("t3", None)]
+    make = lambda rows: spark.createDataFrame(rows, schema)
+
+    def found(b, k=key, first=a):
+        report = packs.outgoing_checks(make(first), make(b), spark.createDataFrame(k, "task string, source string"), ["payload"], ["note"], "orig[0-9]+")
+        return report, {r["check_name"]: r["violations"] for r in report.collect() if r["violations"]}
+
+    good = [("t1", 3, "p", "x", None), ("t2", 1, "q", "y", None), ("t3", 2, None, None, None)]
+    report, bad = found(good)
+    assert bad == {}
+    packs.refuse(report)
+    assert found(a)[1] == {"same_order": 3}
+    report, bad = found([("t1", 3, "CHANGED", "from s/1", "yes"), ("t1", 3, "CHANGED", "orig77", None), ("t9", 1, "q", None, None)], key[:2] * 2)
+    assert bad == {"repeated_b": 1, "repeated_key": 2, "missing_a": 1, "missing_b": 2, "missing_key": 2, "payload": 1, "answered": 1, "leaked": 2}
+    with pytest.raises(ValueError, match="answered \\(1\\), leaked \\(2\\)"):
+        packs.refuse(report)
+    assert not [r for r in packs.outgoing_checks(make([]), make([]), spark.createDataFrame([], "task string, source string"), ["payload"], ["note"], "x").collect() if r["violations"]]
+    back = [("t1", 1, "p", "-", "yes"), ("t1", 1, "p", "-", "yes"), ("t2", 5, "Q", "-", "maybe"), ("t8", 1, "p", "-", None)]
+    got = {r["check_name"]: r["violations"] for r in packs.returned_checks(make(a), make(back), ["payload"], ["yes", "no"]).collect()}
+    assert got == {"repeated": 1, "lost": 1, "added": 1, "moved": 1, "frozen": 1, "unanswered": 0, "not_allowed": 1}
