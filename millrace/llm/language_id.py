@@ -6,18 +6,19 @@ probabilities, by a forward recursion; a text's is the product over its words.
 probabilities are fitted by expectation maximisation with forward-backward counts, from
 a uniform start, as Spark jobs over (language, word, count) rows.
 
-Words are runs of letters of the lower-cased text, begun with the vocabulary's word mark; a
-word of over ``MAX_LEN`` letters is cut every ``MAX_LEN`` letters, each part begun with the mark; pieces of
-over ``MAX_PIECE`` characters, the mark included, are left out.  A character that the
-vocabulary lacks has one small probability, the same for all languages.
+Words are runs of letters of the lower-cased text, begun with the vocabulary's word mark, and are never cut; all lower-case
+pieces of letters only, of whatever length, take part.  A character that the vocabulary lacks has one small probability, the
+same for all languages.  Likelihoods of long words are kept in range by rescaling as the recursion goes.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter, and for every
-text if nothing can be learned; the score is the posterior of the predicted language under
+text if nothing can be learned; an empty table gives no rows; a text of any length is taken whole, word by word; the score is the posterior of the predicted language under
 equal priors; ties go to the language that sorts first; rows may repeat; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import U64, mix, powers, seeded, small_batches
+from millrace.llm.common import U64, mix, powers, small_batches
 
-MAX_LEN, MAX_PIECE = 24, 10
 MARK = "▁"
 UNKNOWN = 1e-9
+#: Characters of words worked on at once, and steps of the recursion between two rescalings.
+CHARACTERS, STEPS = 1 << 15, 16
 #: Words kept with their scores by a Python worker; the cache starts anew when it is full.
 CACHE_WORDS = 300_000
 _NOT_LETTERS = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256))
@@ -41,17 +43,26 @@ def vocabulary_pieces(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i) for i in range(model.get_piece_size())}
-    fit = lambda p: len(p) <= MAX_PIECE and (p == MARK or (x := p.removeprefix(MARK)).isalpha() and x == x.lower())
+    fit = lambda p: p == MARK or (x := p.removeprefix(MARK)).isalpha() and x == x.lower()
     return sorted(p for p in pieces if p and fit(p))
 
 
-class Lattice:
-    """Finds every piece inside a block of words at once."""
+def _character(codes: np.ndarray) -> np.ndarray:
+    """A hash of each code point, all of its bits."""
+    return mix(codes.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(83)) | U64(1)
+
 
-    def __init__(self, pieces: list[str]):
-        self.size = len(pieces)
-        self.char = seeded(1 << 16, 83) | U64(1)
-        keys = np.array([self._key(p) for p in pieces], U64)
+class Lattice:
+    """Finds every piece inside a block of words at once, and sums over all ways to cut them."""
+
+    def __init__(self, pieces: Sequence[str]):
+        self.size, self.longest = len(pieces), max(map(len, pieces), default=1)
+        ends = np.cumsum([len(p) for p in pieces])
+        begins = np.r_[0, ends[:-1]].astype(np.int64)
+        codes = np.frombuffer("".join(pieces).encode("utf-32-le"), "<u4")
+        pw, ipw = powers(len(codes) + 1)
+        h = np.r_[U64(0), np.cumsum(_character(codes) * pw[: len(codes)], dtype=U64)]
+        keys = mix((h[ends] - h[begins]) * ipw[begins]) if len(pieces) else np.zeros(0, U64)
         # open addressing by rounds: a table of 2**18 slots for each, until every piece has a place
         self.tables = []
         left = np.arange(len(pieces))
@@ -69,11 +80,6 @@ class Lattice:
     def _slot(keys: np.ndarray, r: int) -> np.ndarray:
         return ((keys * U64(2 * r + 1)) >> U64(46)).astype(np.int64)
 
-    def _key(self, piece: str) -> int:
-        codes = np.frombuffer(piece.encode("utf-32-le"), "<u4") & 0xFFFF
-        pw, _ = powers(MAX_LEN + 2)
-        return int(mix(np.array([(self.char[codes] * pw[: len(codes)]).sum(dtype=U64)], U64))[0])
-
     def find(self, keys: np.ndarray) -> np.ndarray:
         out = np.full(len(keys), self.size, np.int32)
         for r, table in enumerate(self.tables):
@@ -82,71 +88,111 @@ class Lattice:
             out[hit] = got[hit]
         return out
 
-    def pieces_of(self, words: list[str]) -> dict[tuple[int, int], np.ndarray]:
-        """(end, length) -> piece of each word there, or ``size`` for none; words are padded to the longest."""
-        n, width = len(words), max(map(len, words)) + 1
+    def pieces_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(piece of each length - 1, word and end, or ``size`` for none; lengths); the mark counts, words are padded to the longest."""
+        lengths = np.array([len(w) for w in words]) + 1
+        n, width = len(words), int(lengths.max())
         codes = np.zeros((n, width), np.uint32)
-        flat = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
-        lengths = np.array([len(w) for w in words])
-        inside = np.arange(width - 1) < lengths[:, None]
-        codes[:, 1:][inside] = flat
+        codes[:, 1:][np.arange(1, width) < lengths[:, None]] = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
         codes[:, 0] = ord(MARK)
-        pw, ipw = powers(MAX_LEN + 2)
+        pw, ipw = powers(width + 1)
         h = np.zeros((n, width + 1), U64)
-        h[:, 1:] = np.cumsum(self.char[codes & 0xFFFF] * pw[:width], axis=1, dtype=U64)
-        out = {}
-        for e in range(1, width + 1):
-            alive = lengths + 1 >= e
-            for size in range(1, min(e, MAX_PIECE) + 1):
-                ids = np.full(n, self.size, np.int32)
-                ids[alive] = self.find(mix((h[alive, e] - h[alive, e - size]) * ipw[e - size]))
-                out[e, size] = ids
+        np.cumsum(_character(codes) * pw[:width], axis=1, dtype=U64, out=h[:, 1:])
+        found = np.full((self.longest, n, width + 1), self.size, np.int32)
+        for size in range(1, min(self.longest, width) + 1):
+            found[size - 1, :, size:] = self.find(mix((h[:, size:] - h[:, :-size]) * ipw[: width + 1 - size]).ravel()).reshape(n, -1)
+        return found, lengths
+
+    def _steps(self, found: np.ndarray, prob: np.ndarray) -> np.ndarray:
+        step = prob[found]
+        step[0][found[0] == self.size] = UNKNOWN
+        return step
+
+    def forward(self, words: list[str], prob: np.ndarray) -> np.ndarray:
+        """Logarithms of the likelihoods (words x languages). prob: (pieces + 1) x languages, the last row zero."""
+        found, lengths = self.pieces_of(words)
+        longest, (n, width) = self.longest, found.shape[1:]
+        ahead = np.zeros((longest + width, n, prob.shape[1]))  # row e + longest - 1 is the sum over cuts of the first e characters
+        ahead[longest - 1] = 1
+        shift, out = np.zeros(ahead.shape[1:]), np.empty(ahead.shape[1:])
+        for e in range(1, width):
+            window = ahead[e - 1 : e - 1 + longest]
+            ahead[e - 1 + longest] = (window[::-1] * self._steps(found[:, :, e], prob)).sum(axis=0)
+            if e % STEPS == 0:
+                window = ahead[e : e + longest]
+                top = window.max(axis=0)
+                window /= top
+                shift += np.log(top)
+            done = lengths == e
+            if done.any():
+                out[done] = np.log(ahead[e - 1 + longest][done]) + shift[done]
         return out
 
-    def forward(self, words: list[str], prob: np.ndarray, want_counts: np.ndarray | None = None, column: int | None = None):
-        """Likelihoods (words x languages). prob: (pieces + 1) x languages, the last row zero.
-
-        With ``want_counts`` (weights of the words) and ``column``: the expected count of each piece in that language.
-        """
-        found = self.pieces_of(words)
-        n, width = len(words), max(map(len, words)) + 1
-        lengths = np.array([len(w) for w in words]) + 1
-        p = prob if column is None else prob[:, [column]]
-        alpha = np.zeros((width + 1, n, p.shape[1]))
-        alpha[0] = 1
-        for e in range(1, width + 1):
-            for size in range(1, min(e, MAX_PIECE) + 1):
-                step = p[found[e, size]]
-                if size == 1:
-                    step = np.where((found[e, 1] == self.size)[:, None], UNKNOWN, step)
-                alpha[e] += alpha[e - size] * step
-        total = alpha[lengths, np.arange(n)]
-        if want_counts is None:
-            return total
-        beta = np.zeros((width + 1, n))
-        beta[lengths, np.arange(n)] = 1
+    def expected(self, words: list[str], prob: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The expected count of each piece in the words, over all ways to cut them. prob: of one language, the last one zero."""
+        found, lengths = self.pieces_of(words)
+        longest, (n, width) = self.longest, found.shape[1:]
+        step = self._steps(found, prob)
+        ahead, behind = np.zeros((longest + width - 1, n)), np.zeros((width + longest, n))
+        up, down = np.zeros_like(ahead), np.zeros_like(behind)
+        ahead[longest - 1] = 1
+        for e in range(1, width):
+            ahead[e - 1 + longest] = (ahead[e - 1 : e - 1 + longest][::-1] * step[:, :, e]).sum(axis=0)
+            up[e - 1 + longest] = up[e - 2 + longest]
+            if e % STEPS == 0:
+                rows = slice(e, e + longest)
+                top = ahead[rows].max(axis=0)
+                ahead[rows] /= top
+                up[rows] += np.log(top)
+        sizes = np.arange(longest)
+        padded = np.concatenate([step, np.zeros((longest, n, longest))], axis=2)
+        for e in range(width - 1, -1, -1):
+            behind[e] = (padded[sizes, :, e + 1 + sizes] * behind[e + 1 : e + 1 + longest]).sum(axis=0)
+            down[e] = down[e + 1]
+            starts = lengths == e
+            behind[e][starts], down[e][starts] = 1, 0
+            if (width - e) % STEPS == 0:
+                rows = slice(e, e + longest)
+                top = behind[rows].max(axis=0)
+                top[top == 0] = 1  # the word has not begun yet, seen from its end
+                behind[rows] /= top
+                down[rows] += np.log(top)
+        total = np.log(behind[0]) + down[0]
+        ahead, up = ahead[longest - 1 :], up[longest - 1 :]
         counts = np.zeros(self.size + 1)
-        for e in range(width, 0, -1):
-            for size in range(1, min(e, MAX_PIECE) + 1):
-                ids = found[e, size]
-                step = np.where(ids == self.size, UNKNOWN if size == 1 else 0.0, p[ids, 0])
-                flow = beta[e] * step
-                np.add.at(counts, ids, alpha[e - size, :, 0] * flow * want_counts / total[:, 0])
-                beta[e - size] += flow
+        for size in range(1, min(longest, width - 1) + 1):
+            # rows beyond a word's end have no way on
+            scale = np.exp(np.minimum(up[:-size] + down[size:width] - total, 700))
+            flow = ahead[:-size] * step[size - 1, :, size:].T * behind[size:width] * scale
+            counts += np.bincount(found[size - 1, :, size:].T.ravel(), weights=(flow * weights).ravel(), minlength=self.size + 1)
         counts[self.size] = 0
         return counts
 
 
+@functools.lru_cache(maxsize=2)
+def lattice_of(pieces: tuple[str, ...]) -> Lattice:
+    """One for each worker and vocabulary, over tasks and rounds."""
+    return Lattice(pieces)
+
+
+def like_lengths(words: list[str]) -> Iterator[np.ndarray]:
+    """Places of words of like length, so that little is padding, at most about ``CHARACTERS`` characters at a time; a longer word is alone."""
+    order = np.argsort([len(w) for w in words], kind="stable")
+    i = 0
+    while i < len(order):
+        n = max(1, CHARACTERS // (len(words[order[i]]) + 1))
+        while n > 1 and (len(words[order[min(i + n, len(order)) - 1]]) + 1) * n > 2 * CHARACTERS:
+            n //= 2
+        yield order[i : i + n]
+        i += n
+
+
 def letters_only(text: str) -> str:
     """The text with a space for every character beyond ASCII that is no letter."""
     other = "" if text.isascii() else [c for c in set(text) if c > "\x7f" and not c.isalpha()]
     return text.translate({ord(c): " " for c in other}) if other else text
 
 
-def cut(word: str) -> list[str]:
-    return [word[i : i + MAX_LEN] for i in range(0, len(word), MAX_LEN)]
-
-
 @dataclass(frozen=True)
 class LanguageModel:
     languages: list[str]
@@ -156,26 +202,17 @@ class LanguageModel:
 
 class Scorer:
     def __init__(self, model: LanguageModel):
-        self.model, self.lattice = model, Lattice(model.pieces)
+        self.model, self.lattice = model, lattice_of(tuple(model.pieces))
         self.known: dict[bytes, int] = {}
-        self.rows = np.zeros((CACHE_WORDS * 2, len(model.languages)), np.float32)
+        self.rows = np.zeros((CACHE_WORDS * 2, len(model.languages)))
 
     def learn(self, new: list[bytes]) -> None:
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            chunks, owner = [], []
-            for k, w in enumerate(part):
-                for c in cut(w.decode()):
-                    chunks.append(c)
-                    owner.append(k)
-            order = np.argsort([len(c) for c in chunks], kind="stable")
-            like = np.zeros((len(part), self.rows.shape[1]))
-            for j in range(0, len(order), 1024):  # of like lengths, so that little is padding
-                at = order[j : j + 1024]
-                np.add.at(like, np.array(owner)[at], np.log(np.maximum(self.lattice.forward([chunks[x] for x in at], self.model.prob), 1e-300)))
-            base = len(self.known)
-            self.rows[base : base + len(part)] = like
-            self.known.update(zip(part, range(base, base + len(part)), strict=True))
+        words, base = [w.decode() for w in new], len(self.known)
+        if not self.model.languages:
+            return
+        for at in like_lengths(words):
+            self.rows[base + at] = self.lattice.forward([words[k] for k in at], self.model.prob)
+        self.known.update(zip(new, range(base, base + len(new)), strict=True))
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = [], []
@@ -187,7 +224,7 @@ class Scorer:
                 self.known.clear()
                 new = list(set().union(*part))
                 if len(new) > len(self.rows):
-                    self.rows = np.zeros((len(new), self.rows.shape[1]), np.float32)
+                    self.rows = np.zeros((len(new), self.rows.shape[1]))
             self.learn(new)
             for ws in part:
                 if not ws or not self.model.languages:
@@ -252,15 +289,15 @@ def _round(counts: DataFrame, pieces: list[str], languages: list[str], prob: np.
 
     def expect(batches):
         pieces, languages, prob = shared.value
-        lattice = Lattice(pieces)
+        lattice = lattice_of(tuple(pieces))
         sums = np.zeros((len(pieces), len(languages)))
         for b in batches:
-            rows = sorted(((languages.index(a), c, n) for a, w, n in zip(*(x.to_pylist() for x in b.columns), strict=True) for c in cut(w)), key=lambda r: (r[0], len(r[1])))
-            for k in range(len(languages)):
-                own = [r for r in rows if r[0] == k]
-                for i in range(0, len(own), 1024):
-                    part = own[i : i + 1024]
-                    sums[:, k] += lattice.forward([r[1] for r in part], prob, np.array([r[2] for r in part], float), k)[:-1]
+            lang, word, n = b.column("lang").to_pylist(), b.column("word").to_pylist(), b.column("count").to_numpy().astype(float)
+            for k, name in enumerate(languages):
+                own = [i for i, x in enumerate(lang) if x == name]
+                for at in like_lengths([word[i] for i in own]):
+                    part = [own[i] for i in at]
+                    sums[:, k] += lattice.expected([word[i] for i in part], prob[:, k], n[part])[:-1]
         at, lang = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(at, pa.int32()), pa.array(sums[at, lang])], ["lang", "piece", "n"])
 

@@ -79,24 +79,42 @@ def lang_model(spark):
 
 
 def test_forward_sums_all_segmentations():
-    pieces = ["▁", "▁a", "▁ab", "a", "b", "ab", "c", "bc"]
+    from decimal import Decimal
+
+    pieces = ["▁", "▁a", "▁ab", "a", "b", "ab", "c", "bc", "abcabcabcabc", "▁cabcabcabcabca", "é", "𠁡", "𠁡a"]
     lattice = language_id.Lattice(pieces)
     rnd = np.random.default_rng(1)
     prob = np.zeros((len(pieces) + 1, 2))
-    prob[:-1] = rnd.random((len(pieces), 2))
-
-    def brute(rest, k):
-        if not rest:
-            return 1.0
-        total = sum(prob[pieces.index(rest[:n]), k] * brute(rest[n:], k) for n in range(1, len(rest) + 1) if rest[:n] in pieces)
-        return total + (language_id.UNKNOWN * brute(rest[1:], k) if rest[0] not in pieces else 0)
-
-    words = ["abc", "a", "bzc", "ccab"]
+    prob[:-1] = rnd.random((len(pieces), 2)) * 1e-3
+
+    def sums(text, k):
+        """Of all ways to cut each beginning of the text, by the plain recursion in decimals."""
+        out = [Decimal(1)]
+        for e in range(1, len(text) + 1):
+            total = sum((Decimal(float(prob[pieces.index(text[i:e]), k])) * out[i] for i in range(e) if text[i:e] in pieces), Decimal(0))
+            out.append(total + (Decimal(language_id.UNKNOWN) * out[e - 1] if text[e - 1] not in pieces else 0))
+        return out
+
+    # words over 24 letters, pieces over 10 characters, letters beyond the first plane (one of which ends in the same 16 bits as 'a')
+    words = ["abc", "a", "bzc", "ccab", "abc" * 30, "z" * 400 + "abcabcabcabc", "cabcabcabcabca", "𠁡a", "\U00020061", "é𠁡zé", "b" * 33]
     got = lattice.forward(words, prob)
-    assert np.allclose(got, [[brute("▁" + w, k) for k in range(2)] for w in words])
-    # expected counts: every segmentation of a word uses pieces that spell it
-    counts = lattice.forward(["abc"], prob, np.array([1.0]), 0)
-    assert np.isclose(sum(counts[i] * len(p) for i, p in enumerate(pieces)), 4)
+    assert np.allclose(got, [[float(sums("▁" + w, k)[-1].ln()) for k in range(2)] for w in words], rtol=1e-9)
+    assert {x for at in language_id.like_lengths(words) for x in at} == set(range(len(words)))
+    for k in range(2):
+        want = np.zeros(len(pieces) + 1)
+        for w, n in zip(words, range(1, 20)):
+            text = "▁" + w
+            ahead = sums(text, k)
+            behind = [Decimal(0)] * len(text) + [Decimal(1)]
+            for i in range(len(text) - 1, -1, -1):
+                behind[i] = sum((Decimal(float(prob[pieces.index(text[i:e]), k])) * behind[e] for e in range(i + 1, len(text) + 1) if text[i:e] in pieces), Decimal(0))
+                behind[i] += Decimal(language_id.UNKNOWN) * behind[i + 1] if text[i] not in pieces else 0
+            for i in range(len(text)):
+                for e in range(i + 1, len(text) + 1):
+                    if text[i:e] in pieces:
+                        j = pieces.index(text[i:e])
+                        want[j] += float(n * ahead[i] * Decimal(float(prob[j, k])) * behind[e] / ahead[-1])
+        assert np.allclose(lattice.expected(words, prob[:, k], np.arange(1.0, len(words) + 1)), want, rtol=1e-8)
 
 
 def test_lowest_ids_are_those_of_a_plain_rank(spark):
