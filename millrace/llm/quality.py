@@ -7,12 +7,13 @@ frequencies, so that a document's length does not matter.  A truncated SVD of at
 The labelled vectors and the projection are broadcast - their size is fixed by
 ``max_train``, ``dims`` and the hash ranges, whatever the corpus - and every document is
 compared with all labelled vectors in exact blocked products.  Its score is the mean label
-of its ``k`` nearest ones, weighted by cosine similarity.
+of its ``k`` nearest ones, weighted by cosine similarity (0 where it is negative); of equally near ones those with the
+smaller ``doc_id`` come first.
 
 Defined results: null text counts as empty; a text without words scores the labels' mean;
 without any usable label every score is 0.5; with few rows of a label k falls to their number; several labels of one document count as the
 smallest; of rows that repeat a labelled ``doc_id`` one is learned from, the text that hashes
-lowest; a null ``doc_id`` is allowed; other columns are kept, but for one named as the score is.
+lowest; a null ``doc_id`` is allowed; a text of any length is taken whole; an empty table gives no rows; other columns are kept, but for one named as the score is.
 """
 
 from __future__ import annotations
@@ -95,12 +96,13 @@ class QualityModel:
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(offsets) - 1, 0.5)
-        v = self.embed(data, offsets)
+        v, order = self.embed(data, offsets), np.arange(len(self.labels)) * (4e-7 / len(self.labels))
         out, k = np.empty(len(v)), min(self.k, len(self.labels))
         for i in range(0, len(v), 256):
-            cos = v[i : i + 256] @ self.vectors.T
-            near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-            w = np.maximum(np.take_along_axis(cos, near, 1), 0) ** 4
+            # rounded so that equal vectors tie whatever the blocks are; ties go to the smaller labelled id
+            cos = np.round((v[i : i + 256] @ self.vectors.T).astype(np.float64), 6)
+            near = np.argpartition(-cos + order, k - 1, axis=1)[:, :k]
+            w = np.maximum(np.take_along_axis(cos, near, 1), 0)
             total = w.sum(axis=1)
             out[i : i + 256] = np.where(total > 0, (w * self.labels[near]).sum(axis=1) / np.where(total > 0, total, 1), self.prior)
         return np.clip(out, 0, 1)

@@ -9,10 +9,11 @@ from pathlib import Path
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from millrace.llm import importance, oracles, queries, sharding, vector_codes
-from millrace.llm.common import staged
+from millrace.llm import importance, oracles, quality, queries, sharding, vector_codes
+from millrace.llm.common import staged, text_buffer
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -240,3 +241,27 @@ def test_codes_of_few_repeated_huge_and_no_vectors(spark):
     assert books.entries.shape == (2, 3, 1)
     got = vector_codes.encode(df, books).collect()
     assert len(got) == 3 and all(r["vector_error"] == 0 for r in got) and {bytes(r["vector_code"]) for r in got} == {bytes([0, 0]), bytes([2, 2])}
+
+
+# ---------------------------------------------------------------- votes of the quality classifier
+
+
+def test_votes_are_weighted_by_similarity_and_ties_go_to_the_smaller_id():
+    rnd = np.random.default_rng(3)
+    texts = ["alpha beta gamma", "alpha beta", "delta epsilon zeta eta", "Alpha BETA", "", None, "gamma gamma 12", "x" * 300 + " beta"]
+    data, offsets = text_buffer(pa.array(texts))
+    dims = 6
+    model = quality.QualityModel(rnd.standard_normal((quality.FEATURES, dims)).astype(np.float32), np.zeros((1, dims), np.float32), np.zeros(1), 1)
+    v = model.embed(data, offsets)
+    near = rnd.standard_normal((40, dims))
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    near[5:15] = near[5]  # ten equal neighbours with mixed labels
+    near[20:23] = v[0]
+    y = rnd.integers(0, 2, 40).astype(float)
+    for k in (1, 3, 7, 40):
+        got = quality.QualityModel(model.projection, near.astype(np.float32), y, k).score(data, offsets)
+        for row, score in zip(v, got):
+            cos = np.round((near.astype(np.float32) @ row).astype(float), 6)
+            first = sorted(range(40), key=lambda i: (-cos[i], i))[:k]
+            w = np.maximum(cos[first], 0)
+            assert score == pytest.approx((w * y[first]).sum() / w.sum() if w.sum() else y.mean(), abs=1e-4)
