@@ -263,5 +263,5 @@ def test_votes_are_weighted_by_similarity_and_ties_go_to_the_smaller_id():
         for row, score in zip(v, got):
             cos = np.round((near.astype(np.float32) @ row).astype(float), 6)
             first = sorted(range(40), key=lambda i: (-cos[i], i))[:k]
-            w = np.maximum(cos[first], 0)
+            w = np.maximum(cos[first], 0) ** quality.POWER
             assert score == pytest.approx((w * y[first]).sum() / w.sum() if w.sum() else y.mean(), abs=1e-4)
