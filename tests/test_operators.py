@@ -76,6 +76,29 @@ def test_hmac(spark):
     assert all(r["h"] == hmac.new(b"salt", r["v"].encode(), hashlib.sha256).hexdigest() for r in got)
 
 
+def test_search_and_ranks_over_many_blocks(spark, monkeypatch):
+    from millrace.operators import similarity
+
+    monkeypatch.setattr(similarity, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(similarity, "GALLERY_BLOCK", 7)
+    monkeypatch.setattr(similarity, "STEP", 2)
+    rnd = np.random.default_rng(4)
+    v = np.round(rnd.standard_normal((40, 3)), 1)
+    v[30:34] = v[0]  # ties
+    label = [i % 4 if i != 5 else 9 for i in range(40)]
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]], label[i]) for i in range(40)], "item long, vec array<double>, label int")
+    asked, sim = df.where("item < 8"), np.round(v @ v.T, 9)
+    order = {q: sorted((i for i in range(40) if i != q), key=lambda i: (-sim[q, i], i)) for q in range(8)}
+    got = sorted((r["query"], r["rank"], r["item"], r["sim"]) for r in similarity.search(asked, df, 5).collect())
+    assert got == [(q, k + 1, order[q][k], sim[q, order[q][k]]) for q in range(8) for k in range(5)]
+    every = sorted((r["query"], r["item"]) for r in similarity.search(asked, df, None, least=0.5, below=2.0, differ=("label",)).collect())
+    assert every == [(q, i) for q in range(8) for i in range(40) if i != q and 0.5 <= sim[q, i] < 2.0 and label[q] != label[i]]
+    ranks = {r["query"]: r["rank"] for r in similarity.first_ranks(asked, df, "label").collect()}
+    best = {q: max((sim[q, i] for i in range(40) if i != q and label[i] == label[q]), default=None) for q in range(8)}
+    assert ranks == {q: 1 + sum(sim[q, i] > b for i in range(40) if i != q) for q, b in best.items() if b is not None} and 5 not in ranks
+    assert similarity.search(asked.limit(0), df, 5).count() == 0 and similarity.search(asked, df.limit(0), 5).count() == 0
+
+
 def test_search(spark):
     rnd = random.Random(2)
     rows = [(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(50)]
@@ -110,7 +133,7 @@ def test_buckets(spark):
 
 
 def test_anchor_rules(spark):
-    rows = [("5/15/30", 3, [5, 15, 30]), ("5/15", 3, []), ("05/2019/1", 3, []), ("left 9, right is 12", 2, [9, 12]), ("in 7 and in 30", 2, [7, 30]), ("at 12 years and 30 years", 2, [12, 30]), ("10 years ago", 1, []), (None, 1, [])]
+    rows = [("5/15/30", 3, [5, 15, 30]), ("5/15", 3, []), ("05/2019/1", 3, []), ("left 9, right is 12", 2, [9, 12]), ("in 7 and in 30", 2, [7, 30]), ("at 12 years and 30 years", 2, []), ("10 years ago", 1, []), (None, 1, [])]
     df = spark.createDataFrame([(c, n) for c, n, _ in rows], "c string, n int")
     got = df.select(text.age_anchors(F.col("c"), F.col("n")).alias("a")).collect()
     assert [r["a"] or [] for r in got] == [w for *_, w in rows]
