@@ -23,6 +23,29 @@ def auc(df: DataFrame, score: str, label: str, by: list[str] | None = None, weig
     return b.groupBy(*(by or [])).agg(area.alias(name))
 
 
+def leave_one_out_auc(df: DataFrame, score: str, label: str, subjects: list[str], everyone: DataFrame, name: str = "auc") -> DataFrame:
+    """subject and ``name``, the area over the rows that name it in none of the columns ``subjects``, for each subject of ``everyone``.
+
+    No row is copied for the subjects that it does not name: from the area of all rows goes what a subject's
+    rows win or lose against all rows of the other class, less the pairs within the subject, which that counts twice.
+    Doubled areas are whole numbers and are summed as such.  Null scores are left out; null where a class is missing.
+    """
+    df = df.where(F.col(score).isNotNull())
+    whole = lambda c: c.cast("decimal(19,0)")
+    won = lambda p, n, below: whole(p) * whole(2 * below + n)
+    all_ = blocks(df, score, label).select(F.col(score).alias("_s"), *[F.col(c).alias(f"all_{c}") for c in ("p", "n", "below_p", "below_n")])
+    total = all_.agg(F.coalesce(F.sum("all_p"), F.lit(0)).alias("total_p"), F.coalesce(F.sum("all_n"), F.lit(0)).alias("total_n"), F.sum(won(F.col("all_p"), F.col("all_n"), F.col("all_below_n"))).alias("total_u"))
+    named = df.select(score, label, F.explode(F.array_distinct(F.array(*subjects))).alias("subject")).where("subject is not null")
+    own = blocks(named, score, label, ["subject"]).join(all_, F.col(score) == F.col("_s")).crossJoin(F.broadcast(total))  # one row
+    above_p = F.col("total_p") - F.col("all_below_p") - F.col("all_p")
+    touched = won(F.col("p"), F.col("all_n"), F.col("all_below_n")) + won(F.col("n"), F.col("all_p"), above_p) - won(F.col("p"), F.col("n"), F.col("below_n"))
+    per = own.groupBy("subject").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum(touched).alias("u"))
+    left = everyone.select("subject").join(per, "subject", "left").crossJoin(F.broadcast(total)).na.fill(0, ["p", "n"])  # one row
+    area = (F.col("total_u") - F.coalesce("u", F.lit(0))).cast("double") / 2
+    pairs = (F.col("total_p") - F.col("p")).cast("double") * (F.col("total_n") - F.col("n"))
+    return left.select("subject", (area / F.nullif(pairs, F.lit(0.0))).alias(name))
+
+
 def rates(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """far and tar of each threshold 'score at least', one row for each score."""
     by = by or []

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import buckets
 from millrace.functions.vectors import centroid
+from millrace.operators.quantiles import quantiles
 from millrace.operators.running import running_sums, score_bucket
 from millrace.operators.sampling import group_folds, hash_priority, hash_sample
 from millrace.operators.verification import ks_distance, midranks, top_k
@@ -72,13 +73,15 @@ FIVE = [0.05, 0.25, 0.5, 0.75, 0.95]
 
 @query("g08_percentiles", "SELECT split_a AS split, [round(x, 6) FOR x IN quantile_cont(abs(score), [0.05, 0.25, 0.5, 0.75, 0.95])] AS q FROM pairs GROUP BY 1")
 def g08(spark, d):
-    q = F.percentile(F.abs("score"), F.array(*map(F.lit, FIVE)))
-    return pairs(spark, d).groupBy(F.col("split_a").alias("split")).agg(F.transform(q, lambda x: rnd(x)).alias("q"))
+    p = pairs(spark, d).select(F.col("split_a").alias("split"), F.abs("score").alias("s"))
+    return quantiles(p, "s", FIVE, ["split"]).select("split", F.transform("q", lambda x: rnd(x)).alias("q"))
 
 
 @query("g09_distribution", "SELECT count(*) AS n_total, count(age) AS observed, count(*) - count(age) AS missing, min(age) AS lo, max(age) AS hi, round(avg(age), 6) AS mean, round(stddev_pop(age), 6) AS sd, round(quantile_cont(age, 0.5), 6) AS med FROM items")
 def g09(spark, d):
-    return items(spark, d).agg(count("n_total"), F.count("age").alias("observed"), (F.count(F.lit(1)) - F.count("age")).alias("missing"), F.min("age").alias("lo"), F.max("age").alias("hi"), rnd(F.avg("age")).alias("mean"), rnd(F.stddev_pop("age")).alias("sd"), rnd(F.percentile("age", 0.5)).alias("med"))
+    t = items(spark, d)
+    med = quantiles(t, "age", [0.5], width=1.0).select(rnd(F.col("q")[0]).alias("med"))
+    return t.agg(count("n_total"), F.count("age").alias("observed"), (F.count(F.lit(1)) - F.count("age")).alias("missing"), F.min("age").alias("lo"), F.max("age").alias("hi"), rnd(F.avg("age")).alias("mean"), rnd(F.stddev_pop("age")).alias("sd")).crossJoin(F.broadcast(med))  # one row each
 
 
 @query("g10_gap_counts", f"SELECT y, {GAP_SQL} AS bucket, count(*) AS n FROM pairs GROUP BY 1, 2")
@@ -216,11 +219,9 @@ def g29(spark, d):
 @query("g30_bucket_percentile_rank", """
 SELECT user_id, day, round((rank() OVER w + (count(*) OVER (PARTITION BY day, views + likes) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY day), 6) AS pct FROM daily WINDOW w AS (PARTITION BY day ORDER BY views + likes)""")
 def g30(spark, d):
-    """Average-tie percentile ranks within a day."""
-    v = F.col("views") + F.col("likes")
-    w, tie, all_ = Window.partitionBy("day").orderBy(v), Window.partitionBy("day", v), Window.partitionBy("day")
-    one = F.count(F.lit(1))
-    return daily(spark, d).select("user_id", "day", rnd((F.rank().over(w) + (one.over(tie) - 1) / 2) / one.over(all_)).alias("pct"))
+    """Average-tie percentile ranks within a day, from counts of equal values: a day's rows are never in one task."""
+    t = daily(spark, d).select("user_id", "day", (F.col("views") + F.col("likes")).alias("v"))
+    return midranks(t, "v", ["day"], width=64.0).join(t.groupBy("day").agg(count("N")), "day").select("user_id", "day", rnd(F.col("rank") / F.col("N")).alias("pct"))
 
 
 @query("g31_decile_means", """

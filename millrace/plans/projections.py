@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace.functions import buckets
 from millrace.functions.dates import epoch_us, iso_day
 from millrace.functions.vectors import norm, normalise
+from millrace.operators.quantiles import quantiles
 from millrace.plans.registry import query
 from millrace.plans.tables import daily, items, pairs, read
 
@@ -181,7 +182,7 @@ SELECT item, (quality >= c[1])::INTEGER + (quality >= c[2])::INTEGER + (quality
 def m07(spark, d):
     """Cut points from the development split only."""
     t = items(spark, d)
-    q = t.where("split = 'val'").agg(F.percentile("quality", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("c"))
+    q = quantiles(t.where("split = 'val'"), "quality", [0.25, 0.5, 0.75], name="c")
     b = sum(((F.col("quality") >= F.col("c")[i]).cast("int") for i in range(1, 3)), (F.col("quality") >= F.col("c")[0]).cast("int"))
     return t.crossJoin(F.broadcast(q)).select("item", b.alias("bin"))  # one row
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -16,6 +18,16 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def or_missing(read: Callable, default):
+    """What ``read`` gives, or ``default`` if the path that it reads is not there."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return default
+
+
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> int:
     """Writes JSON lines and returns how many rows went out, counted by the pass that writes them."""
     seen = Observation("written")
@@ -25,10 +37,7 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> int:
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Rows of JSON lines under an explicit schema: unknown keys are ignored, absent ones are null; a missing path is an empty table."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).json(path)
+    return or_missing(lambda: spark.read.schema(schema).json(path), spark.createDataFrame([], schema))
 
 
 def digests(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -64,10 +73,8 @@ def guarded_append(spark: SparkSession, df: DataFrame, column: str, path: str |
     new = [r[0] for r in df.select(column).distinct().limit(2).collect()]
     if len(new) > 1:
         raise ValueError(f"rows of more than one {column}")
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        first = spark.read.parquet(path).select(column).first()
-        if first and new and first[0] != new[0]:
-            raise ValueError(f"the store holds {column} {first[0]}, not {new[0]}")
+    first = or_missing(lambda: spark.read.schema(df.schema).parquet(path).select(column).first(), None)
+    if first and new and first[0] != new[0]:
+        raise ValueError(f"the store holds {column} {first[0]}, not {new[0]}")
     df.write.mode("append").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

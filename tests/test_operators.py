@@ -14,8 +14,9 @@ from millrace.functions.vectors import cosine, normalise
 from millrace.operators import crossfit, models, probes, replicates
 from millrace.operators import verification as v
 from millrace.operators.governance import hmac_sha256
-from millrace.operators.graph import component_labels
+from millrace.operators.graph import component_labels, contract
 from millrace.operators.matching import greedy_matching
+from millrace.operators.quantiles import positions, quantiles
 from millrace.operators.running import running_sums, score_bucket
 from millrace.operators.sampling import group_folds, hash_priority, hash_sample
 from millrace.operators.similarity import band_join, search
@@ -319,3 +320,62 @@ def test_kmeans_profile_finds_the_number_of_clusters(spark):
     assert all(abs(r["lo"] - r["q"]) < 1e-6 and abs(r["hi"] - r["q"]) < 1e-6 and r["silhouette"] > 0.9 for r in got)
     one = models.kmeans_profile(df.limit(2), "id", "v", "q", ["g"]).collect()
     assert [(r["cluster"], r["n"]) for r in one] == [(0, 2)]
+
+
+@pytest.mark.parametrize("by", [[], ["k"]])
+def test_quantiles(spark, by):
+    rnd = random.Random(9)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([None, round(rnd.gauss(0, 3), 2), 1.0])) for _ in range(300)] + [("only nulls", None), ("one", 5.0)]
+    points = [0.0, 0.05, 0.25, 0.5, 0.95, 1.0]
+    got = quantiles(spark.createDataFrame(rows, "k string, x double"), "x", points, by).collect()
+    groups = {k: [x for g, x in rows if x is not None and (g == k or not by)] for k in ({g for g, _ in rows} if by else {None})}
+    assert len(got) == sum(bool(x) for x in groups.values())
+    for r in got:
+        assert np.allclose(r["q"], np.quantile(groups[r["k"] if by else None], points), atol=1e-12)
+
+
+def test_quantiles_of_nothing(spark):
+    none = spark.createDataFrame([], "k string, x int")
+    assert quantiles(none, "x", [0.5], ["k"]).count() == 0 and quantiles(none, "x", [0.5]).first()["q"] == [None]
+
+
+def test_positions(spark):
+    rnd = random.Random(4)
+    rows = [(k, i, rnd.randint(0, 999)) for k in ("a", None) for i in range(50)]
+    got = positions(spark.createDataFrame(rows, "k string, i int, x int"), ["k"], [F.col("x"), F.col("i")], F.floor(F.col("x") / 100))
+    assert {(r["k"], r["i"]): r["position"] for r in got.collect()} == {(k, i): sum((y, j) < (x, i) for g, j, y in rows if g == k) for k, i, x in rows}
+
+
+def test_leave_one_out_auc(spark):
+    rnd = random.Random(6)
+    rows = [(rnd.randint(0, 9) / 10, rnd.randint(0, 1), rnd.choice("abcd"), rnd.choice(["a", "b", "e", None])) for _ in range(80)] + [(None, 1, "a", "b")]
+    everyone = spark.createDataFrame([(x,) for x in "abcdez"], "subject string")
+    got = v.leave_one_out_auc(spark.createDataFrame(rows, "s double, y int, i string, j string"), "s", "y", ["i", "j"], everyone)
+    for r in got.collect():
+        assert abs(r["auc"] - brute_auc([(s, y) for s, y, i, j in rows if s is not None and r["subject"] not in (i, j)])) < 1e-12
+    one_class = spark.createDataFrame([(0.1, 1, "a", "a"), (0.2, 0, "b", "b")], "s double, y int, i string, j string")
+    assert v.leave_one_out_auc(one_class, "s", "y", ["i", "j"], everyone.where("subject = 'a'")).first()["auc"] is None
+    assert {r["auc"] for r in v.leave_one_out_auc(one_class.limit(0), "s", "y", ["i", "j"], everyone).collect()} == {None}
+
+
+@pytest.mark.parametrize("name", [int, str])
+def test_components_are_contracted_in_tasks(spark, name):
+    """A path dealt to three tasks; each holds few nodes at a time, and equal names, nulls and loops change nothing."""
+    edges = [(name(i), name(i + 1)) for i in range(100)] + [(name(500), name(500)), (None, name(3)), (name(7), name(8)), (name(300), name(200))]
+    links = spark.createDataFrame(edges, f"a {'long' if name is int else 'string'}, b {'long' if name is int else 'string'}").repartition(3)
+    short = contract(links.where("a <> b").toDF("u", "v"), held=10)
+    assert short.where("v >= u").count() == 0
+    got = {r["node"]: r["root"] for r in component_labels(links, "a", "b").collect()}
+    assert got == {name(i): min(map(name, range(101))) for i in range(101)} | {x: min(name(200), name(300)) for x in (name(200), name(300))}
+
+
+def test_missing_path_is_an_empty_table_other_errors_stay(spark, tmp_path):
+    schema = spark.createDataFrame([(1,)], "x long").schema
+    assert files.read_jsonl(spark, str(tmp_path / "none"), schema).collect() == []
+    with pytest.raises(Exception, match="no_such_column"):
+        files.or_missing(lambda: spark.range(1).select("no_such_column"), None)
+    df = spark.createDataFrame([("p1", 1)], "protocol string, x long")
+    path = str(tmp_path / "store")
+    assert files.guarded_append(spark, df, "protocol", path).count() == 1 and files.guarded_append(spark, df, "protocol", path).count() == 2
+    with pytest.raises(ValueError, match="the store holds"):
+        files.guarded_append(spark, df.withColumn("protocol", F.lit("p2")), "protocol", path)
