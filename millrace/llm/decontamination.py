@@ -20,7 +20,8 @@ runs are seeds of the documents only if the benchmark has items of that length.
 
 Defined results: null or empty texts and items have no seeds; items with equal words are one
 class under their smallest item_id, with ``n_items`` their number; rows that repeat a
-``doc_id`` count as one document; rows with a null ``doc_id`` are documents by their text; other columns are ignored.
+``doc_id`` count as one document; rows with a null ``doc_id`` are documents by their text; a text of
+any length is taken whole; an empty table gives no rows, an empty benchmark no hits; other columns are ignored.
 """
 
 from __future__ import annotations

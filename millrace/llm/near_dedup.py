@@ -22,7 +22,10 @@ rows has only its neighbour pair, which the tails pre-check).  Components come f
 
 Defined results: null or empty text has an empty set and is linked with nothing; rows that
 repeat a ``doc_id`` count as one document that has all their sets; a null ``doc_id`` is
-linked with nothing and kept; other columns are ignored.
+linked with nothing and kept; a text of any length is taken whole; an empty table gives no rows; other columns are ignored.
+
+What grows: a region of m rows that stay unlinked is compared in about (m / ``BLOCK_ROWS``)**2 / 2 pairs of blocks, spread
+over tasks: exact, but quadratic in such a region.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ Spans of the field are added where they touch no pattern span of any kind and ho
 their kind needs, between characters that are neither letters nor digits: an ``@`` or a spelt-out one with a dot for an e-mail address, four numbers up to 255 for an
 IP address, 13 to 19 digits that pass the Luhn check for a card, 7 to 15 digits for a phone number.
 
-Defined results: null text counts as empty and has no spans; rows may repeat; other columns are ignored.
+Defined results: null text counts as empty and has no spans; a text of any length is taken whole; an empty table gives
+no rows; rows may repeat; other columns are ignored.
 """
 
 from __future__ import annotations

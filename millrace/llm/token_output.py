@@ -9,7 +9,7 @@ commits it, a lost executor's task is simply run again, and any store Spark can
 will do.
 
 Files are in ascending ``doc_id`` order: shard by shard (ranges of ``doc_id``), block by
-block, with the shard totals in a table of their own.
+block, with the shard totals in a table of their own: as many rows as files.
 
 Defined results: null text counts as empty (one end id); a null ``doc_id`` sorts first;
 rows that repeat a ``doc_id`` are all kept, ordered by the checksums of their texts; an
@@ -32,10 +32,11 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import U64, mix, shared_dir, small_batches, words
+from millrace.operators.running import running_sums
 
 #: Byte-level BPE writes each byte as one printable character: the printable Latin-1 ones stand for themselves, the others follow from code point 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -50,6 +51,8 @@ _MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], U64)
 #: Words kept by a Python worker, under 100 MB; the table starts anew when it is full.
 TABLE_WORDS = 2_000_000
 _SLOT_BITS, _ROUNDS = 22, 8
+#: Shards (16 bytes each) up to this number are broadcast to the reader's blocks; beyond it the join is shuffled.
+BROADCAST_SHARDS = 1_000_000
 #: Text encoded at once; a longer document is a block of its own.
 ENCODE_BYTES = 2_000_000
 
@@ -380,9 +383,8 @@ def write_tokens(
     dealt = docs.withColumn("place", F.spark_partition_id()).repartitionByRange(max(1, -(-total // shard_bytes)), *order, "place").sortWithinPartitions(*order, "text")
     dealt.select("doc_id", "text").mapInArrow(pack, BLOCK_SCHEMA).write.option("compression", "none").parquet(files.blocks)
     totals = spark.read.schema(BLOCK_SCHEMA).parquet(files.blocks).select("shard", F.size("doc_ids").alias("n"), F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("tokens")).groupBy("shard").agg(F.sum("n").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
-    # one row for each shard
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    totals.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).coalesce(1).write.parquet(files.shards)
+    # one row for each shard, summed in two levels: runs of 4,096 shards, and the runs
+    running_sums(totals, [], "shard", ["n_tokens"], F.expr("shard div 4096")).withColumnRenamed("below_n_tokens", "start").write.parquet(files.shards)
     return files
 
 
@@ -420,8 +422,9 @@ def read_tokens(spark: SparkSession, files: TokenFiles, with_ids: bool = True, d
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [c.split()[0] for c in schema.split(", ")])
 
-    # one row for each shard, so as small as the number of files
-    shards = F.broadcast(spark.read.parquet(files.shards).select(F.col("shard").alias("of"), F.col("start").alias("base")))
+    shards = spark.read.parquet(files.shards).select(F.col("shard").alias("of"), F.col("start").alias("base"))
+    if shards.count() <= BROADCAST_SHARDS:
+        shards = F.broadcast(shards)
     out = blocks.mapInArrow(decode, schema)
     cols = ["doc_id", (F.col("at") + F.col("base")).alias("start"), "n_tokens", "ids_crc32"] + ["ids"] * with_ids
     return out.join(shards, out.shard == shards.of).select(*cols)

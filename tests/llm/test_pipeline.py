@@ -42,13 +42,40 @@ def test_stages_one_by_one(spark, tmp_path):
         elif name == "mixing":
             size = {r["doc_id"]: len(WORD.findall(r["text"])) for r in before}
             assert max(ids.values()) <= 3 and set(ids) <= set(size)
-            assert abs(sum(size[d] * n for d, n in ids.items()) - sum(size.values())) <= 20 * max(size.values())
+            source = {r["doc_id"]: r["source"] for r in before}
+            full = Counter()
+            for doc, n in size.items():
+                full[source[doc]] += n
+            for s, target in filled(full).items():  # no further off than one document of the source
+                taken = sum(size[doc] * n for doc, n in ids.items() if source[doc] == s)
+                assert abs(taken - target) <= max(n for doc, n in size.items() if source[doc] == s)
         else:
             assert len(after) == len(before) and sum(r["n_tokens"] for r in after) == max(r["start"] + r["n_tokens"] for r in after)
 
 
-def test_run_equals_stages(spark):
-    assert corpus_pipeline.run(spark, SMALL).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+def filled(full):
+    """Targets of the mix by source: shares by weight, what exceeds three times a source goes to the others."""
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(full, key=lambda s: (s is None, s)))}
+    target, open_, left = {}, set(full), sum(full.values())
+    while open_:
+        total = sum(weight[s] for s in open_)
+        over = {s for s in open_ if left * weight[s] / total > 3 * full[s]}
+        for s in over or set(open_):
+            target[s] = 3 * full[s] if over else left * weight[s] / total
+        open_ -= over or set(open_)
+        left -= sum(target[s] for s in over)
+    return target
+
+
+def test_run_equals_stages(spark, tmp_path):
+    """The run's rows are those of the stages one after the other, each over all that the one before has kept."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SMALL).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+    got = corpus_pipeline.run(spark, SMALL)
+    assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.collect()))
 
 
 def test_planted_copies_and_clean_documents(spark):
