@@ -13,9 +13,11 @@ size spreads over tasks; what meets at the borders of tasks is paired afterwards
 
 Links.  Documents with equal sets are one class from the start.  Pivot pairs are confirmed
 on the full sets first, then neighbour pairs whose components still differ.  Regions that
-then still hold several components are finished exactly (``finish``): their rows are dealt
-in blocks, and every pair of rows from different components is compared on the full sets
-by one product of the blocks' shingle matrices, whatever its tails say.  So two documents
+then still hold several components are finished exactly (``finish``).  In a region of one
+block every pair of rows from different components is compared on the full sets by a product
+of the shingle matrix, whatever its tails say.  The rows of larger regions meet by rare
+shingles instead: a link must share one among the first few of both sets in order of rarity,
+so variants of one text that differ too much to be links meet nowhere.  So two documents
 that share a key in any tree and are a link always end in one component (a region of two
 rows has only its neighbour pair, which the tails pre-check).  Components come from joins
 (``components``).
@@ -24,8 +26,8 @@ Defined results: null or empty text has an empty set and is linked with nothing;
 repeat a ``doc_id`` count as one document that has all their sets; a null ``doc_id`` is
 linked with nothing and kept; a text of any length is taken whole; an empty table gives no rows; other columns are ignored.
 
-What grows: a region of m rows that stay unlinked is compared in about (m / ``BLOCK_ROWS``)**2 / 2 pairs of blocks, spread
-over tasks: exact, but quadratic in such a region.
+What grows: m rows that agree in one of their rarest shingles and are no links are compared in about
+(m / ``BLOCK_ROWS``)**2 / 2 pairs of blocks, spread over tasks.
 """
 
 from __future__ import annotations
@@ -47,6 +49,8 @@ BROADCAST_IDS = 500_000
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 500_000
 #: Shingles in one step of a block product.
 STEP = 4096
+#: Hash slots that count shingles, to tell rare from frequent ones: 8 bytes each on the driver and in a task.
+COUNTERS = 1 << 20
 
 
 def set_hashes(data: np.ndarray, offsets: np.ndarray, n_words: int):
@@ -239,13 +243,12 @@ def block_links(rep: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], perce
     col, row = place[col[shared]], row[shared]
     order = np.argsort(col, kind="stable")
     col, row = col[order], row[order]
-    inter = np.zeros((m, m), np.float32)  # whole numbers, exact up to 2**24
+    both = np.zeros((m, m), np.int64)
     for c in range(0, int(col[-1]) + 1 if len(col) else 0, STEP):
         i, j = np.searchsorted(col, [c, c + STEP])
         x = np.zeros((m, int(col[j - 1]) - c + 1), np.float32)
         x[row[i:j], col[i:j] - c] = 1
-        inter += x @ x.T
-    both = inter.astype(np.int64)
+        np.add(both, x @ x.T, out=both, casting="unsafe")  # whole numbers up to STEP, exact in 32 bits
     link = (comp[:, None] != comp[None, :]) & (both > 0) & (100 * both >= percent * (n[:, None] + n[None, :] - both))
     low = np.arange(m)
     while True:  # every row takes the first row that it reaches
@@ -287,34 +290,117 @@ def _units(percent: int):
     return run
 
 
-def finish(reps: DataFrame, root: DataFrame, docs: DataFrame, n_words: int, percent: int, trees: int, prefix: int) -> DataFrame:
-    """a, b: the links that regions of several components still hold, so that no pair of a region is left untried."""
-    spark = reps.sparkSession
-    few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_IDS else df
-    known = reps.join(root, F.col("rep") == F.col("node"), "left").select("rep", "n_shingles", "sig", F.coalesce("root", "rep").alias("comp"))
-    rows = region_rows(staged(known, "rooted"), trees, prefix)
-    regions = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("y"))
-    # two rows have been tried as neighbours; regions of the same rows are done once
-    regions = staged(regions.where("rows > 2 and lo < hi").groupBy("rows", "x", "y").agg(F.min("key").alias("key")).select("key"), "regions")
-    rows = staged(rows.join(few(regions), "key"), "open-rows")
-    # the largest component of a region needs no comparison within itself
-    per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("size"))
-    plan = per.groupBy("key").agg(F.max(F.struct("rows", "size", "comp")).alias("top"), F.sum("rows").alias("rows"), F.sum("size").alias("size"))
+def rarity(sets: DataFrame) -> np.ndarray:
+    """How often the shingles of ``COUNTERS`` hash slots occur in ``sets``: one number for each slot, whatever the rows."""
+
+    def run(batches):
+        count = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            count += np.bincount(_slots(b.column("hashes").flatten().to_numpy()), minlength=COUNTERS)
+        at = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], ["slot", "n"])
+
+    found = sets.select("hashes").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def _slots(h: np.ndarray) -> np.ndarray:
+    return (mix(h.view(U64)) % U64(COUNTERS)).astype(np.int64)
+
+
+def prefix_rows(sets: DataFrame, count: np.ndarray, percent: int) -> DataFrame:
+    """key, rep, comp, n, index: a row for each shingle by which a set (rep, comp, hashes) may meet a link.
+
+    Shingles stand in one order for all sets, rarest slot first.  Of two sets that are a link,
+    the larger has a shingle of the other's among the first n - ceil(n p) + 1 of its n, and
+    there it is among the first m - ceil(2 m p / (1 + p)) + 1 of the smaller one's m (``index``).
+    A shingle that is alone in its slot is alone in the table, meets nothing, and gives no row.
+    """
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            flat = b.column("hashes").flatten().to_numpy()
+            n = b.column("hashes").value_lengths().to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            often = count[_slots(flat)]
+            order = np.lexsort((flat, often, row))
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            probe, index = n + (-n * percent) // 100 + 1, n + (-2 * n * percent) // (100 + percent) + 1
+            keep = (place < probe[row]) & (often[order] > 1)
+            at, of = order[keep], row[keep]
+            rep, comp = (b.column(c).to_numpy()[of] for c in ("rep", "comp"))
+            yield pa.RecordBatch.from_arrays([pa.array(flat[at]), pa.array(rep), pa.array(comp), pa.array(n[of]), pa.array((place[keep] < index[of]))], ["key", "rep", "comp", "n", "index"])
+
+    return sets.select("rep", "comp", "hashes").mapInArrow(run, "key long, rep long, comp long, n long, index boolean")
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def open_groups(rows: DataFrame, least: int, label: str) -> DataFrame:
+    """The rows of groups of ``least`` rows or more that hold several components and a row to index; groups of the same rows are kept once."""
+    groups = rows.groupBy("key").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("index").alias("some"),
+        F.bit_xor(F.xxhash64("rep", "index")).alias("x"), F.bit_xor(F.xxhash64("rep", "index", F.lit(7))).alias("y"),
+    )
+    groups = groups.where(f"rows >= {least} and lo < hi and some").groupBy("rows", "x", "y").agg(F.min("key").alias("key"))
+    return staged(rows.join(_few(staged(groups.select("key"), f"{label}-keys")), "key"), label)
+
+
+def block_plan(rows: DataFrame) -> DataFrame:
+    """key, main, others, mains: into how many blocks each group's rows are cut.
+
+    Rows of ``main`` blocks need no comparison among themselves: those of the largest
+    component, or those that are not to be indexed if they are more (``main`` is null then).
+    """
+    per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("size"), F.sum(F.expr("int(not index)")).alias("loose"), F.sum(F.expr("if(index, 0, n)")).alias("loose_size"))
+    per = per.groupBy("key").agg(F.max(F.struct("rows", "size", "comp")).alias("top"), *[F.sum(c).alias(c) for c in ("rows", "size", "loose", "loose_size")])
     blocks_of = lambda r, s: F.ceil(F.greatest(r / BLOCK_ROWS, s / BLOCK_SHINGLES)).cast("int")
-    whole = blocks_of(F.col("rows"), F.col("size")) == 1
-    plan = plan.select("key", F.when(~whole, F.col("top.comp")).alias("main"), F.when(whole, 1).otherwise(blocks_of(F.col("rows") - F.col("top.rows"), F.col("size") - F.col("top.size"))).alias("others"), F.when(whole, 0).otherwise(blocks_of(F.col("top.rows"), F.col("top.size"))).alias("mains"))
-    plan = staged(plan, "blocks")
-    dealt = rows.join(few(plan), "key").withColumn("in_main", F.coalesce(F.col("comp") == F.col("main"), F.lit(False)))
+    whole, by_comp = blocks_of(F.col("rows"), F.col("size")) == 1, F.col("top.rows") >= F.col("loose")
+    r, s = F.when(by_comp, F.col("top.rows")).otherwise(F.col("loose")), F.when(by_comp, F.col("top.size")).otherwise(F.col("loose_size"))
+    return per.select("key", F.when(~whole & by_comp, F.col("top.comp")).alias("main"), F.when(whole, 1).otherwise(blocks_of(F.col("rows") - r, F.col("size") - s)).alias("others"), F.when(whole, 0).otherwise(blocks_of(r, s)).alias("mains"))
+
+
+def compared(rows: DataFrame, plan: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links among the rows of each group, by products of pairs of its blocks."""
+    alone = F.expr("others + mains = 1")
+    dealt = rows.join(_few(plan), "key").withColumn("in_main", F.when(alone, F.lit(False)).when(F.col("main").isNotNull(), F.col("comp") == F.col("main")).otherwise(~F.col("index")))
     number = F.when(F.col("in_main"), F.col("others") + F.expr("pmod(xxhash64(rep), greatest(mains, 1))")).otherwise(F.expr("pmod(xxhash64(rep), others)")).cast("int")
     dealt = dealt.withColumn("block", number)
-    alone = F.col("others") + F.col("mains") == 1
-    partner = F.when(alone, F.array(F.lit(0))).when(F.col("in_main"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.filter(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1), lambda k: k != F.col("block")))
+    # a group of several blocks has main and other ones
+    partner = F.when(alone, F.array(F.lit(0))).when(F.col("in_main"), F.expr("sequence(0, others - 1)")).otherwise(F.filter(F.expr("sequence(0, others + mains - 1)"), lambda k: k != F.col("block")))
     dealt = dealt.select("key", "rep", "comp", "block", F.explode(partner).alias("other")).select("key", "rep", "comp", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"))
-    ids = staged(rows.select(F.col("rep").alias("doc_id")).distinct(), "open-ids")
-    sets = staged(shingle_sets(docs.join(few(ids), "doc_id", "left_semi").distinct(), n_words), "open-sets")
-    full = dealt.join(sets, F.col("rep") == F.col("doc_id")).select("key", "u", "v", "rep", "comp", "hashes")
-    full = full.repartition(partitions(spark), "key", "u", "v").sortWithinPartitions("key", "u", "v")
-    return staged(full.mapInArrow(_units(percent), "a long, b long").distinct(), "finished")
+    full = dealt.join(sets.select(F.col("rep").alias("of"), "hashes"), F.col("rep") == F.col("of")).select("key", "u", "v", "rep", "comp", "hashes")
+    full = full.repartition(partitions(rows.sparkSession), "key", "u", "v").sortWithinPartitions("key", "u", "v")
+    return full.mapInArrow(_units(percent), "a long, b long")
+
+
+def finish(reps: DataFrame, root: DataFrame, docs: DataFrame, n_words: int, percent: int, trees: int, prefix: int) -> DataFrame:
+    """a, b: the links that regions of several components still hold, so that no pair of a region is left untried.
+
+    A region that is one block is compared as it is.  The rows of larger ones are joined by
+    their rare shingles (``prefix_rows``), so only rows that may be links meet.
+    """
+    known = reps.join(root, F.col("rep") == F.col("node"), "left").select("rep", "n_shingles", "sig", F.coalesce("root", "rep").alias("comp"))
+    rows = region_rows(staged(known, "rooted"), trees, prefix).withColumn("index", F.lit(True))
+    # two rows have been tried as neighbours
+    rows = open_groups(rows, 3, "open-rows")
+    plan = staged(block_plan(rows), "blocks")
+    small, large = plan.where("others + mains = 1"), plan.where("others + mains > 1").select("key")
+    members = lambda df, *more: df.select("rep", *more).distinct()
+    ids = staged(members(rows).withColumnRenamed("rep", "doc_id"), "open-ids")
+    sets = staged(shingle_sets(docs.join(_few(ids), "doc_id", "left_semi").distinct(), n_words).withColumnRenamed("doc_id", "rep"), "open-sets")
+    links = compared(rows, small, sets, percent)
+    if large.limit(1).count():
+        wide = staged(sets.join(_few(staged(members(rows.join(_few(large), "key"), "comp"), "large-ids")), "rep"), "large-sets")
+        met = open_groups(prefix_rows(wide, rarity(wide), percent), 2, "prefix-rows")
+        links = links.unionByName(compared(met, staged(block_plan(met), "prefix-blocks"), wide, percent))
+    return staged(links.distinct(), "finished")
 
 
 def key_length(percent: int, trees: int, most: int = 5) -> int:

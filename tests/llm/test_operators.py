@@ -460,6 +460,74 @@ def test_near_duplicates_around_a_hub(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, 3, 85).collect()} == want
 
 
+def variants(m, links, seed):
+    """Texts of 102 words, one in each with edits of its own: likeness 0.69 to 0.83 by shingles of three words, but for planted pairs above 0.85."""
+    rnd = random.Random(seed)
+    base = [f"{w}{k}" for k, w in enumerate(prose(rnd, 102).split(" "))]
+    out = []
+    for k in range(m):
+        w = list(base)
+        for at in rnd.sample(range(1, 101, 4), rnd.choice([4, 5])):
+            w[at] = f"v{k}x{at}"
+        out.append(w)
+    for k in range(links):  # differs from the one before in two words
+        a, b = 2 * k, 2 * k + 1
+        out[b] = list(out[a])
+        out[b][3 + 8 * k], out[b][55 + 8 * (k % 5)] = f"l{k}", f"r{k}"
+    return [" ".join(w) for w in out]
+
+
+def test_near_duplicates_in_a_region_of_unlinked_rows(spark, monkeypatch):
+    """Regions of several blocks: all links are found by rare shingles, and what is compared grows with the rows, not with their square."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 16)
+    sent, real = [], near_dedup.compared
+
+    def counted(rows, plan, sets, percent):
+        sent.append(rows.join(plan, "key").count())
+        return real(rows, plan, sets, percent)
+
+    monkeypatch.setattr(near_dedup, "compared", counted)
+    figures = []
+    for m in (200, 400):
+        texts = variants(m, 5, 7)
+        ids = random.Random(m).sample(range(100_000), m)
+        rows = list(zip(ids, texts, strict=True))
+        want = near_brute(rows, 3, 85)
+        assert len(set(want.values())) == m - 5
+        sent.clear()
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 85).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == want
+        figures.append(sent[-1])
+        assert len(sent) == 2
+    assert figures[1] < 3 * max(figures[0], 20)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 100])
+def test_prefixes_lose_no_link(spark, percent):
+    """Every pair at the threshold shares a key that is indexed in the smaller set, in one order of rarity, whatever the sizes."""
+    rng = np.random.default_rng(percent)
+    sets = []
+    for _ in range(40):
+        base = rng.integers(-(2**62), 2**62, int(rng.integers(1, 40)))
+        for _ in range(3):
+            sets.append(np.unique(np.r_[base[rng.random(len(base)) < 0.93], rng.integers(-(2**62), 2**62, int(rng.integers(0, 4)))]))
+    sets = [x for x in sets if len(x)]
+    sets += sets[::10]  # equal ones as well, links at any threshold
+    df = spark.createDataFrame([(i, i, [int(v) for v in x]) for i, x in enumerate(sets)], "rep long, comp long, hashes array<long>")
+    by = {}
+    for r in near_dedup.prefix_rows(df, near_dedup.rarity(df), percent).collect():
+        by.setdefault(r["key"], []).append((r["rep"], r["index"]))
+    met = {(a, b) for g in by.values() for a, i in g for b, j in g if a < b and (i or j)}
+    n = 0
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                n += 1
+                assert (a, b) in met
+    assert n > 5
+
+
 def test_keep_one(docs, rows, empty):
     left = near_dedup.keep_one(docs)
     want = near_brute(rows, 5, 80)
