@@ -40,12 +40,12 @@ JOIN run ON s.source IS NOT DISTINCT FROM run.source AND s.key = run.key
 ORACLES["op1_url_filters"] = r"""
 WITH cap AS (
   SELECT page_id, DATE '2024-01-01' + (page_id % 366)::INTEGER AS fetched,
-         nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '') AS host
+         nullif(rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#\[\]]+)', 1), '.'), '') AS host
   FROM pages),
 hosts AS (SELECT DISTINCT host FROM cap WHERE host IS NOT NULL),
 pat AS (
   SELECT host AS pattern FROM hosts
-  UNION SELECT regexp_extract(host, '^[^.]+\.(.+\..+)$', 1) FROM hosts WHERE regexp_extract(host, '^[^.]+\.(.+\..+)$', 1) <> ''),
+  UNION SELECT regexp_extract(host, '^[^.\[]+\.(.+\..+)$', 1) FROM hosts WHERE regexp_extract(host, '^[^.\[]+\.(.+\..+)$', 1) <> ''),
 ph AS (SELECT pattern, ('0x' || substr(md5(pattern), 1, 4))::INTEGER AS h FROM pat),
 log AS (
   SELECT pattern, 'add' AS action, DATE '2024-01-01' + (h % 200) AS day FROM ph WHERE h % 3 <> 0

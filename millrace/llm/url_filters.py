@@ -10,7 +10,10 @@ captures is judged once for each day; the verdicts, one row for each host and da
 a join, broadcast if they are small and else split where a host and day are hot (AQE).  The intervals are broadcast while they are few (``BROADCAST_INTERVALS``,
 counted) and joined by a shuffle beyond.
 
-Defined results: a capture without a URL, host or day matches nothing and is not blocked; entries
+A dot at the end of a host or pattern is not part of it (``bad.org.`` is ``bad.org``); an address in
+brackets is a host with its brackets and has no domains above it.
+
+Defined results: an empty table gives no rows, an empty list blocks nothing; a capture without a URL, host or day matches nothing and is not blocked; entries
 without pattern, action or day are ignored; of several actions of one pattern on one day a
 removal wins; repeated rows are judged alike; extra columns of captures are kept, but that host,
 entry, active_from and blocked replace columns of these names.
@@ -25,23 +28,28 @@ from millrace.llm.common import staged
 
 #: Intervals up to this number are broadcast, under 100 bytes each.
 BROADCAST_INTERVALS = 200_000
-HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
+HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#\[\]]+)"
 
 
 def host_of(url: Column) -> Column:
-    host = F.regexp_extract(F.lower(url), HOST, 1)
+    host = undotted(F.regexp_extract(F.lower(url), HOST, 1))
     return F.when(host != "", host)
 
 
+def undotted(host: Column) -> Column:
+    return F.regexp_replace(host, r"\.+$", "")
+
+
 def suffixes(host: Column) -> Column:
     """A host and the domains above it, the longest first."""
     parts = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    return F.when(host.startswith("["), F.array(host)).otherwise(above)
 
 
 def intervals(entries: DataFrame) -> DataFrame:
     """pattern, active_from, active_to (null: still active) of a log of (pattern, action, day)."""
-    log = entries.select(F.lower("pattern").alias("pattern"), "action", "day").where("pattern is not null and day is not null and action in ('add', 'remove')")
+    log = entries.select(undotted(F.lower("pattern")).alias("pattern"), "action", "day").where("pattern <> '' and day is not null and action in ('add', 'remove')")
     log = log.groupBy("pattern", "day").agg(F.max("action").alias("action"))  # 'remove' sorts last
     w = Window.partitionBy("pattern").orderBy("day")
     turns = log.withColumn("before", F.lag("action").over(w)).where("action <> coalesce(before, 'remove')")
@@ -66,7 +74,7 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", day: str =
 def fixture_log(pages: DataFrame) -> DataFrame:
     """A dated list for the test tables, which have none: made from the md5 of their hosts and of the domains above them."""
     hosts = pages.select(host_of(F.col("url")).alias("host")).where("host is not null").distinct()
-    p = hosts.select("host").union(hosts.select(F.regexp_extract("host", r"^[^.]+\.(.+\..+)$", 1))).where("host <> ''").distinct().withColumnRenamed("host", "pattern")
+    p = hosts.select("host").union(hosts.select(F.regexp_extract("host", r"^[^.\[]+\.(.+\..+)$", 1))).where("host <> ''").distinct().withColumnRenamed("host", "pattern")
     h = F.conv(F.substring(F.md5("pattern"), 1, 4), 16, 10).cast("int")
     start = F.to_date(F.lit("2024-01-01"))
     p = p.withColumn("h", h).where("h % 3 <> 0")

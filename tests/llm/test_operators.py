@@ -34,6 +34,13 @@ def test_url_filters(spark):
     got = {r["page_id"]: r["entry"] for r in url_filters.judge(captures, entries).collect()}
     assert got == {1: None, 2: "bad.org", 3: "x.bad.org", 4: None, 5: "bad.org", 6: None, 7: None, 8: None, 9: None, 10: None, 11: "bad.org"}
     assert url_filters.judge(captures, entries.limit(0)).where("blocked").count() == 0
+    # dots at the end, addresses in brackets
+    more = [(1, "http://a.bad.org./x", "bad.org"), (2, "http://bad.org.:80/", "bad.org"), (3, "http://u@[::1]:80/x", "[::1]"), (4, "http://[::ffff:1.2.3.4]/", None), (5, "http://[::2]", None), (6, "http://./x", None), (7, "http://[::1/", None), (8, "http://q.end.net/", "end.net")]
+    entries = spark.createDataFrame([(p, "add", "2024-01-01") for p in ("bad.org", "[::1]", "2.3.4]", "END.net.", "", ".")], "pattern string, action string, day string").withColumn("day", F.to_date("day"))
+    captures = spark.createDataFrame([(i, u, "2024-01-02") for i, u, _ in more], "page_id long, url string, fetched string").withColumn("fetched", F.to_date("fetched"))
+    got = {r["page_id"]: r for r in url_filters.judge(captures, entries).collect()}
+    assert {i: r["entry"] for i, r in got.items()} == {i: e for i, _, e in more}
+    assert [got[i]["host"] for i in (1, 3, 6, 7)] == ["a.bad.org", "[::1]", None, None]
     assert url_filters.judge(captures.limit(0), entries).count() == 0
 
 
