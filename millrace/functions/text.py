@@ -110,7 +110,7 @@ def reply_anchors(reply: Column) -> Column:
 
 def sanitise(text: Column) -> Column:
     """Identifiers, keys and machine paths masked."""
-    for pattern, mark in ((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "<mail>"), (r"(?:/[A-Za-z0-9._-]+){3,}", "<path>"), (r"\b[0-9a-f]{16,}\b", "<key>"), (r"\d{4,}", "<number>")):
+    for pattern, mark in ((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "<mail>"), (r"(?:/[A-Za-z0-9._-]+){3,}", "<path>"), (r"(?<![0-9A-Za-z_])[0-9a-f]{16,}(?![0-9A-Za-z_])", "<key>"), (r"\d{4,}", "<number>")):
         text = F.regexp_replace(text, pattern, mark)
     return text
 

@@ -32,3 +32,25 @@ def test_query_equals_sql(name, spark, duck):
 @pytest.mark.parametrize("name", sorted(registry.QUERIES.keys() - registry.ORACLES.keys()))
 def test_query_runs(name, spark):
     assert registry.QUERIES[name](spark, SMALL).count() >= 0
+
+
+def _odd_equals_sql(name, table, rows, schema, spark, tmp_path):
+    import duckdb
+
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{table}.parquet"))
+    got = sorted(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).collect()), key=str)
+    con = duckdb.connect()
+    for other in ("embeddings", "events"):
+        con.sql(f"CREATE VIEW {other} AS SELECT * FROM '{SMALL}/{other}.parquet'")
+    con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    assert got == sorted(con.sql(registry.ORACLES[name]).fetchall(), key=str)
+
+
+def test_p08_words_end_at_letters_outside_ascii(spark, tmp_path):
+    texts = ["é et", "été", "yé", "éand", "ä and ö", "undé", "_und", "und_", "e\u0301y", "y\u0301", "AND", "band", "", None, "et\n", "кот y дом", "коту", "y٣"]
+    _odd_equals_sql("p08_multi_person_caption", "conversations", [(i, t, x) for i, x in enumerate(texts) for t in (1, 2)], "conv_id long, turn long, text string", spark, tmp_path)
+
+
+def test_s23_keys_end_at_letters_outside_ascii(spark, tmp_path):
+    texts = ["é0123456789abcdef 1", "0123456789abcdefé", "x0123456789abcdef", "0123456789abcdef0_", "(0123456789abcdef0)"]
+    _odd_equals_sql("s23_sanitise", "documents", list(enumerate(texts)), "doc_id long, text string", spark, tmp_path)
