@@ -95,8 +95,8 @@ SELECT {SUMMARY} FROM (SELECT rep, sum(w * (rank <= 5)::INTEGER)::DOUBLE / sum(w
 def b09(spark, d):
     """Recall among the first five over drawn query subjects; the gallery is fixed."""
     q = _first_ranks(spark, d).withColumn("entity", F.expr("query div 6"))
-    r = replicate(q, REPS, multiplicity(F.col("entity"), 9))
-    return interval(r.groupBy("rep").agg((F.sum(F.col("w") * (F.col("rank") <= 5).cast("int")) / F.sum("w")).alias("v")))
+    r = sums_by_replicate(q, [(F.col("rank") <= 5).cast("int"), F.lit(1)], REPS, [named(F.col("entity"), 9)])
+    return interval(r.select((F.col("s0") / F.nullif("s1", F.lit(0.0))).alias("v")))
 
 
 @query("b10_error_rate_bootstrap", f"""
@@ -114,8 +114,8 @@ def b10(spark, d):
 def b11(spark, d):
     """Mean of a column with whole clusters drawn."""
     units = items(spark, d).groupBy("entity").agg(F.sum("quality").alias("q"), F.count(F.lit(1)).alias("rows"))
-    r = replicate(units, REPS, multiplicity(F.col("entity"), 11))
-    return interval(r.groupBy("rep").agg((F.sum(F.col("w") * F.col("q")) / F.sum(F.col("w") * F.col("rows"))).alias("v")))
+    r = sums_by_replicate(units, [F.col("q"), F.col("rows")], REPS, [named(F.col("entity"), 11)])
+    return interval(r.select((F.col("s0") / F.nullif("s1", F.lit(0.0))).alias("v")))
 
 
 @query("b12_equal_person_error", f"""
@@ -124,9 +124,10 @@ SELECT {SUMMARY} FROM (SELECT rep, sum(w * e) / sum(w) AS v FROM {drawn_sql(m_sq
 def b12(spark, d):
     """Difference of two predictors' errors; every person counts alike."""
     e = F.abs(F.col("age") - (F.col("item") % 80 + 1)) - F.abs(F.col("age") - 40)
-    p = items(spark, d).where("age is not null").groupBy("entity").agg(F.avg(e).alias("e"))
-    r = replicate(p, REPS, multiplicity(F.col("entity"), 12))
-    return interval(r.groupBy("rep").agg((F.sum(F.col("w") * F.col("e")) / F.sum("w")).alias("v")))
+    # sixtieths: the means of up to six whole numbers are whole, so their sums have no rounding
+    p = items(spark, d).where("age is not null").groupBy("entity").agg((F.sum(e) * 60 / F.count(F.lit(1))).alias("e"))
+    r = sums_by_replicate(p, [F.col("e"), F.lit(1)], REPS, [named(F.col("entity"), 12)])
+    return interval(r.select((F.col("s0") / F.nullif(F.col("s1") * 60, F.lit(0.0))).alias("v")))
 
 
 @query("b14_anchor_entity_bootstrap", f"SELECT {SUMMARY} FROM (SELECT auc AS v FROM {auc_sql('score', by='rep', weight='w', source=drawn_sql(m_sql('entity_a', chr(39) + '14' + chr(39))))})")

@@ -3,6 +3,7 @@
 import hashlib
 import hmac
 import itertools
+import math
 import random
 
 import numpy as np
@@ -234,6 +235,45 @@ def test_paired_permutation(spark):
     assert r["difference"] == pytest.approx(d[0]) and r["p"] == pytest.approx((sum(x >= d[0] - 1e-12 for x in d[1:]) + 1) / 301)
 
 
+def test_draws_are_dealt_to_all_cores(spark):
+    """Narrow rows are not joined into one task: a draw that names the task finds several."""
+    from pyspark import TaskContext
+
+    here = lambda unit, n: np.eye(1, n, TaskContext.get().partitionId(), dtype=np.uint8)[0]
+    df = spark.range(400).selectExpr("id", "cast(id % 2 as int) as y", "id / 400 as s").repartition(2)
+    unit = F.concat(F.lit("1|"), F.col("id").cast("string"))
+    assert replicates.auc_by_replicate(df, "s", 50, [unit], draw=here).count() >= 4
+    sums = replicates.sums_by_replicate(df, [F.lit(1)], 50, [unit], draw=here)
+    assert sums.where("s0 > 0").count() >= 4 and sums.agg(F.sum("s0")).first()[0] == 400
+
+
+def test_a_task_of_draws_holds_little():
+    """Steps and kept draws are bounded for 1,000 and for 10,001 replicates alike."""
+    import tracemalloc
+
+    for n, draw in ((1000, replicates.poisson), (10_001, replicates.coin)):
+        draw("1|x", n)
+        tracemalloc.start()
+        weights, step = replicates._weights(n, draw), max(1, replicates.STEP // n)
+        for i in range(0, 6000, step):
+            weights([[f"1|{k}", f"1|{k + 1}"] for k in range(i, i + step)])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 24e6
+
+
+@pytest.mark.parametrize("step", [100_000, 60])
+def test_areas_of_infinite_scores(spark, monkeypatch, step):
+    monkeypatch.setattr(replicates, "STEP", step)
+    rows = [(float(s), i % 2, f"u{i}") for i, s in enumerate(["-inf", "-inf", "0", "1", "inf", "inf", "nan", "nan", "inf", "nan"] * 6)]
+    got = {r["rep"]: r["v"] for r in replicates.auc_by_replicate(spark.createDataFrame(rows, "s double, y int, u string"), "s", 20, [F.concat(F.lit("1|"), "u")]).collect()}
+    rank = lambda s: (math.isnan(s), 0 if math.isnan(s) else s)
+    for k in range(20):
+        w = [int(replicates.poisson(f"1|{u}", 20)[k]) for *_, u in rows]
+        pairs = [(rank(a), rank(b), x * z) for (a, y, _), x in zip(rows, w) if y for (b, q, _), z in zip(rows, w) if not q]
+        assert got[k + 1] == pytest.approx(sum(m * ((a > b) + 0.5 * (a == b)) for a, b, m in pairs) / sum(m for *_, m in pairs))
+
+
 def test_first_object():
     assert text.first_object('x {a {"k": "} {"} } y') == '{"k": "} {"}' and text.first_object("{ {") is None and text.first_object(None) is None
 

@@ -54,3 +54,8 @@ def test_p08_words_end_at_letters_outside_ascii(spark, tmp_path):
 def test_s23_keys_end_at_letters_outside_ascii(spark, tmp_path):
     texts = ["é0123456789abcdef 1", "0123456789abcdefé", "x0123456789abcdef", "0123456789abcdef0_", "(0123456789abcdef0)"]
     _odd_equals_sql("s23_sanitise", "documents", list(enumerate(texts)), "doc_id long, text string", spark, tmp_path)
+
+
+@pytest.mark.parametrize("name", ["b09_query_bootstrap", "b11_cluster_mean", "b12_equal_person_error"])
+def test_bootstrap_sums_make_no_rows_by_replicate(name, spark):
+    assert "explode(sequence(1, 1000" not in registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().toString()
