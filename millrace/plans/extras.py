@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import crossfit, models, probes
-from millrace.operators.matching import greedy_matching
+from millrace.operators.matching import greedy_matching, nearest_matching
 from millrace.operators.running import running_sums
 from millrace.operators.sampling import group_folds, hash_key
-from millrace.operators.similarity import band_join
 from millrace.plans.registry import query
 from millrace.plans.tables import items, pairs, read
 from millrace.sources import files
@@ -97,24 +96,24 @@ def k13(spark, d):
 
 
 def _targets(spark, d):
-    t = items(spark, d).where("age is not null")
-    q = t.where("item % 50 = 0").select(F.col("item").alias("query"), F.col("age").alias("qa"), F.col("entity").alias("qe"), F.col("split").alias("qs"))
-    c = band_join(q, t.select("item", "age", "entity", "split"), "qa", "age", 2).where("qe <> entity and qs = split")
-    return q, c.select("query", "item", F.abs(F.col("qa") - F.col("age")).alias("off"), F.md5(F.concat_ws("|", F.lit("23"), F.col("query").cast("string"), F.col("item").cast("string"))).alias("h"))
+    t = items(spark, d).where("age is not null").select("item", F.col("age").alias("value"), "entity", "split")
+    return t.where("item % 50 = 0").withColumnRenamed("item", "query"), t
 
 
 @query("x11_nearest_match")
 def x11(spark, d):
     """Targets get partners of the nearest attribute, each partner once; ties in hash order."""
-    return greedy_matching(_targets(spark, d)[1], "query", "item", ["off", "h"], bipartite=True)
+    return nearest_matching(*_targets(spark, d), 2, ["split"], "entity", 23)
 
 
 @query("x17_match_coverage")
 def x17(spark, d):
     """How many targets have candidates, and how many get a partner."""
-    q, c = _targets(spark, d)
-    got = greedy_matching(c, "query", "item", ["off", "h"], bipartite=True)
-    return q.select("query").join(c.select("query").distinct().withColumn("c", F.lit(1)), "query", "left").join(got.select("query", F.lit(1).alias("g")), "query", "left").agg(count("targets"), F.count("c").alias("with_candidates"), F.count("g").alias("matched"))
+    q, t = _targets(spark, d)
+    got = nearest_matching(q, t, 2, ["split"], "entity", 23)
+    there = t.groupBy("value", "split").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi"))  # another entity is there if not both are the target's
+    near = q.withColumn("value", F.explode(F.sequence(F.col("value") - 2, F.col("value") + 2))).join(there, ["value", "split"]).where("lo <> entity or hi <> entity")
+    return q.select("query").join(near.select("query").distinct().withColumn("c", F.lit(1)), "query", "left").join(got.select("query", F.lit(1).alias("g")), "query", "left").agg(count("targets"), F.count("c").alias("with_candidates"), F.count("g").alias("matched"))
 
 
 @query("v10_fixed_grid_accuracy", """

@@ -16,7 +16,7 @@ from millrace.operators import crossfit, models, probes, replicates
 from millrace.operators import verification as v
 from millrace.operators.governance import hmac_sha256
 from millrace.operators.graph import component_labels, contract
-from millrace.operators.matching import greedy_matching
+from millrace.operators.matching import greedy_matching, nearest_matching
 from millrace.operators.quantiles import positions, quantiles
 from millrace.operators.running import running_sums, score_bucket
 from millrace.operators.sampling import group_folds, hash_priority, hash_sample
@@ -235,6 +235,20 @@ def test_paired_permutation(spark):
     assert r["difference"] == pytest.approx(d[0]) and r["p"] == pytest.approx((sum(x >= d[0] - 1e-12 for x in d[1:]) + 1) / 301)
 
 
+def test_nearest_matching_is_the_greedy_one(spark):
+    """More queries than items, blocks of three items, and nothing listed by pairs."""
+    rnd = random.Random(8)
+    q = [(i, rnd.randint(1, 6), rnd.choice("ab"), rnd.randint(0, 3)) for i in range(40)] + [(40, None, "a", 1)]
+    t = [(i, rnd.randint(1, 6), rnd.choice("ab"), rnd.randint(0, 3)) for i in range(45)]
+    edges = sorted((abs(v - w), hashlib.md5(f"5|{a}|{b}".encode()).hexdigest(), a, b) for a, v, s, e in q if v for b, w, s2, e2 in t if s == s2 and e != e2 and abs(v - w) <= 2)
+    left, right, want = set(), set(), set()
+    for *_, a, b in edges:
+        if a not in left and b not in right:
+            left.add(a), right.add(b), want.add((a, b))
+    got = nearest_matching(spark.createDataFrame(q, "query long, value int, s string, e int"), spark.createDataFrame(t, "item long, value int, s string, e int"), 2, ["s"], "e", 5, block=3)
+    assert set(map(tuple, got.collect())) == want
+
+
 def test_draws_are_dealt_to_all_cores(spark):
     """Narrow rows are not joined into one task: a draw that names the task finds several."""
     from pyspark import TaskContext
