@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import probes
-from millrace.operators.text_models import ngram_ridge
+from millrace.operators.text_models import gram_counts, ngram_ridge
 from millrace.plans import registry
 from millrace.plans.tables import BASE_SQL
 
@@ -221,6 +221,25 @@ def test_s20_ngram_regression(spark, duck):
     assert one["rmse"] < one["rmse_mean"] / 2
 
 
+@pytest.mark.parametrize(("n", "window"), [(3, 7), (3, 1 << 21), (1, 3), (5, 1000)])
+def test_gram_counts_are_those_of_spark(spark, n, window):
+    from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer
+
+    texts = ["", None, "a", "ab", "abc", "The  cat\n\tsat.", "\u0130stanbul \u03a3\u039f\u03a6\u039f\u03a3 \u00c9t\u00e9", "\U0001f600\U0001f601x\u4e2d\u6587\u0301", "a\0b\0c", "x" * 50, "\r\n\u2028\u00a0end"]
+    texts += ["".join(chr(0x4E00 + (i * j) % 2000) for i in range(200)) for j in range(1, 4)] + ["ab"]
+    t = spark.createDataFrame([(float(i), x) for i, x in enumerate(texts)], "target double, text string")
+    x = RegexTokenizer(inputCol="text", outputCol="chars", pattern="(?s).", gaps=False).transform(t.fillna("", "text"))
+    x = HashingTF(inputCol="grams", outputCol="tf", numFeatures=256).transform(NGram(n=n, inputCol="chars", outputCol="grams").transform(x))
+    want = {r["target"]: r["tf"].toArray().astype(int).tolist() for r in x.collect()}
+    lowered = t.select(F.lit(True).alias("held"), "target", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    got = lowered.mapInArrow(gram_counts(n, 256, window), "held boolean, target double, counts array<int>").collect()
+    assert {r["target"]: r["counts"] for r in got} == want
+
+
+def test_s20_reads_texts_once(spark):
+    assert "documents.parquet" not in registry.QUERIES["s20_ngram_regression"](spark, SMALL)._jdf.queryExecution().toString()
+
+
 def test_a16_a17_files(spark):
     got = run(spark, "a16_file_digests").set_index("file")
     for name in ("region", "nation", "benchmark"):
