@@ -10,6 +10,7 @@ from millrace.operators.lineage import verify_manifests
 from millrace.plans.registry import query
 from millrace.plans.tables import items, read
 from millrace.plans.texts import CAPTIONS_SQL, captions
+from millrace.session import staged
 from millrace.sources import files
 from millrace.streaming import online_head, resumable
 
@@ -122,7 +123,7 @@ def n10(spark, d):
     lines = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.md5(F.concat_ws("|", F.count(F.lit(1)), F.sum("l_linenumber"))).alias("sha256"))
     path = lambda c: F.concat(F.lit("order/"), F.col(c).cast("string")).alias("path")
     chain = Window.partitionBy("o_custkey", F.col("o_orderkey") % 3)
-    o = read(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("k"), F.lag("o_orderkey").over(chain.orderBy("o_orderkey")).alias("prev"), F.max("o_orderkey").over(chain).alias("last"))
+    o = staged(read(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("k"), F.lag("o_orderkey").over(chain.orderBy("o_orderkey")).alias("prev"), F.max("o_orderkey").over(chain).alias("last")), "chains")
     before = F.when(F.col("prev").isNull() & (F.col("o_custkey") % 40 == 0), F.col("last")).otherwise(F.col("prev"))
     claims = o.select(F.col("k").alias("manifest"), F.explode(F.array(F.struct(F.lit("output").alias("role"), F.col("k").alias("k")), F.struct(F.lit("input").alias("role"), before.alias("k")))).alias("r")).select("manifest", "r.*").where("k is not null")
     claims = claims.join(lines, "k", "left").select("manifest", "role", path("k"), F.when(F.col("k") % 17 == 0, F.lit("off")).otherwise(F.col("sha256")).alias("sha256"))

@@ -1,13 +1,14 @@
 """Extractors by name, counting sinks, manifest graphs and ratings."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import Observation
 
 from millrace.functions import extractors
-from millrace.operators import models
+from millrace.operators import lineage, models
 from millrace.operators.lineage import verify_manifests
 from millrace.sources import files
 
@@ -73,6 +74,55 @@ def test_manifest_statuses(spark):
     } and len(got) == 17
 
 
+def _walked(start, steps):
+    """What a walk from the start meets, one by one."""
+    met, todo = set(start), list(start)
+    while todo:
+        for n in steps.get(todo.pop(), ()):
+            if n not in met:
+                met.add(n)
+                todo.append(n)
+    return met
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_manifest_statuses_of_random_graphs(spark, monkeypatch, seed):
+    monkeypatch.setattr(lineage, "PIECES", 3)
+    rnd, names = random.Random(seed), [f"m{i:02}" for i in range(70)]
+    rests = {(a, b) for i, a in enumerate(names) for b in names[:i] if i - int(b[1:]) < 9 and rnd.random() < 0.2} | {tuple(rnd.sample(names[k : k + 12], 2)) for k in range(0, 60, 10)}
+    off, gone = ({n for n in names if rnd.random() < p} for p in (0.04, 0.04))
+    records = [(n, "output", f"/{n}", "1") for n in names] + [(a, "input", f"/{b}", "1") for a, b in rests for _ in range(1 + (a > b))]
+    roots = rnd.sample(names, 6)
+    frame = spark.createDataFrame
+    got = verify_manifests(frame(records, "manifest string, role string, path string, sha256 string"), frame([(f"/{n}", "2" if n in off else "1") for n in names if n not in gone], "path string, sha256 string"), frame([(r,) for r in roots], "manifest string")).collect()
+    down, up = ({n: {p[1 - k] for p in rests if p[k] == n} for n in names} for k in (0, 1))
+    own = {n: {n} | down[n] for n in names}
+    reached, rings = _walked(roots, down), {n for n in names if n in _walked(down[n], down)}
+    cyclic = {n for n in names if n in rings or (_walked(down[n], down) & rings and _walked(up[n], up) & rings)}
+    bad = cyclic | {n for n in names if own[n] & (off | gone)}
+    blocked = _walked(bad, up)
+    want = {n: "unreachable" if n not in reached else "missing" if own[n] & gone else "drifted" if own[n] & off else "cyclic" if n in cyclic else "blocked" if n in blocked else "verified" for n in names}
+    assert {r["manifest"]: r["status"] for r in got} == want and len(got) == len(names)
+
+
+def test_manifest_rounds_read_what_is_left(spark, monkeypatch):
+    """A round reads no table of rounds long past, and the steps that are left get fewer with each."""
+    read, sizes, write = [], [], lineage.staged
+
+    def staged(df, label):
+        read.append(len(set(re.findall(r"/reach-[0-9a-f]+", "".join(df.inputFiles())))))
+        out = write(df, label)
+        if label == "steps":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(lineage, "staged", staged)
+    records = [(i, "output", f"/{i}", "1") for i in range(12)] + [(i, "input", f"/{i - 1}", "1") for i in range(1, 12)]
+    got = verify_manifests(spark.createDataFrame(records, "manifest long, role string, path string, sha256 string"), spark.createDataFrame([(f"/{i}", "1" if i else "2") for i in range(12)], "path string, sha256 string"), spark.createDataFrame([(11,)], "manifest long"))
+    assert {r["manifest"]: r["status"] for r in got.collect()} == {i: "drifted" if i < 2 else "blocked" for i in range(12)}
+    assert max(read) <= 2 and sizes == sorted(sizes, reverse=True) and sizes[0] > sizes[4] > sizes[8]
+
+
 def test_ratings_by_joins_equal_those_on_the_driver(spark, monkeypatch):
     rnd = random.Random(6)
     games = [(f"p{i}", f"p{j}") for i, j in (sorted(rnd.sample(range(9), 2), key=lambda k: rnd.random() * (k + 2)) for _ in range(150))] + [("p0", "loser")] * 2 + [("p1", None), ("p1", "p1")]
