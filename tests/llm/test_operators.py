@@ -340,6 +340,83 @@ def test_family_with_many_levels(monkeypatch, spark):
             assert ((d, s) in found) == any(t[s : s + 50] in seen[e] for e in range(d))
 
 
+def family_of(rows):
+    """A family over all anchors of (doc, bytes) rows in ascending order, added by batches; (doc, position) of its contexts."""
+    x, lo, hi, at = [], [], [], []
+    for d, t in rows:
+        for p in suffix_dedup.anchors(t)[0]:
+            x.append([t[k] if 0 <= k < len(t) else 0 for k in range(p - suffix_dedup.SIDE, p + suffix_dedup.LENGTH)])
+            lo.append(min(p, suffix_dedup.SIDE))
+            hi.append(min(len(t) - p - suffix_dedup.GRAM, suffix_dedup.SIDE))
+            at.append((d, int(p)))
+    doc = np.array([d for d, _ in at], np.int64)
+    f = suffix_dedup.Family(np.array(x, np.uint8), np.array(lo, np.uint8), np.array(hi, np.uint8), doc)
+    i = 0
+    while i < len(doc):
+        j = int(np.searchsorted(doc, doc[min(i + suffix_dedup.BATCH, len(doc)) - 1], side="right"))
+        f.add(np.arange(i, j))
+        i = j
+    return f, at
+
+
+def test_family_hashes_no_strings_of_short_runs(monkeypatch):
+    """Two documents that share an anchor are compared on both sides of it; hashing each batch's strings anew is what grew."""
+    rnd = random.Random(8)
+    shared = [prose(rnd, 8).encode() for _ in range(40)]
+    rows = [(i, prose(rnd, 8).encode() + shared[i % 40] + prose(rnd, 8).encode()) for i in range(80)]
+    monkeypatch.setattr(suffix_dedup, "BATCH", 8)
+    hashed, mix = [], suffix_dedup.mix
+    monkeypatch.setattr(suffix_dedup, "mix", lambda x: hashed.append(np.size(x)) or mix(x))
+    suffix_dedup.anchors(rows[0][1])
+    before = sum(hashed)
+    f, at = family_of(rows)
+    assert f.found.any() and sum(hashed) - before <= 3 * len(at)  # what finds the anchors
+
+
+@pytest.mark.parametrize("neighbours", [1, 3, 8])
+def test_family_on_runs_of_all_lengths(monkeypatch, neighbours):
+    for name, value in (("BATCH", 16), ("SORTED", 24), ("NEIGHBOURS", neighbours)):
+        monkeypatch.setattr(suffix_dedup, name, value, raising=False)
+    rnd = random.Random(12)
+    shared = [prose(rnd, 9).encode() for _ in range(6)]
+    # each passage in 2 to 25 documents, cut and changed somewhere, twice in some
+    rows = []
+    for k, passage in enumerate(shared):
+        for _ in range((2, 3, 5, 9, 14, 25)[k]):
+            t = bytearray(passage[rnd.randrange(12) : len(passage) - rnd.randrange(12)])
+            if rnd.random() < 0.6:
+                t[rnd.randrange(len(t))] = 33
+            rows.append(prose(rnd, rnd.randrange(4)).encode() + bytes(t) * rnd.choice([1, 1, 2]) + prose(rnd, rnd.randrange(4)).encode())
+    rnd.shuffle(rows)
+    rows = list(enumerate(rows))
+    f, at = family_of(rows)
+    found = {(at[k][0], at[k][1] - suffix_dedup.SIDE + int(w)) for k, w in zip(*np.nonzero(f.found), strict=True)}
+    first: dict = {}
+    for d, t in rows:
+        for s in range(len(t) - 49):
+            first.setdefault(t[s : s + 50], d)
+    assert found == {(d, s) for d, t in rows for s in range(len(t) - 49) if first[t[s : s + 50]] < d} and len(found) > 300
+
+
+def test_anchors_of_a_text_cut_into_segments(monkeypatch):
+    rnd = random.Random(14)
+    t = (prose(rnd, 600) + "ab" * 200 + "x" * 300 + prose(rnd, 600)).encode()
+    whole = suffix_dedup.anchors(t)
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 500)
+    assert len(t) > 5000 and all((a == b).all() for a, b in zip(whole, suffix_dedup.anchors(t), strict=True))
+
+
+def test_what_is_covered_in_a_shard_goes_on_in_one_row():
+    """One row for each shard and task, not one for each flush of the map side: their number would grow with the square of the input."""
+    cols = {"doc": np.arange(5, dtype="<i8"), "tag": np.arange(5, dtype="<u4"), "pos": np.arange(5, dtype="<i4")}
+    rows = [(0, suffix_dedup.COVERED, suffix_dedup.pack(**cols, mask=np.full(5, 1 + k, "<u4"))) for k in range(30)]
+    for step in (suffix_dedup._settle(1, 5), suffix_dedup._match(1)):
+        out = [r for b in step(iter([suffix_dedup._batch(rows[:7]), suffix_dedup._batch(rows[7:])])) for r in b.to_pylist()]
+        assert len(out) == 1 and out[0]["kind"] == suffix_dedup.COVERED
+        got = suffix_dedup.unpack(out[0]["blob"], **suffix_dedup.COVER_TYPES)
+        assert sorted(zip(got["doc"].tolist(), got["mask"].tolist(), strict=True)) == sorted((d, 1 + k) for d in range(5) for k in range(30))
+
+
 # 8
 def test_token_files(spark, docs, rows, empty):
     from tokenizers import Tokenizer
